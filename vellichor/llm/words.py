@@ -15,6 +15,7 @@ import pyarrow as pa
 
 SLICE = 4 << 20
 P1, P2, P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+MASK = (1 << 64) - 1
 MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 LONGEST = 1 << 12  # powers of the multiplier kept at hand; longer words take them in blocks
 
@@ -107,7 +108,7 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out *= MULTIPLIER
         out += hashes[j : j + n]
-    return mixed(out + np.uint64(k) * P1)
+    return mixed(out + np.uint64(k * int(P1) & MASK))
 
 
 def window_starts(words: Words, k: int) -> np.ndarray:
