@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import chat_format, jaccard_join, substring_dedup, token_files, toxicity, url_filter
+from vellichor.llm import chat_format, decontamination, jaccard_join, line_dedup, packing, substring_dedup, token_files, toxicity, url_filter
 from vellichor.session import table
 
 #: Rows whose labels may be learned from; the others are held out.
 NOT_HELD_OUT = "crc32(cast(doc_id as string)) % 5 <> 0"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), usable=NOT_HELD_OUT)
@@ -39,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_chat_format, op7_substring_dedup, op8_token_files, op9_jaccard_join, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op4_toxicity, op5_chat_format, op7_substring_dedup, op8_token_files, op9_jaccard_join, op10_url_filter)}
 
 ORACLES = {
     "op7_substring_dedup": r"""
