@@ -147,18 +147,33 @@ def fit(documents: DataFrame, labels: DataFrame, usable: str = "true") -> Model:
     return Model(model.toxic, model.ordinary, tuple(calibrated(x, y)))
 
 
+def scored(texts: pa.Array, model: Model, distances: Distances) -> np.ndarray:
+    if model.constant is not None:
+        return np.full(len(texts), model.constant)
+    weights = np.array(model.weights)
+    return np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, float(distances.features(t.as_py() or "") @ weights))))) for t in texts], np.float64)
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) for every row."""
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model)
-        weights = np.array(model.weights)
         for batch in batches:
-            if model.constant is not None:
-                out = np.full(len(batch), model.constant)
-            else:
-                out = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, float(distances.features(t.as_py() or "") @ weights))))) for t in batch.column(1)])
-            out = out.astype(np.float64)
+            out = scored(batch.column(1), model, distances)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return documents.select("doc_id", "text").mapInArrow(judged, "doc_id long, score double, predicted int")
+
+
+def keep_ordinary(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents, all columns, that are not predicted toxic: decided within the row, without a shuffle."""
+    at = documents.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances = Distances(model)
+        for batch in batches:
+            scores = scored(batch.column(at), model, distances)
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return documents.mapInArrow(kept, documents.schema)
