@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellichor.llm import chat_format, decontamination, jaccard_join, line_dedup, packing, substring_dedup, token_files, toxicity, url_filter
+from vellichor.llm import chat_format, decontamination, jaccard_join, line_dedup, media, packing, substring_dedup, token_files, toxicity, url_filter
 from vellichor.session import table
 
 #: Rows whose labels may be learned from; the others are held out.
@@ -36,6 +36,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.repair(table(spark, sf_dir, "conversations"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.align(media.recordings(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -52,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op4_toxicity, op5_chat_format, op7_substring_dedup, op8_token_files, op9_jaccard_join, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_packing, op4_toxicity, op5_chat_format, op6_media, op7_substring_dedup, op8_token_files, op9_jaccard_join, op10_url_filter)}
 
 ORACLES = {
     "op7_substring_dedup": r"""
