@@ -8,6 +8,7 @@ alternation; it is grouped by book, because a figure met in one chapter is known
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vellichor.functions.text import slug, stripped, word_count
 from vellichor.operators.segment import sentence_spans
+from vellichor.session import staged
 
 #: Verbs of speech, German then English.
 VERBS = """
@@ -72,36 +74,42 @@ _LEAD = rf"^\s*(?:\s+{_either(ADVERBS)})?\s*"
 _VERB = START + _either(VERBS) + END
 
 
-def _nonempty(x: Column) -> Column:
-    return F.when(x != "", x)
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x evaluated once, whatever use does with it."""
+    return F.get(F.transform(F.array(x), use), 0)
 
 
 def subject(text: Column, head: bool) -> Column:
     """struct<surface, kind> of the subject that opens (head) or closes a text; null without one. kind: pron, np, name."""
-    pron = _nonempty(F.lower(F.regexp_extract(text, rf"(?iu){_LEAD}({'|'.join(SUBJECT_PRONOUNS)}){END}" if head else rf"(?iu){START}({'|'.join(SUBJECT_PRONOUNS)})\s*$", 1)))
-    np = F.regexp_extract(text, rf"{_LEAD}({_NP})" if head else rf"({_NP})\s*$", 1)
-    np = stripped(F.regexp_replace(F.regexp_replace(F.trim(np), rf"^{_ART}\s+", ""), r"\s+", " "), " ,.;:!?–—-")
-    np = F.when(~(~F.contains(np, F.lit(" ")) & F.lower(np).isin(STOP_NAMES)), _nonempty(np))
+    as_ = lambda x, kind: F.struct(x.alias("surface"), F.lit(kind).alias("kind"))
+    pronoun = F.lower(F.regexp_extract(text, rf"(?iu){_LEAD}({'|'.join(SUBJECT_PRONOUNS)}){END}" if head else rf"(?iu){START}({'|'.join(SUBJECT_PRONOUNS)})\s*$", 1))
+    phrase = F.regexp_extract(text, rf"{_LEAD}({_NP})" if head else rf"({_NP})\s*$", 1)
+    phrase = stripped(F.regexp_replace(F.regexp_replace(F.trim(phrase), rf"^{_ART}\s+", ""), r"\s+", " "), " ,.;:!?–—-")
     name = F.trim(F.regexp_extract(text, rf"{_LEAD}({NAME})" if head else rf"({NAME})\s*$", 1))
-    is_pronoun = F.lower(name).isin(list(PRONOUNS))
-    named = F.when((name != "") & ~is_pronoun & (F.length(name) >= 3) & ~stripped(F.lower(F.substring_index(F.regexp_replace(name, r"\s+", " "), " ", 1)), ".,;:").isin(STOP_NAMES), stripped(name, " ,.;:"))
-    as_ = lambda x, kind: F.when(x.isNotNull(), F.struct(x.alias("surface"), F.lit(kind).alias("kind")))
-    by_name = F.coalesce(as_(F.when(is_pronoun, F.lower(name)), "pron"), as_(named, "name"))
-    return F.coalesce(as_(pron, "pron"), as_(np, "np"), by_name) if head else F.coalesce(as_(np, "np"), by_name, as_(pron, "pron"))
-
-
-def with_inquit(rows: DataFrame, name: str, text: Column, last: bool = False) -> DataFrame:
-    """Adds struct<surface, kind, verb>: the clause of speech in text, by its first verb (or its last); null without one."""
-    t, v = f"_{name}_text", f"_{name}_verb"
-    rows = rows.withColumn(t, F.regexp_replace(F.trim(text), r"^[\s,;:—–-]+", ""))
-    seen = F.col(t) if last else F.substring(t, 1, AFTER)
-    before = F.regexp_extract(seen, rf"(?iu)^([\s\S]*{'' if last else '?'}){_VERB}", 1)
-    verb = F.regexp_extract(seen, rf"(?iu)^[\s\S]*{'' if last else '?'}({_VERB})", 1)
-    rows = rows.withColumn(v, F.struct(F.length(before).alias("at"), verb.alias("verb"))).withColumn(f"{v}_after", F.expr(f"substring({t}, {v}.at + length({v}.verb) + 1)"))
-    found = F.coalesce(subject(F.col(f"{v}_after"), True), subject(F.expr(f"substring({t}, 1, {v}.at)"), False))
-    rows = rows.withColumn(f"{v}_found", F.when(F.col(f"{v}.verb") != "", found))
-    hit = F.when(F.col(f"{v}_found").isNotNull(), F.struct(F.col(f"{v}_found.surface").alias("surface"), F.col(f"{v}_found.kind").alias("kind"), F.lower(f"{v}.verb").alias("verb")))
-    return rows.withColumn(name, hit).drop(t, v, f"{v}_after", f"{v}_found")
+    first = lambda x: stripped(F.lower(F.substring_index(F.regexp_replace(x, r"\s+", " "), " ", 1)), ".,;:")
+    by_pronoun = let(pronoun, lambda x: F.when(x != "", as_(x, "pron")))
+    by_phrase = let(phrase, lambda x: F.when((x != "") & (F.contains(x, F.lit(" ")) | ~F.lower(x).isin(STOP_NAMES)), as_(x, "np")))
+    by_name = let(name, lambda x: F.when(F.lower(x).isin(list(PRONOUNS)), as_(F.lower(x), "pron")).when((F.length(x) >= 3) & ~first(x).isin(STOP_NAMES), as_(stripped(x, " ,.;:"), "name")))
+    return F.coalesce(by_pronoun, by_phrase, by_name) if head else F.coalesce(by_phrase, by_name, by_pronoun)
+
+
+def inquit(text: Column, last: bool = False) -> Column:
+    """struct<surface, kind, verb>: the clause of speech in text, by its first verb (or its last); null without one."""
+    lazy = "" if last else "?"
+
+    def clause(t: Column) -> Column:
+        seen = t if last else F.substring(t, 1, AFTER)
+        before, verb = (F.regexp_extract(seen, rf"(?iu)^([\s\S]*{lazy})({_VERB})", k) for k in (1, 2))
+
+        def around(m: Column) -> Column:
+            after = F.substring(t, F.length(m.before) + F.length(m.verb) + 1, F.length(t))
+            found = F.coalesce(subject(after, True), subject(m.before, False))
+            hit = let(found, lambda x: F.when(x.isNotNull(), F.struct(x.surface.alias("surface"), x.kind.alias("kind"), F.lower(m.verb).alias("verb"))))
+            return F.when(m.verb != "", hit)
+
+        return let(F.struct(before.alias("before"), verb.alias("verb")), around)
+
+    return let(F.regexp_replace(F.trim(text), r"^[\s,;:—–-]+", ""), clause)
 
 
 def explicit(blocks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -111,9 +119,8 @@ def explicit(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     holds = F.get(F.filter("sentences", lambda x: (x.s <= F.col("s")) & (F.col("s") < x.e)), 0)
     rows = rows.withColumn("sent", F.coalesce(holds, F.struct(F.lit(0).cast("long").alias("s"), F.length("text").cast("long").alias("e"))))
     cut = lambda a, b: F.expr(f"substring(text, cast({a} as int) + 1, greatest(cast({b} as int) - cast({a} as int), 0))")
-    rows = with_inquit(rows, "after", cut("e", "sent.e"))
-    rows = with_inquit(rows, "before", cut(f"greatest(sent.s, s - {BEFORE})", "s"))
-    rows = with_inquit(rows, "back", cut(f"greatest(0, s - {BACK})", "s"), last=True)
+    rows = rows.withColumn("after", inquit(cut("e", "sent.e"))).withColumn("before", inquit(cut(f"greatest(sent.s, s - {BEFORE})", "s")))
+    rows = rows.withColumn("back", inquit(cut(f"greatest(0, s - {BACK})", "s"), last=True))
     rows = rows.withColumn("hit", F.coalesce("after", "before")).withColumn("found", F.when(F.col("after").isNotNull(), "inquit_after").when(F.col("before").isNotNull(), "inquit_before"))
     named = F.col("hit").isNotNull() & (F.col("hit.kind") != "pron") & ~F.col("inner")
     pronoun = (F.col("hit.kind") == "pron") & ~F.col("inner")
@@ -234,7 +241,7 @@ def decided(x: dict, outer: list[dict], recent: list[str], near: list[str] | Non
 
 def attribute(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Every span with its speaker, the figure's name and kind, confidence and provenance."""
-    first = explicit(blocks, spans)
+    first = staged(explicit(blocks, spans))  # read twice below
     keys = ["book_id", "chapter_ord", "block_ord"]
     first = first.join(genders(blocks, first).select("book_id", "speaker", "gender"), ["book_id", "speaker"], "left").withColumn("type", F.lit("p")).withColumn("names", F.array().cast("array<string>"))
     outer = spans.filter("not inner").select(*keys).distinct()
