@@ -236,3 +236,32 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [k for k in e.queries() if k.startswith('op')])"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert out.strip().endswith("[]")
+
+
+def test_sentence_edits(spark):
+    rows = spark.createDataFrame([("»Kommst du mit?«, fragte Anna. »Es wird bald dunkel.«", [(0, 30), (31, 53)])], "text string, spans array<struct<s:long,e:long>>")
+    merged = edits.merged_sentences(F.col("spans"), F.lit(0))
+    assert [tuple(x) for x in rows.select(merged.alias("x")).first().x] == [(0, 53)]
+    again = rows.select("text", merged.alias("spans")).select(edits.split_sentences(F.col("spans"), F.col("text"), F.lit(30)).alias("x")).first().x
+    assert [tuple(x) for x in again] == [(0, 30), (31, 53)]
+    assert [tuple(x) for x in rows.select(edits.split_sentences(F.col("spans"), F.col("text"), F.lit(0)).alias("x")).first().x] == [(0, 30), (31, 53)]
+
+
+def test_cast_edits(spark):
+    slots = spark.createDataFrame([(1, "anna", 0), (1, "jonas", 3)], "book_id long, speaker string, slot long")
+    wanted = spark.createDataFrame([(1, "jonas", 0)], "book_id long, speaker string, slot long")
+    assert {r.speaker: r.slot for r in edits.swapped(slots, wanted).collect()} == {"anna": 3, "jonas": 0}
+    taken = spark.createDataFrame([(1, "frau-berger", "Frau Bergér"), (1, "anna", "Anna")], "book_id long, speaker string, name string")
+    names = spark.createDataFrame([(1, "  Frau   Berger "), (1, "ANNA"), (1, "Ida")], "book_id long, name string")
+    assert {r.name: r.speaker for r in edits.new_ids(names, taken).collect()} == {"Frau Berger": "frau-berger-2", "Ida": "ida"}
+
+
+def test_ink(spark):
+    from vellichor.operators import ink
+
+    rows = spark.createDataFrame([(1, [(0.0, 0.0), (5.0, 0.1), (10.0, 0.0), (10.0, 10.0)]), (2, [(0.0, 0.0), (50.0, 1.0)])], f"id long, points {ink.POINTS}")
+    assert {r.id: len(r.points) for r in ink.simplified(rows).collect()} == {1: 3, 2: 2}
+    assert {r.id: r.x for r in rows.select("id", ink.is_strike(F.col("points")).alias("x")).collect()} == {1: False, 2: True}
+    assert rows.filter(ink.touches(F.col("points"), F.lit(11.0), F.lit(9.0), 2.0)).count() == 1
+    valid = spark.createDataFrame([([[1, 2], [3, 4, 5, 6]],), ([[1, 2, 3]],), ([],)], "s array<array<int>>")
+    assert [r.x for r in valid.select(ink.is_valid(F.col("s")).alias("x")).collect()] == [True, False, False]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellichor.functions import text as T
-from vellichor.operators import attribution, colors, edits, jobs, segment, speech, stats, views
+from vellichor.operators import attribution, colors, edits, ink, jobs, segment, speech, stats, views
 from vellichor.plans.analysis import analyse
 from vellichor.session import table
 from vellichor.sources import books, pages, pdf_items
@@ -501,3 +501,43 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k
 def session_pace(spark, sf):
     rows = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query(f"""
+{NAMED} SELECT book_id, speaker, block_ord, coalesce(lead(block_ord) OVER w, -1) AS next_block, coalesce(lag(block_ord) OVER w, -1) AS previous_block FROM named WINDOW w AS (PARTITION BY book_id, speaker ORDER BY chapter_ord, block_ord)
+""")
+def speech_steps(spark, sf):
+    return views.speech_steps(_named(spark, sf).withColumn("s", F.lit(0).cast("long"))).select("book_id", "speaker", "block_ord", F.coalesce("next_block", F.lit(-1)).alias("next_block"), F.coalesce("previous_block", F.lit(-1)).alias("previous_block"))
+
+
+@query(f"""
+WITH {SCRIPT}, q AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_ord) AS place, block_ord FROM script WHERE kind = 2)
+SELECT q.book_id, q.place, s.block_ord, s.text FROM q JOIN script s ON s.book_id = q.book_id AND s.block_ord BETWEEN q.block_ord - 2 AND q.block_ord + 1
+""")
+def review_context(spark, sf):
+    rows = _script(spark, sf)
+    queue = rows.filter("kind = 2").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("block_ord")).cast("long").alias("place"), "block_ord")
+    return views.review_context(queue, rows)
+
+
+@query("SELECT book_id, seq FROM (SELECT user_id AS book_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20")
+def journal_history(spark, sf):
+    return edits.history(_journal(spark, sf), 20).select("book_id", "seq")
+
+
+@query("""
+SELECT vec_id AS id, 'M' || array_to_string(list_transform(range(0, 8), lambda i: round((i * 10)::DOUBLE, 0)::INT || ' ' || 0), 'L') AS path, true AS strike FROM embeddings
+""")
+def ink_paths(spark, sf):
+    """A flat stroke for each vector, quantised and drawn."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i * 10.0).cast("double").alias("x"), F.lit(5.0).alias("y")))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), points.alias("points"))
+    return rows.select("id", ink.svg_path(ink.quantised(F.col("points"))).alias("path"), ink.is_strike(F.col("points")).alias("strike"))
+
+
+@query()
+def ink_simplify(spark, sf):
+    """The components of each vector as a stroke, simplified."""
+    points = F.transform("embedding", lambda v, i: F.struct(i.cast("double").alias("x"), (v * 100).cast("double").alias("y")))
+    rows = ink.simplified(table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), points.alias("points")), 5.0)
+    return rows.select("id", F.size("points").cast("long").alias("n"))

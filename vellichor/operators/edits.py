@@ -85,3 +85,56 @@ def violations(annotations: DataFrame, blocks: DataFrame, cast: DataFrame) -> Da
     out = annotations.join(blocks, ["book_id", "block_id"]).filter("s < 0 or e < s or e > n").select("book_id", F.lit("range").alias("rule"), F.col("id").alias("detail"))
     who = annotations.filter("speaker is not null").join(cast.select("book_id", "speaker"), ["book_id", "speaker"], "left_anti").select("book_id", F.lit("unknown speaker").alias("rule"), F.col("id").alias("detail"))
     return twice(blocks, "block_id", "block twice").unionByName(twice(annotations, "id", "annotation twice")).unionByName(lost).unionByName(out).unionByName(who)
+
+
+def history(journal: DataFrame, most: int = 500) -> DataFrame:
+    """The last commands of each book: what can be undone."""
+    return journal.withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("seq")))).filter(F.col("k") <= most).drop("k")
+
+
+def swapped(slots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Slots (book_id, speaker, slot) after one choice a book (book_id, speaker, slot): the former holder gets the chooser's old slot."""
+    own = wanted.join(slots.withColumnRenamed("slot", "old"), ["book_id", "speaker"], "left").select("book_id", F.col("speaker").alias("chooser"), F.col("slot").alias("new"), "old")
+    rows = slots.join(own, "book_id", "left")
+    slot = F.when(F.col("speaker") == F.col("chooser"), F.col("new")).when(F.col("slot") == F.col("new"), F.col("old")).otherwise(F.col("slot"))
+    fresh = own.join(slots.select("book_id", F.col("speaker").alias("chooser")), ["book_id", "chooser"], "left_anti").select("book_id", F.col("chooser").alias("speaker"), F.col("new").alias("slot"))
+    return rows.select("book_id", "speaker", slot.alias("slot")).unionByName(fresh)
+
+
+def merged_sentences(spans: Column, at: Column) -> Column:
+    """Sentences (array of s, e) with the one that holds offset at joined to the next."""
+    k = F.size(F.filter(spans, lambda x: x.e <= at))
+    head, tail = F.slice(spans, 1, k), F.slice(spans, k + 3, F.greatest(F.size(spans) - k - 2, F.lit(0)))
+    both = F.array(F.struct(F.get(spans, k).s.alias("s"), F.get(spans, k + 1).e.alias("e")))
+    return F.when(k + 1 < F.size(spans), F.concat(head, both, tail)).otherwise(spans)
+
+
+def split_sentences(spans: Column, text: Column, at: Column) -> Column:
+    """Sentences with the one around offset at cut there; white space at the cut belongs to neither half; no empty halves."""
+    part = lambda a, b: F.substring(text, a.cast("int") + 1, F.greatest((b - a).cast("int"), F.lit(0)))
+    left = lambda x: x.s + F.length(F.rtrim(part(x.s, at)))
+    right = lambda x: x.e - F.length(F.ltrim(part(at, x.e)))
+    halves = lambda x: F.array(F.struct(x.s.alias("s"), left(x).cast("long").alias("e")), F.struct(right(x).cast("long").alias("s"), x.e.alias("e")))
+    whole = lambda x: F.array(F.struct(x.s.alias("s"), x.e.alias("e")))
+    cut = lambda x: (x.s < at) & (at < x.e) & (left(x) > x.s) & (right(x) < x.e)
+    return F.flatten(F.transform(spans, lambda x: F.when(cut(x), halves(x)).otherwise(whole(x))))
+
+
+def new_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """Ids for new figures (book_id, name): the slug, or with -2, -3 ... where it is taken; a name that exists gets none. taken: (book_id, speaker, name)."""
+    from vellichor.functions.text import collapsed, slug
+
+    fresh = names.select("book_id", collapsed(F.col("name")).alias("name")).dropDuplicates(["book_id", "name"]).withColumn("key", F.lower("name"))
+    fresh = fresh.join(taken.select("book_id", F.lower("name").alias("key")).distinct(), ["book_id", "key"], "left_anti").withColumn("stem", slug(F.col("name")))
+    held = taken.select("book_id", F.regexp_replace("speaker", r"-\d+$", "").alias("stem"), F.coalesce(F.regexp_extract("speaker", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("k")).groupBy("book_id", "stem").agg(F.max("k").alias("held"))
+    k = F.coalesce("held", F.lit(0)) + F.row_number().over(Window.partitionBy("book_id", "stem").orderBy("name"))
+    return fresh.join(held, ["book_id", "stem"], "left").withColumn("k", k).select("book_id", "name", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), "k")).alias("speaker"))
+
+
+def outcomes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a model's run did per book: (book_id, review, changed, confirmed). Both: (book_id, id, speaker, conf)."""
+    a, b = before.alias("a"), after.alias("b")
+    rows = a.join(b, (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.id") == F.col("b.id")))
+    same = F.col("a.speaker").eqNullSafe(F.col("b.speaker"))
+    low = F.col("b.speaker").isNull() | (F.col("b.conf") < 0.5)
+    return rows.groupBy(F.col("a.book_id").alias("book_id")).agg(F.count_if(low).alias("review"), F.count_if(~low & ~same).alias("changed"), F.count_if(~low & same & (F.col("b.conf") > F.col("a.conf"))).alias("confirmed"))

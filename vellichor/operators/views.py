@@ -100,3 +100,17 @@ def marks_csv(listed: DataFrame) -> DataFrame:
     line = F.concat_ws(";", *[csv_field(F.col(c)) for c in ("chapter_ord", "block_ord", "type", "marked", "note")])
     rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
     return listed.groupBy("book_id").agg(F.concat(F.lit("﻿"), F.array_join(F.transform(rows, lambda r: r.line), "\r\n"), F.lit("\r\n")).alias("csv"))
+
+
+def speech_steps(spans: DataFrame) -> DataFrame:
+    """For each span of a figure the place of its next and previous one, across chapters; null at the ends."""
+    order = Window.partitionBy("book_id", "speaker").orderBy("chapter_ord", "block_ord", "s")
+    place = F.struct("chapter_ord", "block_ord", "s")
+    rows = spans.filter("speaker is not null").withColumn("next", F.lead(place).over(order)).withColumn("previous", F.lag(place).over(order))
+    return rows.select("book_id", "speaker", "chapter_ord", "block_ord", "s", F.col("next.block_ord").alias("next_block"), F.col("next.s").alias("next_s"), F.col("previous.block_ord").alias("previous_block"), F.col("previous.s").alias("previous_s"))
+
+
+def review_context(queue: DataFrame, blocks: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
+    """The blocks around each unsure span, without headings: (book_id, place, block_ord, text)."""
+    near = queue.select("book_id", "place", F.explode(F.sequence(F.col("block_ord") - before, F.col("block_ord") + after)).alias("block_ord"))
+    return near.join(blocks.filter("type not in ('h1', 'h2')").select("book_id", "block_ord", "text"), ["book_id", "block_ord"]).select("book_id", "place", "block_ord", "text")
