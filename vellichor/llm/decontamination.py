@@ -6,10 +6,10 @@ substitutions (all 78 patterns of two substitutions were enumerated; the tests d
 document and the benchmark item are compared along the diagonal: a document leaks an item if some WINDOW consecutive
 aligned words differ in at most TOLERANCE places.
 
-Scale: documents are never shuffled: their seeds meet the benchmark's in a broadcast hash join while the benchmark has
-at most BROADCAST_WORDS words (that is checked); a larger one is joined by a shuffle on the seed's hash, and only the
-distinct diagonals come back to the texts. Hits are verified where they arise and reduced by (document, item) before
-they move, so a passage that many documents hold makes no group large.
+Scale: the seeds of a document are made as one array in its row and meet the benchmark's in a broadcast hash join while
+the benchmark has at most BROADCAST_WORDS words (that is checked), else in a shuffle join. Only hits remain: their
+distinct diagonals, combined before they move, are joined back to the texts, each of which is hashed once for all its
+hits. A passage that many documents hold makes no group larger than one document's own hits.
 
 Defined results: items of fewer than WINDOW words leak only where all their words match in a row; items shorter
 than the first mask leak nothing; null or empty texts have no words; documents with equal ids are one; repeated items
@@ -18,6 +18,8 @@ are told apart by their id; empty tables give no rows. Extra columns are not rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,51 +27,61 @@ MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 5, 7, 9))
 SPAN = max(m[-1] for m in MASKS) + 1
 SHORTEST = min(m[-1] for m in MASKS) + 1
 WINDOW, TOLERANCE = 13, 2
-BROADCAST_WORDS = 100_000
-LONGEST_ITEM = 20_000  # words of an item that may travel with each of its seeds
+BROADCAST_WORDS = 500_000  # about 24 MB of seeds
 
 
 def word_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def seeds(words: str, at: str) -> Column:
-    """The hashes of the masks laid at a place."""
-    return F.array(*[F.xxhash64(F.lit(k), *[F.get(F.col(words), F.col(at) + p) for p in mask]) for k, mask in enumerate(MASKS)])
+def seed_at(words: str, k: int) -> Callable[[Column], Column]:
+    """The hash of mask k laid at a place."""
+    return lambda i: F.xxhash64(F.lit(k), *[F.get(F.col(words), i + p) for p in MASKS[k]])
+
+
+def seeded(rows: DataFrame, id_col: str, words: str, at: str) -> DataFrame:
+    """(id, place, seed) for each place and mask. The hashes are made per row, as one array: no words travel with a place."""
+    # Outer explodes and no filter on the words: Spark would move such a filter below them and make them again in it.
+    size = F.size(words)
+    rows = rows.select(id_col, words, F.when(size >= SHORTEST, F.sequence(F.lit(0), size - SHORTEST)).alias("places"))
+    laid = [F.transform("places", seed_at(words, k)) for k in range(len(MASKS))]
+    rows = rows.select(id_col, F.size("places").alias("n"), F.concat(*laid).alias("seeds"))
+    return rows.select(id_col, "n", F.posexplode_outer("seeds").alias("k", "seed")).select(id_col, (F.col("k") % F.col("n")).alias(at), "seed")
+
+
+def leak_of(x: Column) -> Column:
+    """Of a hit x (item_id, diagonal, b): the best window on its diagonal and the words that match in all."""
+    low, high = F.greatest(F.lit(0), -x.diagonal), F.least(F.size(x.b), F.size("h") - x.diagonal)
+    equal = F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda q: F.coalesce((F.get(x.b, q) == F.get("h", q + x.diagonal)).cast("int"), F.lit(0)))
+    window = F.least(F.lit(WINDOW), F.size(x.b))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda sum_, e: sum_ + e)
 
+    def judged(e: Column) -> Column:
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - window + 1)), lambda s: total(F.slice(e, s, window))))
+        return F.struct(x.item_id.alias("item_id"), best.alias("best"), total(e).alias("matched"), F.size(x.b).alias("item_words"), x.diagonal.alias("diagonal"))
 
-def seeded(rows: DataFrame, ids: list[str], words: str, at: str) -> DataFrame:
-    """A row for each place and mask."""
-    placed = rows.filter(F.size(words) >= SHORTEST).select(*ids, words, F.explode(F.sequence(F.lit(0), F.size(words) - SHORTEST)).alias(at))
-    return placed.select(*ids, words, at, F.explode(seeds(words, at)).alias("seed"))
+    return F.get(F.transform(F.array(equal), judged), 0)
 
 
-def verified(hits: DataFrame) -> DataFrame:
-    """Of rows (doc_id, h, item_id, b, diagonal): the leaks, reduced by document and item."""
-    low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("b"), F.size("h") - F.col("diagonal"))
-    equal = F.transform(F.sequence(low, high - 1), lambda q: (F.get("b", q) == F.get("h", q + F.col("diagonal"))).cast("int"))
-    window = F.least(F.lit(WINDOW), F.size("b"))
-    sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("window") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("window")), F.lit(0), lambda total, x: total + x))
-    enough = F.col("window") - F.when(F.size("b") >= WINDOW, TOLERANCE).otherwise(0)
-    rows = hits.withColumn("equal", equal).withColumn("window", window).filter(F.size("equal") >= F.col("window")).withColumn("best", F.array_max(sums)).filter(F.col("best") >= enough)
-    total = F.aggregate("equal", F.lit(0), lambda all_, x: all_ + x)
-    rows = rows.select("doc_id", "item_id", F.col("best").cast("long").alias("best"), total.cast("long").alias("matched"), F.size("b").cast("long").alias("item_words"), F.col("diagonal").cast("long").alias("diagonal"))
-    return rows.groupBy("doc_id", "item_id").agg(F.max("best").alias("best_window"), F.max("matched").alias("matched_words"), F.max("item_words").alias("item_words"), F.min("diagonal").alias("first_at"))
+def verified(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Of distinct hits (doc_id, item_id, diagonal): the leaks, by document and item. A text is hashed once for all its hits."""
+    listed = hits.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "b")).alias("hits"))
+    rows = documents.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "hits", word_hashes(F.col("text")).alias("h"))
+    rows = rows.select("doc_id", F.explode_outer(F.transform("hits", leak_of)).alias("x")).select("doc_id", "x.*")
+    long = F.col("item_words") >= WINDOW
+    leaking = rows.filter(F.col("best") >= F.when(long, WINDOW - TOLERANCE).otherwise(F.col("item_words")))
+    return leaking.groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias("best_window"), F.max("matched").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"), F.min("diagonal").cast("long").alias("first_at"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, best_window, matched_words, item_words, first_at): documents that hold passages of items."""
     docs = documents.select("doc_id", word_hashes(F.col("text")).alias("h"))
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("b"))
-    total, longest = items.agg(F.coalesce(F.sum(F.size("b")), F.lit(0)), F.coalesce(F.max(F.size("b")), F.lit(0))).first()
-    places = seeded(docs, ["doc_id"], "h", "i")
-    wanted = seeded(items, ["item_id"], "b", "j")
-    diagonal = (F.col("i") - F.col("j")).alias("diagonal")
-    if max(total, 0) * max(longest, 1) <= broadcast_words * 100 and longest <= LONGEST_ITEM:
-        hits = places.join(F.broadcast(wanted), "seed").select("doc_id", "h", "item_id", "b", diagonal)
-        return verified(hits)
-    near = places.select("doc_id", "i", "seed").join(wanted.select("item_id", "j", "seed"), "seed").select("doc_id", "item_id", diagonal).distinct()
-    return verified(near.join(docs, "doc_id").join(items, "item_id"))
+    total = items.agg(F.coalesce(F.sum(F.size("b")), F.lit(0))).first()[0]
+    wanted = seeded(items, "item_id", "b", "j")
+    wanted = F.broadcast(wanted) if total <= broadcast_words else wanted
+    hits = seeded(docs, "doc_id", "h", "i").join(wanted, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+    return verified(hits, documents, items)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
