@@ -15,7 +15,7 @@ Light lists (up to HEAVY sets) are scanned for pairs of compatible sizes. Of hea
 taken; what they may miss is found exactly: a set with fewer heavy shingles in its prefix than the l of its smallest
 partner still shares a light one with every partner. Only sets with more of them (large groups of near copies, boilerplate) go through a second
 round, with shingles ordered by their true frequency among these sets; there, lists that still span several components
-after the verified links are joined are scanned for the pairs between components until none is left.
+after the verified links are joined are scanned for all pairs between components that the sets' parity bitmaps allow.
 
 Candidates are verified by the exact Jaccard similarity of the whole texts' sets. Lists are scanned run by run in
 sorted partitions; no list, group or component is collected, and nothing grows on the driver.
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
 from vellichor.llm.components import components
-from vellichor.session import partitions, settle, staged
+from vellichor.session import discard, partitions, settle, staged
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 HEAVY = 16
 ENUMERATE = 2.0
+BITMAP = 1024  # bits of a set's parity bitmap
 PAIR_WEIGHT = 1 << 20  # a heavy pair key counts as many heavy shingles: no slack covers it
 
 
@@ -126,7 +127,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int
     held: list[np.ndarray] | None = None
     cut = False
     for batch in batches:
-        now = [batch.column(c).to_numpy() for c in columns]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
         if not len(now[0]):
             continue
         now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
@@ -149,11 +150,11 @@ def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DENOMINATOR * a >= NUMERATOR * b
 
 
-PAIR = "a long, b long, shared long, heavy long"
+PAIR = "a long, b long, shared long, need long, heavy long"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (key, n2, node): candidate pairs with the number of lists that gave them (heavy = 0), and for each set in a heavy list a row (node, node, 0, number of heavy keys)."""
+    """From postings sorted by (key, n2, node): candidate pairs with the number of lists that gave them and the least number that a linked pair shares (heavy = 0), and for each set in a heavy list a row (node, node, 0, 0, number of heavy keys)."""
     for (key, node, n2), starts, cut in _runs(batches, ("key", "node", "n2"), 1 << 16):
         length = np.diff(np.append(starts, len(key)))
         run = np.repeat(np.arange(len(starts)), length)
@@ -161,7 +162,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_run = length > HEAVY
         heavy_run[0] |= cut
         long = heavy_run[run]
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        least = np.where(n2 & 1, 1, 1 + slack(n))  # of pairs whose smaller set this is
+        i = np.zeros(0, np.int64)
+        a, b, need = [i], [i], [i]
         for step in range(1, min(HEAVY, len(key))):
             i = np.flatnonzero(run[:-step] == run[step:])
             if step > 1:
@@ -171,36 +174,55 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = i[_compatible(n[i], n[i + step])]
             a.append(node[i])
             b.append(node[i + step])
+            need.append(least[i])
         i = np.flatnonzero(long)
         first = starts[run[i]]
         ok = _compatible(n[first], n[i]) & (first < i)
         a.append(node[first[ok]])
         b.append(node[i[ok]])
-        a, b = np.concatenate(a), np.concatenate(b)
+        need.append(least[first[ok]])
+        a, b, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
         a, b = np.minimum(a, b), np.maximum(a, b)
-        a, b = a[a != b], b[a != b]
-        pairs, times = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        heavy, at = np.unique(node[long], return_inverse=True)
-        often = np.bincount(at, np.where(n2[long] & 1, PAIR_WEIGHT, 1), len(heavy))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((pairs[0], heavy), (pairs[1], heavy), (times, np.zeros(len(heavy))), (np.zeros(len(times)), often))], names=["a", "b", "shared", "heavy"])
+        order = np.lexsort((b, a))
+        order = order[a[order] != b[order]]
+        a, b, need = a[order], b[order], need[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        times = np.diff(np.append(at, len(a)))
+        heavy, owner = np.unique(node[long], return_inverse=True)
+        often = np.bincount(owner, np.where(n2[long] & 1, PAIR_WEIGHT, 1), len(heavy))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((a[at], heavy), (b[at], heavy), (times, np.zeros(len(heavy))), (need[at], np.zeros(len(heavy))), (np.zeros(len(times)), often))], names=["a", "b", "shared", "need", "heavy"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (key, n, node) with components: compatible pairs of different components in one list."""
-    for (key, node, n, comp), starts, _ in _runs(batches, ("key", "node", "n", "comp"), 1 << 62):
+    """From postings sorted by (key, n, node) with components: pairs of different components in one list that may still link.
+
+    Where the parity bitmaps of two sets differ in h bits, at least h elements are in one set only, so the overlap is at
+    most (a + b - h) / 2: pairs that cannot reach the similarity are never sent."""
+    for (key, node, n, comp, bitmap), starts, _ in _runs(batches, ("key", "node", "n", "comp", "bitmap"), 1 << 62):
         length = np.diff(np.append(starts, len(key)))
         for s, k in zip(starts[length > 1], length[length > 1]):
             c, m, size = comp[s : s + k], node[s : s + k], n[s : s + k]
             if (c == c[0]).all():
                 continue
+            bits = np.frombuffer(b"".join(bitmap[s : s + k]), np.uint64).reshape(k, -1)
             a, b = [], []
             for i in range(k - 1):  # partners of growing size
                 to = int(np.searchsorted(size, size[i] * DENOMINATOR // NUMERATOR, "right"))
                 j = np.flatnonzero(c[i + 1 : to] != c[i]) + i + 1
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                both = size[i] + size[j]
+                j = j[(NUMERATOR + DENOMINATOR) * ((both - apart) // 2) >= NUMERATOR * both]
                 a.append(np.full(len(j), m[i]))
                 b.append(m[j])
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """BITMAP bits: whether an odd number of shingles falls on each."""
+    counts = np.bincount((shingles % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +252,20 @@ def link_documents(documents: DataFrame) -> DataFrame:
     nodes = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = nodes.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, n2 long")
     found = postings.repartition(parts, "key").sortWithinPartitions("key", "n2", "node").mapInArrow(_pairs, PAIR)
-    found = staged(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.sum("heavy").alias("heavy")))
+    found = staged(found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"), F.sum("heavy").alias("heavy")))
+    whole, sets = sets, staged(sets.select("doc_id", "n", "sig"))
+    discard(whole)
     settle(spark)
 
     sizes = sets.filter("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
-    heavy = found.filter("heavy > 0").select(F.col("a").alias("node"), "heavy").join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    often = found.filter("heavy > 0").select(F.col("a").alias("node"), "heavy")
+    heavy = often.join(sizes.withColumnRenamed("doc_id", "node"), "node")
     unsafe = staged(heavy.filter(F.col("heavy") > 2 + F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / 32)).select("node", "n"))
     texts = rows.withColumnRenamed("doc_id", "node")
-    links = staged(verified(found.filter("shared > 0"), texts))
+    # Two linked sets share at least need keys; those that are in no light list are heavy for both.
+    pairs = found.filter("shared > 0").join(often.selectExpr("node as a", "heavy as heavy_a"), "a", "left").join(often.selectExpr("node as b", "heavy as heavy_b"), "b", "left")
+    links = staged(verified(pairs.filter("shared >= need - least(coalesce(heavy_a, 0), coalesce(heavy_b, 0))"), texts))
+    settle(spark)
 
     if unsafe.limit(1).count():
         links = staged(links.unionByName(_second_round(unsafe, texts, links, parts)))
@@ -250,20 +278,27 @@ def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            for row, found in shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), node[row])), pa.array(np.full(len(found), len(found)))], names=["key", "node", "n"])
-
-    full = staged(texts.join(unsafe, "node", "left_semi").select("node", "text").mapInArrow(whole, "key long, node long, n long"))
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                row, found = zip(*shingle_sets(some.column(1)))
+                n = np.array([len(x) for x in found])
+                node = some.column(0).to_numpy()[list(row)]
+                first = np.zeros(int(n.sum()), bool)
+                first[np.cumsum(n) - n] = True  # a set's bitmap goes with its first row
+                bitmaps = np.full(len(first), None, object)
+                bitmaps[first] = [parity(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n)), pa.array(bitmaps, pa.binary())], names=["key", "node", "n", "bitmap"])
+
+    full = staged(texts.join(unsafe, "node", "left_semi").select("node", "text").mapInArrow(whole, "key long, node long, n long, bitmap binary"))
     often = full.groupBy("key").agg(F.count("*").alias("df"))
-    ranked = full.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ordered"))
+    ranked = full.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ordered"), F.max("bitmap").alias("bitmap"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int"))
-    postings = staged(ranked.select("node", "n", F.explode(prefix.getField("key")).alias("key")))
+    postings = staged(ranked.select("node", "n", "bitmap", F.explode(prefix.getField("key")).alias("key")))
     chained = postings.select("key", "node", (F.col("n") * 2).alias("n2")).repartition(parts, "key").sortWithinPartitions("key", "n2", "node").mapInArrow(_pairs, PAIR)
     known = links.select("a", "b")
     new = staged(verified(chained.filter("shared > 0").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts))
     joined = components(known.unionByName(new))
-    wide = postings.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    wide = postings.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"), "bitmap")
     several = wide.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).filter(F.expr(f"low < high and k > {HEAVY}")).select("key")
     across = wide.join(several, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_across, "a long, b long").distinct()
     rest = staged(verified(across, texts))
