@@ -6,9 +6,9 @@ version 2 pages), row groups of ROW_GROUP bytes and pages of PAGE bytes with col
 reader that filters on doc_id or reads only the metadata columns touches few pages. Where a document's ids start in the
 whole sequence follows from the sums of the parts (one number for each part reaches the driver).
 
-Encoding: the tokenizers library on pieces of text. A pre-tokenizer of this family never joins text across "space
-followed by a non-space", so a text is parted there, and each distinct piece is encoded once a batch; texts in which
-white space follows a space, or which hold a special token's text, are encoded whole.
+Encoding: the tokenizers library on pieces of text. A pre-tokenizer of this family splits between a word (with the
+space before it), a run of stops, a single line end and what else stands between words, so a text is parted there and
+each distinct piece is encoded once; texts that hold a special token's text are encoded whole.
 
 Defined results: null text is empty (only the end id); repeated ids stay separate rows, in the order of their texts;
 null ids come first; an empty table gives empty files. Extra columns of the input are not read.
@@ -31,8 +31,10 @@ from vellichor.session import partitions, shared_dir
 
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-CACHE = 400_000
-SPACE_THEN_SPACE = re.compile(r" (?=\s|$)")
+CACHE = 500_000  # pieces remembered by a worker
+#: Pieces that a byte-level pre-tokenizer never joins: a word with the space before it; stops with no other sign after
+#: them; a single line end; anything else up to the next space and word.
+PIECES = re.compile(r" ?[^\W\d_]+|[.,]+(?=[^\W_]|\s|$)|\n(?!\s)|[\s\S]+?(?= [^\W\d_]|$)")
 
 
 def default_tokenizer() -> str:
@@ -48,30 +50,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        # Functions travel by value, so a global of this module would last for one task: the library's module keeps it.
+        import tokenizers
+
+        self.known: dict[str, bytes] = tokenizers.__dict__.setdefault("piece_ids", {}).setdefault(path, {})
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte-level vocabularies write a byte as one character
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        """Encode each piece. Words with a space before them are encoded as one text: its ids fall apart by their bytes."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        known = self.known
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            upto = np.cumsum(self.n_bytes[ids])
+            ends = np.searchsorted(upto, np.cumsum([len(w.encode()) for w in some]), "right") * 4
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist()):
+                known[word] = data[begin:end]
+                begin = end
+        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        for piece, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE:
             self.known.clear()
-        parted: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for text in texts:
-            if SPACE_THEN_SPACE.search(text) or any(s in text for s in self.special):
-                parted.append(None)
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-            parted.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in self.known))
+        parted = [None if any(s in text for s in self.special) else PIECES.findall(text) for text in texts]
+        new = set().union(*[p for p in parted if p is not None]) - self.known.keys()
         if new:
             self._learn(list(new))
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) if pieces is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text, pieces in zip(texts, parted)]
+        ids = self.known.__getitem__
+        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None else b"".join(map(ids, pieces)) for text, pieces in zip(texts, parted)]
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
