@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -59,8 +61,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let the driver forget finished shuffles, so that executors delete their files."""
-    import gc
+    """Let the driver forget finished shuffles, so that executors delete their files before the next ones are written.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Twice, with a pause: the end of the last query is still being reported when its call returns.
+    """
+    for _ in range(2):
+        time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
