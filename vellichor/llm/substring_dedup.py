@@ -199,7 +199,9 @@ def remove_repeats(documents: DataFrame, texts: bool = True) -> DataFrame:
 
     def grouped(postings: DataFrame, scan: Callable) -> DataFrame:
         found = postings.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(scan, "doc long, place long")
-        return rows.join(found.groupBy("doc").agg(F.collect_list("place").alias("places")), "doc", "left").withColumn("places", F.coalesce("places", F.array().cast("array<long>")))
+        places = staged(found.groupBy("doc").agg(F.collect_list("place").alias("places")))
+        settle(spark)  # the postings' shuffle is done with
+        return rows.join(places, "doc", "left").withColumn("places", F.coalesce("places", F.array().cast("array<long>")))
 
     near = grouped(rows.select("doc", "tie", "text").mapInArrow(anchors, POSTING), shared)
     gone = grouped(near.filter(F.size("places") > 0).select("doc", "tie", "text", "places").mapInArrow(windows, POSTING), repeated)
