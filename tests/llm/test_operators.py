@@ -159,6 +159,20 @@ def test_line_dedup(spark, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_of_boilerplate(spark):
+    """Pairs of lines that share most of their text with all other pairs: in a bucket a line's partner is rarely the first or the previous one."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared, rows = word(200), []
+    for d in range(0, 600, 2):
+        own = word(28)
+        rows += [(d, shared + own + word(12)), (d + 1, shared + own + word(12))]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(d, t, "s", "x", 1) for d, t in rows], DOCS).repartition(4)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert found == brute_lines(rows)
+
+
 def test_minhash_recall():
     rng, hits, n = random.Random(1), 0, 400
     for _ in range(n):

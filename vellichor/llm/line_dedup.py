@@ -2,17 +2,18 @@
 
 A line's set holds the shingles of SHINGLE characters of its text in lower case with single blanks. A one-permutation
 MinHash of BINS values (empty bins are filled from the next one that is not) is cut into BANDS bands; lines that share
-a band are candidates: each is paired with the first and with the previous line of its bucket, so a bucket costs as
-many pairs as it has lines. Candidates are verified by the exact Jaccard similarity of their sets, at SIMILARITY or
-more, and joined by distributed union-find. Of each component, over all documents, only the first line (by document
-id, then place) stays.
+a band are candidates. In buckets of up to LIGHT lines all pairs are taken, in larger ones each line with the first and
+with the previous line. Candidates are verified by the exact Jaccard similarity of their sets, at SIMILARITY or more,
+and joined by distributed union-find. Larger buckets that then still span several components are scanned again, for
+all pairs between components that sizes and parity bitmaps allow (across.py). Of each component, over all documents,
+only the first line (by document id, then place) stays.
 
-At a similarity of exactly 0.75 a pair shares a band with a chance of 99 %, at 0.8 of 99.8 %, and it meets again in
-other bands and through the other lines of its group.
+So every pair that shares a band is joined or refused by its similarity. At a similarity of exactly 0.75 a pair shares a
+band with a chance of 99 %, at 0.8 of 99.8 %.
 
 Scale: equal lines are one node from the start (combined before the shuffle). Nodes are written once, bucketed, so
-that verification moves only pairs and one of two texts. Buckets are scanned run by run in sorted partitions with a
-carry of one row. Node ids are 64-bit hashes: two different lines are one with a chance of 2^-64 a pair.
+that verification moves only pairs and one of two texts. Buckets are scanned run by run in sorted partitions, in pieces
+of bounded length; the second scan deals a bucket over pairs of blocks. Node ids are 64-bit hashes: two different lines are one with a chance of 2^-64 a pair.
 
 Defined results: blank lines stay; null text: no lines, stays null; lines shorter than SHINGLE characters are one
 shingle, so they only match equal lines; equal lines in one document: the first stays; rows with equal id and text get
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
+from vellichor.llm.across import links_across, parity, runs
 from vellichor.llm.components import components
 from vellichor.session import partitions, settle, staged
 
@@ -36,6 +38,8 @@ SHINGLE = 8
 BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 SIMILARITY = 0.75
+LIGHT = 8  # lines of a bucket of which all pairs are taken at once
+BITMAP = 512  # bits of a line's parity bitmap
 CHARS = 1 << 20  # characters handled at once
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -48,17 +52,26 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
+def _codes(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """The hash of the shingle at each place."""
+    h = codes * W.P1 + np.uint64(1)
+    for step in (1, 2, 4):
+        h = h[:-step] * W.MULTIPLIER + (h[step:] ^ W.P2)
+    return W.mixed(h)
+
+
 def minhashes(lines: list[str]) -> np.ndarray:
     """One row of BINS values for each line."""
     length = np.array([len(x) for x in lines], np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = _codes(lines)
     begin = np.cumsum(length) - length
     out = np.full((len(lines), BINS), EMPTY, np.uint32)
     if len(codes) >= SHINGLE:
-        h = codes * W.P1 + np.uint64(1)
-        for step in (1, 2, 4):
-            h = h[:-step] * W.MULTIPLIER + (h[step:] ^ W.P2)
-        h = W.mixed(h)
+        h = _hashed(codes)
         n = np.maximum(length - SHINGLE + 1, 0)
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         h = h[at]
@@ -98,25 +111,42 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (bucket, node) sorted: each node with the first and the previous node of its bucket."""
-    last: tuple[int, int, int] | None = None  # bucket, its first node, its last node
-    for batch in batches:
-        bucket, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(bucket):
-            continue
-        new = np.concatenate([[last is None or bucket[0] != last[0]], bucket[1:] != bucket[:-1]])
-        firsts = np.concatenate([[last[1] if last is not None else 0], node[new]])
-        first = firsts[np.cumsum(new)]
-        previous = np.concatenate([[last[2] if last is not None else 0], node[:-1]])
-        last = (bucket[-1], first[-1], node[-1])
-        old = ~new
-        a, b = np.concatenate([first[old], previous[old]]), np.concatenate([node[old], node[old]])
-        keep = a != b
-        a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+    """From (bucket, node) sorted: the pairs of small buckets, chain and star of large ones, and for each node of a large bucket a row (node, node, bucket)."""
+    for (bucket, node), starts, cut in runs(batches, ("bucket", "node"), 1 << 16):
+        length = np.diff(np.append(starts, len(bucket)))
+        run = np.repeat(np.arange(len(starts)), length)
+        large = length > LIGHT
+        large[0] |= cut
+        long = large[run]
+        i = np.zeros(0, np.int64)
+        left, right = [i], [i]
+        for step in range(1, LIGHT):
+            i = np.flatnonzero(run[:-step] == run[step:])
+            if step > 1:
+                i = i[~long[i]]
+            if not len(i):
+                break
+            left.append(i)
+            right.append(i + step)
+        i = np.flatnonzero(long)
+        left.append(starts[run[i]])
+        right.append(i)
+        left, right = np.concatenate(left), np.concatenate(right)
+        a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
         order = np.lexsort((b, a))
+        order = order[a[order] != b[order]]
         a, b = a[order], b[order]
         keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        a, b = np.concatenate([a[keep], node[long]]), np.concatenate([b[keep], node[long]])
+        of = pa.array(np.concatenate([np.zeros(int(keep.sum()), np.int64), bucket[long]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), of], names=["a", "b", "bucket"])
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, bitmap) of lines of SHINGLE characters or more."""
+    for batch in batches:
+        found = [np.unique(_hashed(_codes([x]))) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x, BITMAP) for x in found], pa.binary())], names=["node", "n", "bitmap"])
 
 
 def shingles(line: str) -> set[str]:
@@ -148,10 +178,22 @@ def lines_of(documents: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, parts: int) -> DataFrame:
     """Verified pairs (a, b) of nodes (node, norm)."""
     buckets = nodes.select("node", "norm").mapInArrow(_bands, "bucket long, node long")
-    pairs = staged(buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_chained, "a long, b long").distinct())
+    found = staged(buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_chained, "a long, b long, bucket long").distinct())
     settle(nodes.sparkSession)
     left, right = nodes.select(F.col("node").alias("a"), F.col("norm").alias("norm_a")), nodes.select(F.col("node").alias("b"), F.col("norm").alias("norm_b"))
-    return staged(pairs.join(left, "a").join(right, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_alike, "a long, b long"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_alike, "a long, b long")
+
+    known = staged(verify(found.filter("a <> b")))
+    settle(nodes.sparkSession)
+    # Shorter lines are like nothing but equal lines, which are one node.
+    members = found.filter("a = b").select(F.col("bucket").alias("key"), F.col("a").alias("node"))
+    if not members.limit(1).count():
+        return known
+    sets = staged(nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary"))
+    more = links_across(members, sets, known, verify, parts)
+    return known if more is None else known.unionByName(more)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
