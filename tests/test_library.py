@@ -265,3 +265,22 @@ def test_ink(spark):
     assert rows.filter(ink.touches(F.col("points"), F.lit(11.0), F.lit(9.0), 2.0)).count() == 1
     valid = spark.createDataFrame([([[1, 2], [3, 4, 5, 6]],), ([[1, 2, 3]],), ([],)], "s array<array<int>>")
     assert [r.x for r in valid.select(ink.is_valid(F.col("s")).alias("x")).collect()] == [True, False, False]
+
+
+def test_script_holds_whole_utterances(spark, sf):
+    signs = str.maketrans(dict.fromkeys("»«„“”‚‘›‹\"\r\n.!?…:", " "))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text").collect()
+    said = {(r.conv_id, r.turn): r.text.translate(signs) for r in rows}
+    assert max(map(len, said.values())) > 80
+    opened = {}
+    who = {"user": "Anna", "assistant": "Jonas", "system": "Paul"}
+    roles = {(r.conv_id, r.turn): who[r.role] for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role").collect()}
+    for k in said:
+        opened[k] = len(f"{roles[k]} sagte: ") if k[1] % 3 == 1 else 0
+    found = catalogue.QUERIES["speech_spans_all"](spark, sf).collect()
+    assert sorted((r.book_id, r.block_ord, r.s, r.e) for r in found) == sorted((*k, opened[k], opened[k] + len(t) + 2) for k, t in said.items())
+    texts = {(r.book_id, r.block_ord): r.text for r in catalogue.QUERIES["review_context_all"](spark, sf).select("book_id", "block_ord", "text").collect()}
+    assert texts and all(f"»{said[k]}«" in t for k, t in texts.items())
+    words = {r.book_id: r.words for r in catalogue.QUERIES["book_stats"](spark, sf).collect()}
+    whole = books.script(spark.read.parquet(f"{sf}/conversations.parquet")).groupBy("book_id").agg(F.sum(T.word_count(F.col("text"))).alias("n")).collect()
+    assert words == {r.book_id: r.n for r in whole}

@@ -56,6 +56,11 @@ def _script(spark: SparkSession, sf: str) -> DataFrame:
     return books.script(table(spark, sf, "conversations"))
 
 
+def _clipped_script(spark: SparkSession, sf: str) -> DataFrame:
+    """The script as SCRIPT has it, for queries whose SQL depends on the length of a text."""
+    return books.script(table(spark, sf, "conversations"), 80)
+
+
 def _named(spark: SparkSession, sf: str) -> DataFrame:
     """Script turns that name their speaker, as attributed spans."""
     rows = _script(spark, sf).filter("kind < 2")
@@ -199,6 +204,12 @@ def script_quote_style(spark, sf):
 WITH {SCRIPT} SELECT book_id, block_ord, strpos(text, '»')::BIGINT - 1 AS s, strpos(text, '«')::BIGINT AS e FROM script
 """)
 def speech_spans(spark, sf):
+    return speech.speech_spans(_clipped_script(spark, sf)).select("book_id", "block_ord", "s", "e")
+
+
+@query()
+def speech_spans_all(spark, sf):
+    """The spans of whole utterances."""
     return speech.speech_spans(_script(spark, sf)).select("book_id", "block_ord", "s", "e")
 
 
@@ -510,14 +521,23 @@ def speech_steps(spark, sf):
     return views.speech_steps(_named(spark, sf).withColumn("s", F.lit(0).cast("long"))).select("book_id", "speaker", "block_ord", F.coalesce("next_block", F.lit(-1)).alias("next_block"), F.coalesce("previous_block", F.lit(-1)).alias("previous_block"))
 
 
+def _review_context(rows: DataFrame) -> DataFrame:
+    queue = rows.filter("kind = 2").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("block_ord")).cast("long").alias("place"), "block_ord")
+    return views.review_context(queue, rows)
+
+
 @query(f"""
 WITH {SCRIPT}, q AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_ord) AS place, block_ord FROM script WHERE kind = 2)
 SELECT q.book_id, q.place, s.block_ord, s.text FROM q JOIN script s ON s.book_id = q.book_id AND s.block_ord BETWEEN q.block_ord - 2 AND q.block_ord + 1
 """)
 def review_context(spark, sf):
-    rows = _script(spark, sf)
-    queue = rows.filter("kind = 2").select("book_id", F.row_number().over(Window.partitionBy("book_id").orderBy("block_ord")).cast("long").alias("place"), "block_ord")
-    return views.review_context(queue, rows)
+    return _review_context(_clipped_script(spark, sf))
+
+
+@query()
+def review_context_all(spark, sf):
+    """The context with whole utterances."""
+    return _review_context(_script(spark, sf))
 
 
 @query("SELECT book_id, seq FROM (SELECT user_id AS book_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20")

@@ -16,10 +16,10 @@ FIGURES = {"user": "Anna", "assistant": "Jonas", "system": "Paul"}
 NOT_IN_SPEECH = r"[»«„“”‚‘›‹\"\r\n.!?…:]"
 
 
-def script(conversations: DataFrame) -> DataFrame:
-    """(book_id, chapter_ord, block_ord, kind, who, type, text)."""
+def script(conversations: DataFrame, chars: int | None = None) -> DataFrame:
+    """(book_id, chapter_ord, block_ord, kind, who, type, text); chars: only so many characters of each utterance."""
     who = F.when(F.col("role") == "user", "Anna").when(F.col("role") == "assistant", "Jonas").otherwise("Paul")
-    said = F.regexp_replace(F.substring("text", 1, 80), NOT_IN_SPEECH, " ")
+    said = F.regexp_replace("text" if chars is None else F.substring("text", 1, chars), NOT_IN_SPEECH, " ")
     kind = (F.col("turn") % 3).cast("int")
     text = F.when(F.col("kind") == 0, F.concat(F.lit("»"), "said", F.lit("«, sagte "), "who", F.lit("."))).when(F.col("kind") == 1, F.concat("who", F.lit(" sagte: »"), "said", F.lit("«"))).otherwise(F.concat(F.lit("»"), "said", F.lit("«")))
     rows = conversations.select(F.col("conv_id").alias("book_id"), F.floor(F.col("turn") / CHAPTER_TURNS).cast("long").alias("chapter_ord"), F.col("turn").alias("block_ord"), kind.alias("kind"), who.alias("who"), said.alias("said"))
