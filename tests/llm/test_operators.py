@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from vellichor.llm import chat_format, components, decontamination, jaccard_join, line_dedup, media, packing, substring_dedup, token_files, toxicity, url_filter
+from vellichor.llm import across, chat_format, components, decontamination, jaccard_join, line_dedup, media, packing, substring_dedup, token_files, toxicity, url_filter
 
 DOCS = "doc_id long, text string, source string, key string, place long"  # clashing names on purpose
 WORDS = [f"w{i}" for i in range(40)]
@@ -438,6 +438,26 @@ def test_jaccard_join(spark, docs, texts, no_docs, heavy, monkeypatch):
     assert jaccard_join.link_documents(no_docs).count() == 0
 
 
+def test_across_deals_a_hot_key_in_blocks(spark, monkeypatch):
+    """One key holds all sets: no cell may hold more than about two blocks, and the pairs are those of all against all."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(1, 1 << 62, 80).astype(np.uint64)
+    sets = [np.concatenate([shared, rng.integers(1, 1 << 62, 5 + k % 25).astype(np.uint64)]) for k in range(300)]
+    rows = [(7, k, len(x), k // 2, across.parity(x)) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key long, node long, n long, comp long, bitmap binary").repartition(4)
+    monkeypatch.setattr(across, "BLOCK", 30)
+    cells = across.dealt(frame).groupBy("cell").count().collect()
+    assert len(cells) == 10 * 11 // 2 and max(r["count"] for r in cells) < 120
+    found = {(r.a, r.b) for r in across.candidates(frame, 4).collect()}
+
+    def may(a, b):
+        apart = int(np.bitwise_count(np.frombuffer(rows[a][4], np.uint8) ^ np.frombuffer(rows[b][4], np.uint8)).sum())
+        both = len(sets[a]) + len(sets[b])
+        return 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and 7 * ((both - apart) // 2) >= 3 * both
+
+    assert found == {(a, b) for a, b in itertools.combinations(range(300), 2) if a // 2 != b // 2 and may(a, b)}
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300), (5, 4), (500, 400)] + [(1000, k) for k in range(1001, 1100)]

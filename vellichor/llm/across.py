@@ -80,12 +80,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, n, comp, bitmap) of keys that span several components, once for each cell they are in: (cell, side, node, n, comp, bitmap)."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select("key", "blocks")
+    blocks = rows.join(several, "key").withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return blocks.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.expr("if(block = other, -1, block)").alias("side"), "node", "n", "comp", "bitmap")
+
+
 def candidates(rows: DataFrame, parts: int) -> DataFrame:
     """Distinct (a, b) of rows (key, node, n, comp, bitmap) that may link across components."""
-    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low < high").select("key", "blocks")
-    dealt = rows.join(several, "key").withColumn("block", F.expr("cast(pmod(xxhash64(node, 1), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), F.expr("if(block = other, -1, block)").alias("side"), "node", "n", "comp", "bitmap")
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "n", "node").mapInArrow(_across, "a long, b long").distinct()
+    return dealt(rows).repartition(parts, "cell").sortWithinPartitions("cell", "n", "node").mapInArrow(_across, "a long, b long").distinct()
 
 
 def links_across(members: DataFrame, sets: DataFrame, known: DataFrame, verify: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame | None:

@@ -15,7 +15,8 @@ Light lists (up to HEAVY sets) are scanned for pairs of compatible sizes. Of hea
 taken; what they may miss is found exactly: a set with fewer heavy shingles in its prefix than the l of its smallest
 partner still shares a light one with every partner. Only sets with more of them (large groups of near copies, boilerplate) go through a second
 round, with shingles ordered by their true frequency among these sets; there, lists that still span several components
-after the verified links are joined are scanned for all pairs between components that the sets' parity bitmaps allow.
+after the verified links are joined are scanned for all pairs between components that the sets' parity bitmaps allow,
+first for one set of each component, and dealt over pairs of blocks (across.py).
 
 Candidates are verified by the exact Jaccard similarity of the whole texts' sets. Lists are scanned run by run in
 sorted partitions; no list, group or component is collected, and nothing grows on the driver.
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
+from vellichor.llm.across import links_across, parity, runs
 from vellichor.llm.components import components
 from vellichor.session import discard, partitions, settle, staged
 
@@ -42,7 +44,6 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 HEAVY = 16
 ENUMERATE = 2.0
-BITMAP = 1024  # bits of a set's parity bitmap
 PAIR_WEIGHT = 1 << 20  # a heavy pair key counts as many heavy shingles: no slack covers it
 
 
@@ -122,29 +123,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[own]), pa.array(size[own] * 2 + pairwise)], names=["key", "node", "n2"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
-    """Columns with whole runs of the first, the runs' begins, and whether the first run goes on from an earlier piece: a run longer than most is cut, its pieces overlapping by one row."""
-    held: list[np.ndarray] | None = None
-    cut = False
-    for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if not len(now[0]):
-            continue
-        now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        starts = np.flatnonzero(np.concatenate([[True], now[0][1:] != now[0][:-1]]))
-        upto = int(starts[-1])
-        if len(now[0]) - upto > most:
-            yield now, starts, cut
-            held, cut = [x[-1:] for x in now], True
-        else:
-            if upto:
-                yield [x[:upto] for x in now], starts[:-1], cut
-                cut = False
-            held = [x[upto:] for x in now]
-    if held is not None and len(held[0]):
-        yield held, np.zeros(1, np.int64), cut
-
-
 def _compatible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes a <= b of two sets that may link."""
     return DENOMINATOR * a >= NUMERATOR * b
@@ -155,7 +133,7 @@ PAIR = "a long, b long, shared long, need long, heavy long"
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings sorted by (key, n2, node): candidate pairs with the number of lists that gave them and the least number that a linked pair shares (heavy = 0), and for each set in a heavy list a row (node, node, 0, 0, number of heavy keys)."""
-    for (key, node, n2), starts, cut in _runs(batches, ("key", "node", "n2"), 1 << 16):
+    for (key, node, n2), starts, cut in runs(batches, ("key", "node", "n2"), 1 << 16):
         length = np.diff(np.append(starts, len(key)))
         run = np.repeat(np.arange(len(starts)), length)
         n = n2 >> 1
@@ -193,38 +171,6 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((a[at], heavy), (b[at], heavy), (times, np.zeros(len(heavy))), (need[at], np.zeros(len(heavy))), (np.zeros(len(times)), often))], names=["a", "b", "shared", "need", "heavy"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (key, n, node) with components: pairs of different components in one list that may still link.
-
-    Where the parity bitmaps of two sets differ in h bits, at least h elements are in one set only, so the overlap is at
-    most (a + b - h) / 2: pairs that cannot reach the similarity are never sent."""
-    for (key, node, n, comp, bitmap), starts, _ in _runs(batches, ("key", "node", "n", "comp", "bitmap"), 1 << 62):
-        length = np.diff(np.append(starts, len(key)))
-        for s, k in zip(starts[length > 1], length[length > 1]):
-            c, m, size = comp[s : s + k], node[s : s + k], n[s : s + k]
-            if (c == c[0]).all():
-                continue
-            bits = np.frombuffer(b"".join(bitmap[s : s + k]), np.uint64).reshape(k, -1)
-            a, b = [], []
-            for i in range(k - 1):  # partners of growing size
-                to = int(np.searchsorted(size, size[i] * DENOMINATOR // NUMERATOR, "right"))
-                j = np.flatnonzero(c[i + 1 : to] != c[i]) + i + 1
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                both = size[i] + size[j]
-                j = j[(NUMERATOR + DENOMINATOR) * ((both - apart) // 2) >= NUMERATOR * both]
-                a.append(np.full(len(j), m[i]))
-                b.append(m[j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def parity(shingles: np.ndarray) -> bytes:
-    """BITMAP bits: whether an odd number of shingles falls on each."""
-    counts = np.bincount((shingles % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
-
-
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -291,18 +237,18 @@ def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts:
 
     full = staged(texts.join(unsafe, "node", "left_semi").select("node", "text").mapInArrow(whole, "key long, node long, n long, bitmap binary"))
     often = full.groupBy("key").agg(F.count("*").alias("df"))
-    ranked = full.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ordered"), F.max("bitmap").alias("bitmap"))
+    ranked = full.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int"))
-    postings = staged(ranked.select("node", "n", "bitmap", F.explode(prefix.getField("key")).alias("key")))
+    postings = staged(ranked.select("node", "n", F.explode(prefix.getField("key")).alias("key")))
     chained = postings.select("key", "node", (F.col("n") * 2).alias("n2")).repartition(parts, "key").sortWithinPartitions("key", "n2", "node").mapInArrow(_pairs, PAIR)
     known = links.select("a", "b")
     new = staged(verified(chained.filter("shared > 0").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts))
-    joined = components(known.unionByName(new))
-    wide = postings.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"), "bitmap")
-    several = wide.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("k")).filter(F.expr(f"low < high and k > {HEAVY}")).select("key")
-    across = wide.join(several, "key", "left_semi").repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_across, "a long, b long").distinct()
-    rest = staged(verified(across, texts))
-    return new.unionByName(rest)
+    joined = known.unionByName(new)
+    long = postings.groupBy("key").count().filter(F.col("count") > HEAVY).select("key")
+    members = postings.select("key", "node").join(long, "key", "left_semi")
+    bitmaps = full.filter("bitmap is not null").select("node", "n", "bitmap")
+    rest = links_across(members, bitmaps, joined, lambda pairs: verified(pairs, texts), parts)
+    return new if rest is None else new.unionByName(rest)
 
 
 def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
