@@ -310,6 +310,21 @@ def test_chat_format(spark, monkeypatch):
 # 6 media ----------------------------------------------------------------------------------------------------------
 
 
+def test_media_padded_with_silence(spark, monkeypatch):
+    """The silences meet at an offset of too short an overlap, with more hits than the true offset has."""
+    rng = np.random.default_rng(6)
+    music = rng.integers(-(1 << 31), 1 << 31, 60).astype(np.int32)
+    noisy = music.copy()
+    noisy[np.arange(60) % 4 != 0] ^= 1 << 7  # runs of KEY equal marks are left at few places
+    noisy[20:30] = music[20:30]
+    silence = np.full(30, 5, np.int32)
+    marks = {0: np.concatenate([silence, music]), 1: np.concatenate([noisy, silence])}
+    frame = spark.createDataFrame([(k, m.tolist()) for k, m in marks.items()], "id long, marks array<int>")
+    monkeypatch.setattr(media, "fingerprints", lambda _: frame)
+    found = {r.id: (r.query_id, r.offset) for r in media.align(frame).collect()}
+    assert found == {0: (None, None), 1: (0, -30)}
+
+
 def test_media(spark):
     rng = np.random.default_rng(8)
     base = [media.tones(rng.normal(0, 0.125, 64)) for _ in range(60)]

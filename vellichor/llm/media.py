@@ -6,8 +6,8 @@ packed into one 32-bit integer a frame. Two recordings are aligned at an offset
 with a bit error rate of at most ERROR.
 
 Search: runs of KEY equal integers are the keys of an inverted index over every recording; the queries' keys meet it in
-an equi-join, hits are counted by (query, recording, offset), an offset histogram, and the best offsets are verified by
-their bit errors. Recordings with equal fingerprints are one class from the start, so copies multiply nothing; results
+an equi-join, hits are counted by (query, recording, offset), an offset histogram, and every offset with a hit is
+verified by its bit errors; of those that pass, the one with most hits (of equal ones the largest) is the result. Recordings with equal fingerprints are one class from the start, so copies multiply nothing; results
 are pairs of class representatives plus every row's class.
 
 Scale: fingerprints are made in Arrow batches and written once; hits are combined before they move; only fingerprints of
@@ -143,18 +143,27 @@ def align(media: DataFrame) -> DataFrame:
     posted = classes.filter(F.size("marks") >= KEY).select("class_id", "asked", F.explode(key).alias("x")).select("class_id", "asked", "x.at", "x.key")
     asked = posted.filter("asked = 1").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), "key")
     hits = asked.join(posted, "key").filter("query_id <> class_id").groupBy("query_id", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).count()
-    best = hits.groupBy("query_id", "class_id").agg(F.max(F.struct("count", "offset")).alias("best")).select("query_id", "class_id", "best.offset")
+    # A pair has at most as many offsets as both recordings have frames.
+    bins = F.reverse(F.array_sort(F.collect_list(F.struct("count", "offset")))).getField("offset").alias("offsets")
+    best = hits.groupBy("query_id", "class_id").agg(bins)
     marks = classes.select("class_id", "marks")
     pairs = best.join(marks, "class_id").join(marks.select(F.col("class_id").alias("query_id"), F.col("marks").alias("query_marks")), "query_id")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets = batch.column("offset").to_pylist()
-            found = [bit_errors(np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int32), o) for a, b, o in zip(batch.column("query_marks"), batch.column("marks"), offsets)]
-            rate = np.array([wrong / (32 * n) if n else 1.0 for wrong, n in found])
-            keep = pa.array((rate <= ERROR) & (np.array([n for _, n in found]) >= OVERLAP))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("class_id"), pa.array(offsets, pa.int64()), pa.array(rate)], names=["query_id", "class_id", "offset", "bit_error"]).filter(keep)
-
-    aligned = pairs.select("query_id", "class_id", "offset", "marks", "query_marks").mapInArrow(checked, "query_id long, class_id long, offset long, bit_error double")
+            row, offset, rate = [], [], []
+            for r, (a, b, offsets) in enumerate(zip(batch.column("query_marks"), batch.column("marks"), batch.column("offsets").to_pylist())):
+                a, b = np.array(a.as_py(), np.int32), np.array(b.as_py(), np.int32)
+                for o in offsets:
+                    wrong, n = bit_errors(a, b, o)
+                    if n >= OVERLAP and wrong <= ERROR * 32 * n:
+                        row.append(r)
+                        offset.append(o)
+                        rate.append(wrong / (32 * n))
+                        break
+            some = batch.select(["query_id", "class_id"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(offset, pa.int64()), pa.array(rate, pa.float64())], names=["query_id", "class_id", "offset", "bit_error"])
+
+    aligned = pairs.select("query_id", "class_id", "offsets", "marks", "query_marks").mapInArrow(checked, "query_id long, class_id long, offset long, bit_error double")
     members = keyed.select("id", "whole", F.size("marks").cast("long").alias("n_marks")).join(classes.select("whole", "class_id"), "whole").select("id", "class_id", "n_marks")
     return members.join(aligned.withColumnRenamed("class_id", "rep"), F.col("id") == F.col("rep"), "left").select("id", "class_id", "n_marks", "query_id", "offset", "bit_error")
