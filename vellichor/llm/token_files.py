@@ -6,18 +6,21 @@ version 2 pages), row groups of ROW_GROUP bytes and pages of PAGE bytes with col
 reader that filters on doc_id or reads only the metadata columns touches few pages. Where a document's ids start in the
 whole sequence follows from the sums of the parts (one number for each part reaches the driver).
 
-Encoding: the tokenizers library on pieces of text. A pre-tokenizer of this family splits between a word (with the
-space before it), a run of stops, a single line end and what else stands between words, so a text is parted there and
-each distinct piece is encoded once; texts that hold a special token's text are encoded whole.
-
-Defined results: null text is empty (only the end id); repeated ids stay separate rows, in the order of their texts;
-null ids come first; an empty table gives empty files. Extra columns of the input are not read.
+Encoding: the tokenizers library on pieces of text. A byte-level pre-tokenizer never joins what stands on both sides of
+the cuts that `cuts` makes, so each distinct piece is encoded once in a worker's life, and a batch's ids are gathered
+from the distinct pieces' by array operations. Texts that hold an added token's text, and all texts of tokenizers that
+work otherwise, are encoded whole.
+
+Defined results: null text is empty (only the end id); repeated ids stay separate rows, in the order of their texts'
+hashes, and are dealt over partitions by them; null ids come first; an empty table gives empty files. Extra columns of
+the input are not read.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +34,14 @@ from vellichor.session import partitions, shared_dir
 
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-CACHE = 500_000  # pieces remembered by a worker
-#: Pieces that a byte-level pre-tokenizer never joins: a word with the space before it; stops with no other sign after
-#: them; a single line end; anything else up to the next space and word.
-PIECES = re.compile(r" ?[^\W\d_]+|[.,]+(?=[^\W_]|\s|$)|\n(?!\s)|[\s\S]+?(?= [^\W\d_]|$)")
+CACHE, LONGEST = 500_000, 64  # pieces remembered by a worker, and the bytes of the longest of them
+SLICE = 4 << 20  # bytes of text handled at once; a longer text is a slice of its own
+
+_code = np.arange(256)
+SPACE = (_code == 0x20) | ((_code >= 0x09) & (_code <= 0x0D))
+SIGN = (_code > 0x20) & (_code < 0x7F)  # any visible ASCII character
+ALNUM = SIGN & np.array([chr(c).isalnum() for c in range(256)])
+STOP = SIGN & ~ALNUM
 
 
 def default_tokenizer() -> str:
@@ -43,49 +50,88 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places (after the first) of UTF-8 text where a byte-level pre-tokenizer begins a new token, whatever follows.
+
+    Its tokens are white space or, after one blank at most, letters, digits or other signs (or an apostrophe with some
+    letters), so a token ends before white space that follows a sign, before a stop that follows a letter or digit, and
+    after a line end that stands alone between signs. Of characters beyond ASCII only U+00C0-U+00FF are judged."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    before, now = data[:-1], data[1:]
+    latin = np.zeros(len(data) - 1, bool)
+    latin[1:] = data[:-2] == 0xC3
+    latin &= before >= 0x80
+    letter = ALNUM[before] | (latin & (before != 0x97) & (before != 0xB7))  # without the signs for times and divided
+    cut = (SPACE[now] & (SIGN[before] | latin)) | (STOP[now] & letter)
+    cut[1:] |= (before[1:] == 0x0A) & SIGN[data[:-2]] & SIGN[now[1:]]
+    return np.flatnonzero(cut) + 1
+
+
+def remembered(path: str) -> dict[bytes, bytes]:
+    """Ids of pieces, kept for a worker's life: this module travels by value, so its own globals last for one task."""
+    kept = sys.modules.setdefault("vellichor_worker_state", types.ModuleType("vellichor_worker_state"))
+    return kept.__dict__.setdefault("piece_ids", {}).setdefault(path, {})
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Functions travel by value, so a global of this module would last for one task: the library's module keeps it.
-        import tokenizers
-
-        self.known: dict[str, bytes] = tokenizers.__dict__.setdefault("piece_ids", {}).setdefault(path, {})
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token)  # byte-level vocabularies write a byte as one character
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode each piece. Words with a space before them are encoded as one text: its ids fall apart by their bytes."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
+        self.known = remembered(path)
+        before = t.pre_tokenizer
+        self.in_pieces = isinstance(t.model, models.BPE) and not t.model.dropout and t.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and not t.truncation and not t.padding
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            upto = np.cumsum(self.n_bytes[ids])
-            ends = np.searchsorted(upto, np.cumsum([len(w.encode()) for w in some]), "right") * 4
-            data, begin = ids.tobytes(), 0
-            for word, end in zip(some, ends.tolist()):
-                known[word] = data[begin:end]
-                begin = end
-        others = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
-        for piece, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parted = [None if any(s in text for s in self.special) else PIECES.findall(text) for text in texts]
-        new = set().union(*[p for p in parted if p is not None]) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        ids = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None else b"".join(map(ids, pieces)) for text, pieces in zip(texts, parted)]
+        new = [p for p in pieces if p not in known]
+        fresh = dict(zip(new, self._encoded(new)))
+        found = [known[p] if p in known else fresh[p] for p in pieces]
+        if len(known) > CACHE:
+            known.clear()
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        return found
+
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) of data[offsets[k]:offsets[k + 1]]."""
+        texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])] if not self.in_pieces or any(x in data.tobytes() for x in self.added) else []
+        whole = [k for k, t in enumerate(texts) if not self.in_pieces or any(x in t for x in self.added)]
+        if len(whole) == len(offsets) - 1:
+            ids = self._encoded(texts)
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        starts = np.union1d(cuts(data), offsets[:-1][np.diff(offsets) > 0])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        found = self._of_pieces(pieces.dictionary.to_pylist())
+        length = np.array([len(x) // 4 for x in found], np.int64)
+        begin = np.cumsum(length) - length
+        which = pieces.indices.to_numpy()
+        n = length[which]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[which] - (upto - n), n) + np.arange(int(n.sum()))]
+        counts = np.diff(np.append(0, upto)[np.searchsorted(starts, offsets)])
+        if whole:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k, x in zip(whole, self._encoded([texts[k] for k in whole])):
+                parts[k] = np.frombuffer(x, "<u4")
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, number of ids of each row) of slices of texts; null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        whole = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            yield at, to, *self.slice(whole[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -94,18 +140,17 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                ids = [x + end for x in encoder.encode([t or "" for t in some.column(1).to_pylist()])]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                values = np.frombuffer(b"".join(ids), "<i4")
+            for at, to, ids, counts in encoder.encode(batch.column(1)):
+                values = np.full(len(ids) + len(counts), end_id, np.int32)  # the end id stays where no other is put
+                values[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                ends = np.cumsum(np.append(0, counts + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(ends)), lists], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts + 1), lists], names=["doc_id", "n_tokens", "ids"])
 
     n = partitions(spark)
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     out = dealt.mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>").withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33).cast("int"))
     out.select("doc_id", "part", "row", "n_tokens", "ids").write.option("compression", "zstd").option("parquet.enable.dictionary", "true").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.size", str(ROW_GROUP)).option("parquet.page.size", str(PAGE)).parquet(path)
 
