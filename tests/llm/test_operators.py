@@ -183,6 +183,38 @@ def test_minhash_recall():
     assert hits / n > 0.97
 
 
+def test_overlaps_are_those_of_sets():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab é😀") for _ in range(rng.randrange(8, 60))) for _ in range(400)]
+    left, right = lines[:200], [x if k % 9 == 0 else lines[k][:30] + x for k, x in enumerate(lines[200:])]
+    both, either = line_dedup.overlaps(left, right)
+    for x, y, i, u in zip(left, right, both, either):
+        a, b = line_dedup.shingles(x), line_dedup.shingles(y)
+        assert (i, u) == (len(a & b), len(a | b))
+
+
+def test_line_dedup_recall_on_hard_families(spark):
+    """Families of variants, two words of fourteen changed in each: of the lines that exact links remove, nearly all go. Equal rows, null ids and a very long line beside them."""
+    rng, rows = random.Random(21), []
+    for _ in range(12):
+        base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(14)]
+        for _ in range(60):
+            w = list(base)
+            for at in rng.sample(range(14), 2):
+                w[at] = "".join(rng.choice("qrstuvwxyz") for _ in range(7))
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    wanted = brute_lines(rows)
+    odd = [(5000, "y" * 300_000 + "\nshort"), (5001, "short"), (5001, "short"), (None, "own line of nobody"), (None, "own line of nobody")]
+    frame = spark.createDataFrame([*rows, *odd], "doc_id long, text string").repartition(4)
+    out = line_dedup.dedup_lines(frame).collect()
+    found = {r.doc_id: r.text for r in out if r.doc_id is not None and r.doc_id < 5000}
+    gone = {d for d, t in wanted.items() if not t}
+    assert all(found[d] == wanted[d] for d in wanted if wanted[d])
+    assert len({d for d in gone if not found[d]}) >= 0.97 * len(gone)
+    assert sorted((r.doc_id or 0, len(r.text)) for r in out if r.doc_id is None or r.doc_id >= 5000) == [(0, 18), (0, 18), (5000, 300_006), (5001, 0), (5001, 0)]
+
+
 # 3 packing --------------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +439,73 @@ def test_token_files(spark, docs, texts, no_docs, tmp_path):
     assert token_files.token_files(no_docs).count() == 0
 
 
+def test_encoder_agrees_with_the_library_on_random_strings(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(5), token_files.default_tokenizer()
+    signs = ["a", "b", "Z", "é", "ß", "×", "÷", "\u00a0", "\u3000", "\u0085", "\u0301", "1", "²", "Ⅷ", " ", "  ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", ".", ",", "'", "'s", "'ll", "!", "-", "_", "😀", "ж", "<|endoftext|>", "\x7f", "\x00", "ÿ"]
+    texts = ["foo\n\n", "a\n", "\n", ""] + ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    wanted = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for size, cache in ((token_files.SLICE, token_files.CACHE), (999, 50)):
+        monkeypatch.setattr(token_files, "SLICE", size)
+        monkeypatch.setattr(token_files, "CACHE", cache)
+        found = [x.tolist() for _, _, ids, n in token_files.Encoder(path).encode(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert found == wanted
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello there, WORLD", "", "a  b\n"]
+    encoder = token_files.Encoder(path)
+    assert not encoder.in_pieces
+    found = [x.tolist() for _, _, ids, n in encoder.encode(pa.array(texts)) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert found == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_with_null_and_repeated_ids(spark):
+    rows = [(None, "b c"), (None, "a"), (3, "x y z"), (3, "x y z"), (3, None), (1, "one")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(token_files.token_files(frame).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None, None, 1, 3, 3, 3]
+    assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out])[:-1].tolist()]
+
+
+def test_token_files_encodings_row_groups_and_page_indexes(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "ROW_GROUP", 1 << 18)
+    monkeypatch.setattr(token_files, "PAGE", 16 << 10)
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(k, " ".join(rng.choice(WORDS) + str(rng.randrange(9999)) for _ in range(300))) for k in range(3000)], "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(frame, path, token_files.default_tokenizer())
+    files = sorted((tmp_path / "tokens").glob("*.parquet"))
+    assert files
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        assert meta.num_row_groups > 1
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                assert column.has_offset_index and column.has_column_index
+                assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings), (column.path_in_schema, column.encodings)
+    # A selective read decodes a small part of the rows: Spark counts those that its scan yields.
+    some = token_files.read_tokens(spark, path, "doc_id = 1500")
+    rows = some.collect()
+    assert [r.doc_id for r in rows] == [1500] and "GreaterThan" not in str(rows)
+    plan = some._jdf.queryExecution().executedPlan()
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    some._jdf.queryExecution().executedPlan().executeCollect()
+    assert scan.metrics().apply("numOutputRows").value() < 1500
+
+
 # 9 Jaccard join ---------------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ A key's rows are dealt by node over blocks of about BLOCK rows, and every pair o
 with any share of the rows is many tasks, none of which holds more than two blocks. In a cell only pairs of different
 components, of compatible sizes and with parity bitmaps that allow the similarity are sent.
 
-First one member of each component and key is paired; components that these join need no further pair. Then all
-members are.
+First a key's members are ordered by each of SIGNATURES min-hashes and neighbours of different components are paired:
+a linear number of pairs that joins nearly all of a group of near copies. Then all pairs between the components that are
+left are taken.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellichor.llm import words as W
 from vellichor.llm.components import components
 from vellichor.session import staged
 
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 BITMAP = 1024  # bits of a set's parity bitmap
 BLOCK = 2048
+SIGNATURES = 6
 
 
 def parity(elements: np.ndarray, bits: int = BITMAP) -> bytes:
@@ -31,6 +34,14 @@ def parity(elements: np.ndarray, bits: int = BITMAP) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+_SALTS = W.mixed(np.arange(1, SIGNATURES + 1, dtype=np.uint64) * W.P3)[:, None]
+
+
+def signatures(elements: np.ndarray) -> np.ndarray:
+    """The least of the elements under each of SIGNATURES hash functions."""
+    return W.mixed(elements[None, :] ^ _SALTS).min(axis=1).view(np.int64)
+
+
 def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
     """Columns with whole runs of the first, the runs' begins, and whether the first run goes on from an earlier piece: a run longer than most is cut, its pieces overlapping by one row."""
     held: list[np.ndarray] | None = None
@@ -92,21 +103,34 @@ def candidates(rows: DataFrame, parts: int) -> DataFrame:
     return dealt(rows).repartition(parts, "cell").sortWithinPartitions("cell", "n", "node").mapInArrow(_across, "a long, b long").distinct()
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (cell, node): pairs of neighbours of one cell that are in different components."""
+    for (cell, node, comp), _, _ in runs(batches, ("cell", "node", "comp"), 1 << 16):
+        i = np.flatnonzero((cell[:-1] == cell[1:]) & (comp[:-1] != comp[1:]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[i + 1])), pa.array(np.maximum(node[i], node[i + 1]))], names=["a", "b"])
+
+
+def neighbours(rows: DataFrame, parts: int) -> DataFrame:
+    """Distinct (a, b): of rows (key, node, comp, sigs), those next to each other in a key with an equal signature."""
+    cells = rows.select("key", "node", "comp", F.posexplode("sigs").alias("s", "sig")).select(F.xxhash64("key", "s", "sig").alias("cell"), "node", "comp")
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(_neighbours, "a long, b long").distinct()
+
+
 def links_across(members: DataFrame, sets: DataFrame, known: DataFrame, verify: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame | None:
     """Verified links (a, b) between sets that share a key and that known links do not join; None if there are none to look for.
 
-    members: (key, node); sets: (node, n, bitmap); verify keeps the pairs (a, b) that link."""
+    members: (key, node); sets: (node, n, bitmap, sigs); verify keeps the pairs (a, b) that link."""
 
-    def wide(edges: DataFrame) -> DataFrame:
-        rows = members.join(components(edges), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    def wide(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        rows = rows.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        return staged(rows.join(several, "key", "left_semi").join(sets, "node"))
+        return staged(rows.join(several, "key", "left_semi"))
 
-    rows = wide(known)
+    rows = wide(members, known)
     if not rows.limit(1).count():
         return None
-    one = rows.groupBy("key", "comp").agg(F.min("node").alias("node"))
-    first = staged(candidates(one.join(sets, "node").select("key", "node", "n", "comp", "bitmap"), parts))
+    first = staged(neighbours(rows.join(sets.select("node", "sigs"), "node"), parts))
     found = staged(verify(first))
-    rest = candidates(wide(known.unionByName(found)), parts).join(first, ["a", "b"], "left_anti")
+    rows = wide(rows, known.unionByName(found))
+    rest = candidates(rows.join(sets.select("node", "n", "bitmap"), "node"), parts).join(first, ["a", "b"], "left_anti")
     return found.unionByName(staged(verify(rest)))

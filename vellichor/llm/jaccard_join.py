@@ -15,8 +15,8 @@ Light lists (up to HEAVY sets) are scanned for pairs of compatible sizes. Of hea
 taken; what they may miss is found exactly: a set with fewer heavy shingles in its prefix than the l of its smallest
 partner still shares a light one with every partner. Only sets with more of them (large groups of near copies, boilerplate) go through a second
 round, with shingles ordered by their true frequency among these sets; there, lists that still span several components
-after the verified links are joined are scanned for all pairs between components that the sets' parity bitmaps allow,
-first for one set of each component, and dealt over pairs of blocks (across.py).
+after the verified links are joined are paired by neighbouring signatures, then scanned for all pairs between components
+that the sets' parity bitmaps allow, dealt over pairs of blocks (across.py).
 
 Candidates are verified by the exact Jaccard similarity of the whole texts' sets. Lists are scanned run by run in
 sorted partitions; no list, group or component is collected, and nothing grows on the driver.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
-from vellichor.llm.across import links_across, parity, runs
+from vellichor.llm.across import links_across, parity, runs, signatures
 from vellichor.llm.components import components
 from vellichor.session import discard, partitions, settle, staged
 
@@ -231,11 +231,13 @@ def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts:
                 node = some.column(0).to_numpy()[list(row)]
                 first = np.zeros(int(n.sum()), bool)
                 first[np.cumsum(n) - n] = True  # a set's bitmap goes with its first row
-                bitmaps = np.full(len(first), None, object)
+                bitmaps, sigs = np.full(len(first), None, object), np.full(len(first), None, object)
                 bitmaps[first] = [parity(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n)), pa.array(bitmaps, pa.binary())], names=["key", "node", "n", "bitmap"])
+                for place, x in zip(np.flatnonzero(first), found):
+                    sigs[place] = signatures(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n)), pa.array(bitmaps, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["key", "node", "n", "bitmap", "sigs"])
 
-    full = staged(texts.join(unsafe, "node", "left_semi").select("node", "text").mapInArrow(whole, "key long, node long, n long, bitmap binary"))
+    full = staged(texts.join(unsafe, "node", "left_semi").select("node", "text").mapInArrow(whole, "key long, node long, n long, bitmap binary, sigs array<long>"))
     often = full.groupBy("key").agg(F.count("*").alias("df"))
     ranked = full.join(often, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int"))
@@ -246,7 +248,7 @@ def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts:
     joined = known.unionByName(new)
     long = postings.groupBy("key").count().filter(F.col("count") > HEAVY).select("key")
     members = postings.select("key", "node").join(long, "key", "left_semi")
-    bitmaps = full.filter("bitmap is not null").select("node", "n", "bitmap")
+    bitmaps = full.filter("bitmap is not null").select("node", "n", "bitmap", "sigs")
     rest = links_across(members, bitmaps, joined, lambda pairs: verified(pairs, texts), parts)
     return new if rest is None else new.unionByName(rest)
 

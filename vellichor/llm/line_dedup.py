@@ -4,8 +4,8 @@ A line's set holds the shingles of SHINGLE characters of its text in lower case
 MinHash of BINS values (empty bins are filled from the next one that is not) is cut into BANDS bands; lines that share
 a band are candidates. In buckets of up to LIGHT lines all pairs are taken, in larger ones each line with the first and
 with the previous line. Candidates are verified by the exact Jaccard similarity of their sets, at SIMILARITY or more,
-and joined by distributed union-find. Larger buckets that then still span several components are scanned again, for
-all pairs between components that sizes and parity bitmaps allow (across.py). Of each component, over all documents,
+and joined by distributed union-find. Larger buckets that then still span several components are paired again by
+neighbouring signatures, and then for all pairs between components that sizes and parity bitmaps allow (across.py). Of each component, over all documents,
 only the first line (by document id, then place) stays.
 
 So every pair that shares a band is joined or refused by its similarity. At a similarity of exactly 0.75 a pair shares a
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
-from vellichor.llm.across import links_across, parity, runs
+from vellichor.llm.across import links_across, parity, runs, signatures
 from vellichor.llm.components import components
 from vellichor.session import partitions, settle, staged
 
@@ -41,6 +41,7 @@ SIMILARITY = 0.75
 LIGHT = 8  # lines of a bucket of which all pairs are taken at once
 BITMAP = 512  # bits of a line's parity bitmap
 CHARS = 1 << 20  # characters handled at once
+HOT = 1000  # lines with more than this share (one in HOT) of all lines are salted
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -143,32 +144,60 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, bitmap) of lines of SHINGLE characters or more."""
+    """(node, n, bitmap, sigs) of lines of SHINGLE characters or more."""
     for batch in batches:
         found = [np.unique(_hashed(_codes([x]))) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x, BITMAP) for x in found], pa.binary())], names=["node", "n", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x, BITMAP) for x in found], pa.binary()), pa.array([signatures(x) for x in found], pa.list_(pa.int64()))], names=["node", "n", "bitmap", "sigs"])
 
 
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in both, shingles in either) of each pair of lines of SHINGLE characters or more, by their 64-bit hashes."""
+    lines = [x for pair in zip(left, right) for x in pair]
+    length = np.array([len(x) for x in lines], np.int64)
+    n = length - SHINGLE + 1
+    h = _hashed(_codes(lines))
+    h = h[np.repeat(np.cumsum(length) - length - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), n)
+    order = np.lexsort((h, line >> np.uint64(1)))
+    h, line = h[order], line[order]
+    same = (h[1:] == h[:-1]) & (line[1:] >> np.uint64(1) == line[:-1] >> np.uint64(1))
+    # Runs of one hash in one pair hold a side's shingle any number of times: a run counts once, for both if it has both sides.
+    begin = np.flatnonzero(np.append(True, ~same))
+    side = (line & np.uint64(1)).astype(np.int64)
+    mixed = np.minimum.reduceat(side, begin) != np.maximum.reduceat(side, begin)
+    pair = (line[begin] >> np.uint64(1)).astype(np.int64)
+    return np.bincount(pair[mixed], minlength=len(left)), np.bincount(pair, minlength=len(left))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = [], []
-        for x, y, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            left, right = shingles(left.as_py()), shingles(right.as_py())
-            both = len(left & right)
-            if both >= SIMILARITY * (len(left) + len(right) - both):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        chars = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)
+        # A line of fewer characters than a shingle is like nothing but equal lines, which are one node.
+        long = np.array([min(len(x), len(y)) >= SHINGLE for x, y in zip(left, right)], bool)
+        piece = np.cumsum(chars) // CHARS
+        keep = np.zeros(len(left), bool)
+        for k in np.unique(piece[long]):
+            i = np.flatnonzero(long & (piece == k))
+            both, either = overlaps([left[j] for j in i], [right[j] for j in i])
+            keep[i] = both >= SIMILARITY * either
+        yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def place(line_no: str = "line_no") -> Column:
+    """One number by which lines are ordered: document id (null first), row, line. Fixed in width, so that its minimum is a hash aggregate."""
+    doc = "cast(cast(coalesce(cast(doc_id as bigint), -9223372036854775807 - 1) as decimal(20,0)) + 9223372036854775808 as decimal(20,0))"
+    return F.expr(f"cast({doc} * cast(4611686018427387904 as decimal(19,0)) + cast(pmod(row, 2147483648) * 2147483648 + {line_no} as decimal(19,0)) as decimal(38,0))")
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
     """(row, doc_id, line_no, norm, node) of every line that is not blank."""
     split = documents.select(row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -191,7 +220,7 @@ def links(nodes: DataFrame, parts: int) -> DataFrame:
     members = found.filter("a = b").select(F.col("bucket").alias("key"), F.col("a").alias("node"))
     if not members.limit(1).count():
         return known
-    sets = staged(nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary"))
+    sets = staged(nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary, sigs array<long>"))
     more = links_across(members, sets, known, verify, parts)
     return known if more is None else known.unionByName(more)
 
@@ -215,16 +244,23 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     parts = partitions(spark)
     lines = lines_of(documents)
-    first = F.min(F.struct("doc_id", "row", "line_no", "norm")).alias("first")
-    nodes = staged(lines.groupBy("node").agg(first, F.count("*").alias("copies")).select("node", F.struct("first.doc_id", "first.row", "first.line_no").alias("first"), "copies", F.col("first.norm").alias("norm")), bucket=(parts, "node"))
+    # Hash and text are both grouping keys, so that the aggregation need not sort.
+    nodes = lines.withColumn("place", place()).groupBy("node", "norm").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    nodes = staged(nodes, bucket=(parts, "node"))
     settle(spark)
     joined = components(links(nodes, parts))
     settle(spark)
     known = nodes.select("node", "first", "copies")
     stays = known.join(joined, "node").groupBy("component").agg(F.min("first").alias("stays"))
     grouped = joined.join(stays, "component").select("node", "stays")
-    several = known.join(grouped, "node", "left").filter("copies > 1 or stays is not null").select("node", F.coalesce("stays", "first").alias("stays"))
-    gone = lines.select("row", "doc_id", "line_no", "node").join(several, "node").filter("row <> stays.row or line_no <> stays.line_no")
+    several = known.join(grouped, "node", "left").filter("copies > 1 or stays is not null").select("node", "copies", F.coalesce("stays", "first").alias("stays"))
+    several = staged(several)
+    # At most HOT lines have so many copies that they are salted: a bounded broadcast.
+    total = known.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = several.filter(F.col("copies") > max(total // HOT, 1)).select("node", F.ceil(F.col("copies") * HOT / F.lit(max(total, 1))).cast("int").alias("salts"))
+    salted = lines.select("row", "doc_id", "line_no", "node").join(F.broadcast(hot), "node", "left").withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.coalesce("salts", F.lit(1))))
+    targets = several.join(F.broadcast(hot), "node", "left").select("node", "stays", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+    gone = salted.join(targets, ["node", "salt"]).filter(place() != F.col("stays"))
     places = gone.select("row", "line_no").distinct().groupBy("row").agg(F.collect_list("line_no").alias("places"))
     kept = documents.withColumn("row", row_key()).join(places, "row", "left").select(*documents.columns, "places")
     schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
