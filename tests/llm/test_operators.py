@@ -286,6 +286,35 @@ def test_toxicity(spark, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_toxicity_score_by_plain_recomputation(spark):
+    """Every score again from the model's two dictionaries: windows by regular expression, one compression each, thresholds by hand."""
+    import zstandard
+
+    rng = random.Random(14)
+    rows = [(i, " ".join((["vilewretch", "filthmonger"][i % 2] if i % 3 == 0 and k % 9 == 4 else "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))) for k in range(50))) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, "Été. VILEWRETCH, 12 ,, naïve-" * 90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert b"vilewretch" in model.toxic and b"vilewretch" not in model.ordinary
+
+    def size(window, content):
+        held = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = toxicity.parameters(len(content + toxicity.TAIL))
+        held.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(window))
+
+    found = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    for i, text in [*rows[:12], *rows[300:]]:
+        plain = re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+        differences = [0] * (toxicity.HIGHEST - toxicity.LOWEST + 1)
+        for k in range(0, len(plain), toxicity.WINDOW):
+            window = b" " + b" ".join(plain[k : k + toxicity.WINDOW]) + b" " + toxicity.TAIL
+            shorter = size(window, model.ordinary) - size(window, model.toxic + model.ordinary)
+            differences[max(toxicity.LOWEST, min(toxicity.HIGHEST, shorter)) - toxicity.LOWEST] += 1
+        logit = model.weights[0] + sum(w * np.log1p(n) for w, n in zip(model.weights[1:], [*differences, sum(differences)]))
+        assert abs(found[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 # 5 chat formatting ------------------------------------------------------------------------------------------------
 
 
