@@ -295,7 +295,7 @@ def test_toxicity_score_by_plain_recomputation(spark):
     rows += [(300, None), (301, ""), (302, "Été. VILEWRETCH, 12 ,, naïve-" * 90)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(frame, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
-    assert b"vilewretch" in model.toxic and b"vilewretch" not in model.ordinary
+    assert b" vilewret" in model.toxic and b" vilewret" not in model.ordinary
 
     def size(window, content):
         held = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
