@@ -34,8 +34,8 @@ from vellichor.session import partitions, shared_dir
 
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-CACHE, LONGEST = 500_000, 64  # pieces remembered by a worker, and the bytes of the longest of them
-SLICE = 4 << 20  # bytes of text handled at once; a longer text is a slice of its own
+CACHE, LONGEST, JOINED = 800_000, 64, 4000  # pieces remembered by a worker, the bytes of the longest of them, and pieces encoded in one call
+SLICE = 1 << 20  # bytes of text handled at once; a longer text is a slice of its own
 
 _code = np.arange(256)
 SPACE = (_code == 0x20) | ((_code >= 0x09) & (_code <= 0x0D))
@@ -85,13 +85,35 @@ class Encoder:
         before = t.pre_tokenizer
         self.in_pieces = isinstance(t.model, models.BPE) and not t.model.dropout and t.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space and not t.truncation and not t.padding
 
+        if self.in_pieces:
+            vocabulary = t.get_vocab(with_added_tokens=True)
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.n_bytes[i] = len(token)  # byte-level vocabularies write a byte as one character
+
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
+    def _learned(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece. Pieces whose joint is a sure cut (a sign, then one blank and a sign) are encoded as one text, whose ids fall apart by their bytes."""
+        joint = [len(p) > 1 and p[0] == 32 and bool(SIGN[p[1]] and SIGN[p[-1]]) for p in pieces]
+        rest = [p for p, j in zip(pieces, joint) if not j]
+        found = dict(zip(rest, self._encoded(rest)))
+        joined = [p for p, j in zip(pieces, joint) if j]
+        for at in range(0, len(joined), JOINED):
+            some = joined[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(p) for p in some]), "right") * 4
+            data, begin = ids.tobytes(), 0
+            for piece, end in zip(some, ends.tolist()):
+                found[piece] = data[begin:end]
+                begin = end
+        return found
+
     def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
         new = [p for p in pieces if p not in known]
-        fresh = dict(zip(new, self._encoded(new)))
+        fresh = self._learned(new)
         found = [known[p] if p in known else fresh[p] for p in pieces]
         if len(known) > CACHE:
             known.clear()
@@ -105,7 +127,10 @@ class Encoder:
         if len(whole) == len(offsets) - 1:
             ids = self._encoded(texts)
             return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
-        starts = np.union1d(cuts(data), offsets[:-1][np.diff(offsets) > 0])
+        begins = np.zeros(len(data) + 1, bool)
+        begins[cuts(data)] = True
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         found = self._of_pieces(pieces.dictionary.to_pylist())
         length = np.array([len(x) // 4 for x in found], np.int64)
