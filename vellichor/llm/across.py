@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
 from vellichor.llm.components import components
-from vellichor.session import staged
+from vellichor.session import discard, settle, staged
 
 NUMERATOR, DENOMINATOR = 3, 4  # similarity of 0.75
 BITMAP = 1024  # bits of a set's parity bitmap
@@ -131,6 +131,8 @@ def links_across(members: DataFrame, sets: DataFrame, known: DataFrame, verify:
         return None
     first = staged(neighbours(rows.join(sets.select("node", "sigs"), "node"), parts))
     found = staged(verify(first))
-    rows = wide(rows, known.unionByName(found))
+    settle(rows.sparkSession)
+    last, rows = rows, wide(rows, known.unionByName(found))
+    discard(last)
     rest = candidates(rows.join(sets.select("node", "n", "bitmap"), "node"), parts).join(first, ["a", "b"], "left_anti")
     return found.unionByName(staged(verify(rest)))

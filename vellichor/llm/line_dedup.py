@@ -40,7 +40,7 @@ BINS = BANDS * ROWS
 SIMILARITY = 0.75
 LIGHT = 8  # lines of a bucket of which all pairs are taken at once
 BITMAP = 512  # bits of a line's parity bitmap
-CHARS = 1 << 20  # characters handled at once
+CHARS = 1 << 18  # characters handled at once
 HOT = 1000  # lines with more than this share (one in HOT) of all lines are salted
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -155,22 +155,21 @@ def shingles(line: str) -> set[str]:
 
 
 def overlaps(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in both, shingles in either) of each pair of lines of SHINGLE characters or more, by their 64-bit hashes."""
+    """(shingles in both, shingles in either) of each pair of lines of SHINGLE characters or more, by 45-bit hashes within the pair; at most 2^17 pairs."""
     lines = [x for pair in zip(left, right) for x in pair]
     length = np.array([len(x) for x in lines], np.int64)
     n = length - SHINGLE + 1
     h = _hashed(_codes(lines))
     h = h[np.repeat(np.cumsum(length) - length - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     line = np.repeat(np.arange(len(lines), dtype=np.uint64), n)
-    order = np.lexsort((h, line >> np.uint64(1)))
-    h, line = h[order], line[order]
-    same = (h[1:] == h[:-1]) & (line[1:] >> np.uint64(1) == line[:-1] >> np.uint64(1))
-    # Runs of one hash in one pair hold a side's shingle any number of times: a run counts once, for both if it has both sides.
-    begin = np.flatnonzero(np.append(True, ~same))
-    side = (line & np.uint64(1)).astype(np.int64)
-    mixed = np.minimum.reduceat(side, begin) != np.maximum.reduceat(side, begin)
-    pair = (line[begin] >> np.uint64(1)).astype(np.int64)
-    return np.bincount(pair[mixed], minlength=len(left)), np.bincount(pair, minlength=len(left))
+    # One number for pair, hash and side: a plain sort brings a pair's equal shingles together.
+    key = ((line >> np.uint64(1)) << np.uint64(46)) | ((h >> np.uint64(19)) << np.uint64(1)) | (line & np.uint64(1))
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]  # each side's set
+    both = key[1:][key[1:] ^ key[:-1] == 1]  # a shingle's two sides are neighbours
+    pair = (key >> np.uint64(46)).astype(np.int64)
+    shared = np.bincount((both >> np.uint64(46)).astype(np.int64), minlength=len(left))
+    return shared, np.bincount(pair, minlength=len(left)) - shared
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
