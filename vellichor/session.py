@@ -51,7 +51,7 @@ def staged(df: DataFrame, compression: str = "zstd", bucket: tuple[int, str] | N
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/stage_" in f}:
             path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
