@@ -35,7 +35,7 @@ def one(spark, value, f):
 @pytest.mark.parametrize(("f", "given", "wanted"), [
     (T.word_count, "Der Häuptling grüßte Müller.", 4), (T.slug, "Miß Tibbetts", "miss-tibbetts"), (T.slug, "Ärger Ödön", "arger-odon"), (T.slug, "…", "x"),
     (T.initials, "Bones", "Bo"), (T.initials, "Leutnant Tibbetts", "LT"), (T.initials, "M'anin", "M'"), (T.initials, "7", "?"),
-    (T.without_final_period, "Ende.«", "Ende«"), (T.without_final_period, "Ende...", "Ende..."), (T.capitalized, "hAUS", "Haus"),
+    (T.without_final_period, "Ende.«", "Ende«"), (T.without_final_period, "Ende...", "Ende.."), (T.without_final_period, "Ende.)\n", "Ende)\n"), (T.capitalized, "hAUS", "Haus"),
     (T.is_local_url, "http://localhost:11434/v1", True), (T.is_local_url, "http://192.168.1.5", True), (T.is_local_url, "http://nas.local", True), (T.is_local_url, "http://[::1]:8080", True), (T.is_local_url, "https://api.example.com", False), (T.is_local_url, "http://172.32.0.1", False), (T.is_local_url, "nothing", False),
 ])
 def test_text(spark, f, given, wanted):
@@ -119,7 +119,9 @@ def test_render_pieces(spark, sample):
 
 def test_marks_csv(spark, sample):
     marks = spark.createDataFrame([(1, 2, "a", "note", 1, 7, 'so; "ja"'), (1, 1, "b", "retake", 0, 4, None)], "book_id long, block_ord long, id string, type string, s long, e long, note string")
-    assert views.marks_csv(views.mark_list(marks, sample)).first().csv == '﻿0;1;retake;Anna;\r\n0;2;note;Kommst;"so; ""ja"""\r\n'
+    listed = views.mark_list(marks, sample).withColumn("title", F.lit("I")).withColumn("sentence", F.lit(3)).withColumn("pen", F.lit(None).cast("string"))
+    assert views.marks_csv(listed).first().csv == '\ufeffArt;Kapitel;Kapiteltitel;Satz;Text;Notiz;Farbe\r\nRetake;1;I;3;Anna;;\r\nNotiz;1;I;3;Kommst;"so; ""ja""";\r\n'
+    assert views.marks_text(listed).first().text == 'Retake · Kap. 1, Satz 3: Anna\nNotiz · Kap. 1, Satz 3: Kommst – so; "ja"'
 
 
 def test_comparison(spark):
@@ -164,9 +166,12 @@ def test_jobs(spark):
 
 
 def test_html():
+    found = pages.blocks_of("<p>a <em>b<i> c</em> d</i>&#8199;e<h2>f</h2><dd><u>g</u> <b>h</p></b></dd><svg><p>no</p><table>no</table>no</svg></table>i<section>j</section><p/>k")
+    assert [(t, x, [tuple(m.values()) for m in ms]) for t, x, ms in found] == [("p", "a b c d e", [(3, 5, "em"), (2, 7, "em")]), ("h1", "f", []), ("p", "g h", [(0, 1, "em")]), ("p", "ij", []), ("p", "k", [])]
+    assert pages.blocks_of(None) == [] == pages.blocks_of(" \u00a0<b></b>")
     found = pages.blocks_of("<head><title>no</title></head><h1>I</h1><p>Ein  <em>kursives</em>&nbsp;Wort<br>hier</p><script>x</script><blockquote>Zitat &amp; mehr</blockquote><h3>drei</h3><table><tr><td>no</td></tr></table>")
     assert [(t, x) for t, x, _ in found] == [("h1", "I"), ("p", "Ein kursives Wort hier"), ("quote", "Zitat & mehr"), ("h2", "drei")]
-    assert found[1][2] == [(4, 12, "em")]
+    assert found[1][2] == [{"s": 4, "e": 12, "kind": "em"}]
 
 
 def test_epub_and_packages(spark):

@@ -357,9 +357,39 @@ def marks_list(spark, sf):
     return views.mark_list(_marks(spark, sf), _lines(spark, sf)).select("book_id", "place", "block_ord", "id", "type")
 
 
-@query()
+LISTED = f"""WITH {LINES}, {MARKS}, listed AS (
+  SELECT m.book_id, row_number() OVER (PARTITION BY m.book_id ORDER BY m.block_ord, m.s, m.id) AS place, m.block_ord AS chapter, m.type,
+    'B' || m.book_id AS title, m.s + 1 AS sentence, trim(regexp_replace(substr(l.text, (m.s + 1)::INT, (m.e - m.s)::INT), '\\s+', ' ', 'g'), ' ') AS marked,
+    m.note, CASE WHEN m.s % 3 = 0 THEN 'Rot' END AS pen
+  FROM marks m JOIN lines l USING (book_id, block_ord)
+)"""
+
+
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks with a chapter for each block, so that the chapter's number varies."""
+    rows = _marks(spark, sf).withColumn("sentence", F.col("s") + 1).withColumn("pen", F.when(F.col("s") % 3 == 0, "Rot"))
+    listed = views.mark_list(rows, _lines(spark, sf)).join(rows.select("book_id", "id", "sentence", "pen"), ["book_id", "id"])
+    return listed.withColumn("chapter_ord", F.col("block_ord")).withColumn("title", F.concat(F.lit("B"), "book_id"))
+
+
+CELL = """CASE WHEN regexp_matches({0}, '[";\r\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+
+
+@query(LISTED + f"""
+SELECT book_id, chr(65279) || 'Art;Kapitel;Kapiteltitel;Satz;Text;Notiz;Farbe' || chr(13) || chr(10) ||
+  string_agg(type || ';' || (chapter + 1) || ';' || title || ';' || sentence || ';' || {CELL.format("marked")} || ';' || note || ';' || coalesce(pen, ''), chr(13) || chr(10) ORDER BY place) || chr(13) || chr(10) AS csv
+FROM listed GROUP BY book_id
+""")
 def marks_csv(spark, sf):
-    return views.marks_csv(views.mark_list(_marks(spark, sf), _lines(spark, sf)))
+    return views.marks_csv(_listed(spark, sf))
+
+
+@query(LISTED + """
+SELECT book_id, string_agg(type || coalesce(' (' || pen || ')', '') || ' · Kap. ' || (chapter + 1) || ', Satz ' || sentence || ': ' || marked || ' – ' || note, chr(10) ORDER BY place) AS text
+FROM listed GROUP BY book_id
+""")
+def marks_text(spark, sf):
+    return views.marks_text(_listed(spark, sf))
 
 
 @query()

@@ -51,7 +51,7 @@ def stripped(text: Column, chars: str) -> Column:
 
 def without_final_period(text: Column) -> Column:
     """One final period goes, also in front of closing signs."""
-    return F.regexp_replace(text, r"(?<!\.)\.([«»“”‘’‹›\"')\]}]*\s*)$", "$1")
+    return F.regexp_replace(text, r"\.([«»“”‘’‹›\"')\]}]*\s*)$", "$1")
 
 
 def slug(text: Column) -> Column:

@@ -12,12 +12,13 @@ from vellichor.functions.text import letter_words, word_count
 ABBREVIATIONS = """
 z b zb dh ua ggf bzw ca evtl usw usf vgl bspw inkl exkl max min mind sog u a d h nr abb tab kap bd jh jhd chr geb gest
 verst ebd ff f s str pl hrsg aufl od bzgl etc dr prof dipl ing med phil jur rer nat hc hr fr frl mr mrs ms st hl kl gr
-nachm vorm mio mrd tsd gez i v m e o n z.b mt jr sr vs eg ie dept univ co inc ltd cf al ed vol pp fig no esp
+nachm vorm mio mrd tsd gez i v m e o n z.b mt jr sr vs eg ie approx dept univ co inc ltd cf al ed vol pp fig no esp
 """.split()
 MONTHS = """
 januar februar märz april mai juni juli august september oktober november dezember jänner
 january february march may june july october december
 """.split()
+#: Signs that may open and close a sentence, and signs that begin one.
 OPENERS, CLOSERS = "«»„“”‘’‚‹›\"'([{–—-", "«»“”‘’‹›\"')]}"
 UPPER = "A-ZÄÖÜÁÀÂÉÈÊÍÎÓÔÚÛÑÇŠŽŁ0-9"
 MARK = "\u0001"
@@ -48,10 +49,11 @@ BOUNDARY = boundary()
 
 
 def pieces(marked: Column) -> Column:
-    """Of text split at marks: array of (s, e, text), offsets in the text without marks."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:long,e:long,text:string>>").alias("out"))
-    step = lambda acc, p: F.struct((acc.at + F.length(p)).cast("long").alias("at"), F.concat(acc.out, F.array(F.struct(acc.at.alias("s"), (acc.at + F.length(p)).cast("long").alias("e"), p.alias("text")))).alias("out"))
-    return F.aggregate(F.split(marked, MARK), start, step, lambda acc: acc.out)
+    """Of text split at marks: array of (s, e, text), offsets in the text without marks. Only the running sums of lengths are folded, no texts."""
+    parts = F.split(marked, MARK)
+    none = F.array(F.lit(0).cast("long"))
+    ends = F.aggregate(parts, none, lambda acc, p: F.concat(acc, F.array((F.element_at(acc, -1) + F.length(p)).cast("long"))))
+    return F.zip_with(parts, F.slice(ends, 2, 1 << 30), lambda p, e: F.struct((e - F.length(p)).cast("long").alias("s"), e.alias("e"), p.alias("text")))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -67,12 +69,21 @@ def with_sentences(blocks: DataFrame) -> DataFrame:
 
 
 def sentences(blocks: DataFrame) -> DataFrame:
-    """A row per sentence: sid counts from 1 in its chapter, gsid in its book."""
-    rows = with_sentences(blocks).select("book_id", "chapter_ord", "block_ord", "text", F.posexplode("sentences").alias("sent_ix", "span"))
-    chapter = Window.partitionBy("book_id", "chapter_ord").orderBy("block_ord", "sent_ix")
-    book = Window.partitionBy("book_id").orderBy("chapter_ord", "block_ord", "sent_ix")
+    """A row per sentence: sid counts from 1 in its chapter, gsid in its book.
+
+    Numbers are running sums of the blocks' counts plus the place in the block, so sentences and their texts are made
+    after the exchange, which moves whole blocks once."""
+    keys = ["book_id", "chapter_ord", "block_ord"]
+    rows = with_sentences(blocks).select(*keys, "text", "sentences", F.size("sentences").cast("long").alias("n"))
+    book = Window.partitionBy("book_id").orderBy("chapter_ord", "block_ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(book), F.lit(0)))
+    first = F.min("before").over(Window.partitionBy("book_id", "chapter_ord"))
+    rows = rows.withColumn("chapter_before", first)
+    # An outer explode, filtered afterwards: a filter that Spark infers from an inner one would find the bounds twice.
+    rows = rows.select(*keys, "text", "before", "chapter_before", F.posexplode_outer("sentences").alias("sent_ix", "span")).filter("span is not null")
     text = F.col("text").substr(F.col("span.s").cast("int") + 1, (F.col("span.e") - F.col("span.s")).cast("int"))
-    return rows.select("book_id", "chapter_ord", "block_ord", F.col("sent_ix").cast("long").alias("sent_ix"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), F.row_number().over(chapter).cast("long").alias("sid"), F.row_number().over(book).cast("long").alias("gsid"), text.alias("text")).withColumn("words", letter_words(F.col("text")))
+    rows = rows.select(*keys, F.col("sent_ix").cast("long").alias("sent_ix"), F.col("span.s").alias("s"), F.col("span.e").alias("e"), (F.col("before") - F.col("chapter_before") + F.col("sent_ix") + 1).cast("long").alias("sid"), (F.col("before") + F.col("sent_ix") + 1).cast("long").alias("gsid"), text.alias("text"))
+    return rows.withColumn("words", letter_words(F.col("text")))
 
 
 def plain_sentences(text: Column) -> Column:

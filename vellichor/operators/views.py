@@ -95,11 +95,29 @@ def csv_field(x: Column) -> Column:
     return F.when(text.rlike("[\";\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+#: Kinds of marks and columns as users read them.
+KINDS = {"retake": "Retake", "bookmark": "Lesezeichen", "note": "Notiz", "emphasis": "Betonung"}
+HEADER = "Art;Kapitel;Kapiteltitel;Satz;Text;Notiz;Farbe"
+
+
+def kind_label(kind: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[kind], kind)
+
+
 def marks_csv(listed: DataFrame) -> DataFrame:
-    """One CSV per book: semicolons, CRLF, a byte order mark."""
-    line = F.concat_ws(";", *[csv_field(F.col(c)) for c in ("chapter_ord", "block_ord", "type", "marked", "note")])
+    """One CSV per book: header, semicolons, CRLF, a byte order mark. listed: (book_id, place, type, chapter_ord, title, sentence, marked, note, pen)."""
+    line = F.concat_ws(";", csv_field(kind_label(F.col("type"))), csv_field(F.col("chapter_ord") + 1), *[csv_field(F.col(c)) for c in ("title", "sentence", "marked", "note", "pen")])
+    rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    return listed.groupBy("book_id").agg(F.concat(F.lit("\ufeff" + HEADER + "\r\n"), F.array_join(F.transform(rows, lambda r: r.line), "\r\n"), F.lit("\r\n")).alias("csv"))
+
+
+def marks_text(listed: DataFrame) -> DataFrame:
+    """One text per book, a line per mark: kind (pen) · Kap. n, Satz m: text – note."""
+    pen = F.when(F.col("pen").isNotNull(), F.concat(F.lit(" ("), "pen", F.lit(")"))).otherwise("")
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" – "), "note")).otherwise("")
+    line = F.concat(kind_label(F.col("type")), pen, F.lit(" · Kap. "), (F.col("chapter_ord") + 1).cast("string"), F.lit(", Satz "), F.col("sentence").cast("string"), F.lit(": "), "marked", note)
     rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
-    return listed.groupBy("book_id").agg(F.concat(F.lit("﻿"), F.array_join(F.transform(rows, lambda r: r.line), "\r\n"), F.lit("\r\n")).alias("csv"))
+    return listed.groupBy("book_id").agg(F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("text"))
 
 
 def speech_steps(spans: DataFrame) -> DataFrame:
