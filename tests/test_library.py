@@ -289,3 +289,43 @@ def test_script_holds_whole_utterances(spark, sf):
     words = {r.book_id: r.words for r in catalogue.QUERIES["book_stats"](spark, sf).collect()}
     whole = books.script(spark.read.parquet(f"{sf}/conversations.parquet")).groupBy("book_id").agg(F.sum(T.word_count(F.col("text"))).alias("n")).collect()
     assert words == {r.book_id: r.n for r in whole}
+
+
+def test_ranges(spark):
+    from vellichor.functions import selection as S
+
+    text = "Ja – »Makara, der   Fluss«, sagte er; gut."
+    row = lambda c: spark.createDataFrame([(text,)], "text string").select(c(F.col("text")).alias("x")).first().x
+    lit = lambda n: F.lit(n).cast("long")
+    at = text.index("ara, der")
+    assert tuple(row(lambda t: S.snapped(t, lit(at), lit(at + 7)))) == (6, 16) == tuple(row(lambda t: S.snapped(t, lit(at + 7), lit(at))))
+    assert text[5:26] == "»Makara, der   Fluss«" and tuple(row(lambda t: S.snapped(t, lit(at), lit(text.index("luss") + 1), quotes=True))) == (5, 26)
+    assert tuple(row(lambda t: S.trimmed(t, lit(-3), lit(3)))) == (0, 2) and row(lambda t: S.range_error(t, lit(17), lit(19))) == "blank" and row(lambda t: S.range_error(t, lit(3), lit(3))) == "range" and row(lambda t: S.range_error(t, lit(3), lit(5))) is None
+    found = row(lambda t: S.breath_chunks(t, lit(100)))
+    assert [(text[c.s - 100 : c.e - 100], c.text) for c in found] == [(c.text, c.text) for c in found] and "".join(c.text for c in found) == text
+    assert [c.text for c in found if c.breath] == ["–", ",", ",", ";"] and row(lambda t: S.breath_chunks(F.lit("ohne"), lit(0))) is None
+    assert tuple(row(lambda t: S.context(t, lit(6), lit(12), 8))) == ("Ja – »", "Makara", ", der …") and [row(lambda t: S.char_class(F.lit(c))) for c in "aÄ1 ."] == ["nal", "nau", "n", "s", ""]
+
+
+def test_colors_after_an_edit_keep_old_slots(spark):
+    from vellichor.operators import commands
+
+    lines = spark.createDataFrame([(1, 0, k, i) for i, k in enumerate("abcde")], "book_id long, chapter_ord long, speaker string, first long")
+    slots = spark.createDataFrame([(1, "a", 0)], "book_id long, speaker string, slot int")
+    old = spark.createDataFrame([(1, 0, "b", 0), (1, 0, "c", 4), (1, 0, "d", 4), (1, 0, "e", 1), (1, 0, "z", 2)], "book_id long, chapter_ord long, speaker string, slot int")
+    assert {r.speaker: r.slot for r in commands.normal_colors(lines, slots, old).collect()} == {"b": 2, "c": 4, "d": 3, "e": 1}
+
+
+def test_merging_follows_the_lines():
+    t = frozenset
+    assert attribution.merges([("leutnant-t", 3, t(["leutnant"]), False), ("t", 5, t(), False), ("kapitaen-t", 9, t(["kapitän"]), False)]) == {"kapitaen-t": "kapitaen-t", "t": "kapitaen-t", "leutnant-t": "leutnant-t"}
+    assert attribution.merges([("a", 4, t(), True), ("herr-a", 4, t(["herr"]), False)]) == {"a": "a", "herr-a": "a"}
+    assert attribution.merges([("dr-b", 1, t(["dr"]), False), ("b", 2, t(), False), ("prof-b", 1, t(["prof"]), False)]) == {"b": "b", "dr-b": "b", "prof-b": "b"}
+
+
+def test_scripted_transport_answers_prompts(spark):
+    from vellichor.operators import prompts
+
+    ask = prompts.scripted_transport({r"R\d": '{"items": []}'})
+    found = jobs.answered(spark.createDataFrame([(1, "R7?"), (2, "nothing")], "id long, prompt string"), ask)
+    assert sorted(map(tuple, found.collect())) == [(1, '{"items": []}', None), (2, "{}", None)]

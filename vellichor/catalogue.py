@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellichor.functions import text as T
 from vellichor.operators import attribution, colors, edits, ink, jobs, segment, speech, stats, views
 from vellichor.plans.analysis import analyse
-from vellichor.session import table
+from vellichor.session import spread, table
 from vellichor.sources import books, pages, pdf_items
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ script AS (
   SELECT conv_id AS book_id, turn // 8 AS chapter_ord, turn AS block_ord, turn % 3 AS kind, who,
     CASE turn % 3 WHEN 0 THEN '»' || said || '«, sagte ' || who || '.' WHEN 1 THEN who || ' sagte: »' || said || '«' ELSE '»' || said || '«' END AS text, length(said) AS n
   FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Anna' WHEN 'assistant' THEN 'Jonas' ELSE 'Paul' END AS who,
-          regexp_replace(substr(text, 1, 80), '[»«„“”‚‘›‹"\r\n.!?…:]', ' ', 'g') AS said FROM conversations)
+          regexp_replace(text, '[»«„“”‚‘›‹"\r\n.!?…:]', ' ', 'g') AS said FROM conversations)
 )"""
 LINES = r"""
 lines AS (
@@ -45,7 +45,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,12 +53,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _script(spark: SparkSession, sf: str) -> DataFrame:
-    return books.script(table(spark, sf, "conversations"))
-
-
-def _clipped_script(spark: SparkSession, sf: str) -> DataFrame:
-    """The script as SCRIPT has it, for queries whose SQL depends on the length of a text."""
-    return books.script(table(spark, sf, "conversations"), 80)
+    return books.script(spread(table(spark, sf, "conversations")))
 
 
 def _named(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,9 +98,15 @@ def sha256_docs(spark, sf):
     return _documents(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) AS host, false AS local FROM pages")
+@query("""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN '10.' || page_id % 250 || '.0.1' WHEN 1 THEN '172.' || page_id % 40 || '.1.1' WHEN 2 THEN 'box' || page_id || '.lan' WHEN 3 THEN '[fd00::' || page_id % 10 || ']' ELSE lower(split_part(split_part(url, '://', 2), '/', 1)) END AS host,
+  CASE page_id % 6 WHEN 1 THEN page_id % 40 BETWEEN 16 AND 31 ELSE page_id % 6 < 4 END AS local FROM pages
+""")
 def is_local_url(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.host_of(F.col("url")).alias("host"), T.is_local_url(F.col("url")).alias("local"))
+    """Private, link-local and reserved hosts among those of the pages."""
+    k = F.col("page_id")
+    own = F.when(k % 6 == 0, F.concat(F.lit("http://10."), k % 250, F.lit(".0.1:8080/x"))).when(k % 6 == 1, F.concat(F.lit("http://172."), k % 40, F.lit(".1.1/"))).when(k % 6 == 2, F.concat(F.lit("HTTP://me@Box"), k, F.lit(".LAN?q"))).when(k % 6 == 3, F.concat(F.lit("http://[fd00::"), k % 10, F.lit("]:1/"))).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", T.host_of(own).alias("host"), T.is_local_url(own).alias("local"))
 
 
 @query("SELECT event_id, floor(greatest(value, 0))::BIGINT AS seconds, least(1.0, greatest(0.0, CASE WHEN value > 1 THEN value / 100 ELSE value END))::DOUBLE AS confidence FROM events")
@@ -170,12 +171,12 @@ def chapter_split(spark, sf):
 
 @query()
 def page_blocks(spark, sf):
-    return pages.page_blocks(table(spark, sf, "pages")).select("id", "ix", "type", "text", F.size("marks").cast("long").alias("n_marks"))
+    return pages.page_blocks(spread(table(spark, sf, "pages"))).select("id", "ix", "type", "text", F.size("marks").cast("long").alias("n_marks"))
 
 
 @query()
 def page_titles(spark, sf):
-    return pages.page_titles(pages.page_blocks(table(spark, sf, "pages")))
+    return pages.page_titles(pages.page_blocks(spread(table(spark, sf, "pages"))))
 
 
 @query()
@@ -204,10 +205,12 @@ def script_quote_style(spark, sf):
 WITH {SCRIPT} SELECT book_id, block_ord, strpos(text, '»')::BIGINT - 1 AS s, strpos(text, '«')::BIGINT AS e FROM script
 """)
 def speech_spans(spark, sf):
-    return speech.speech_spans(_clipped_script(spark, sf)).select("book_id", "block_ord", "s", "e")
+    return speech.speech_spans(_script(spark, sf)).select("book_id", "block_ord", "s", "e")
 
 
-@query()
+@query(f"""
+WITH {SCRIPT} SELECT book_id, block_ord, strpos(text, '»')::BIGINT - 1 AS s, strpos(text, '«')::BIGINT AS e FROM script
+""")
 def speech_spans_all(spark, sf):
     """The spans of whole utterances."""
     return speech.speech_spans(_script(spark, sf)).select("book_id", "block_ord", "s", "e")
@@ -291,9 +294,14 @@ def _cast(spark: SparkSession, sf: str) -> DataFrame:
 SLOTS = "slots AS (SELECT book_id, speaker, k - 1 AS slot FROM (SELECT book_id, speaker, row_number() OVER (PARTITION BY book_id ORDER BY count(*) DESC, speaker) AS k, count(*) AS n FROM named GROUP BY book_id, speaker) WHERE n >= 4 AND k <= 12)"
 
 
-@query(f"{NAMED}, {SLOTS} SELECT * FROM slots")
+@query("""
+WITH c AS (SELECT c_nationkey AS book_id, c_custkey AS speaker, c_name AS name, count(*) AS lines FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT book_id, speaker, k - 1 AS slot FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY lines DESC, name) AS k FROM c WHERE lines >= 4) WHERE k <= 12
+""")
 def global_colors(spark, sf):
-    return colors.global_slots(_cast(spark, sf))
+    """A nation's customers as a book's figures, their orders as lines."""
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("speaker")).agg(F.count("*").alias("lines"))
+    return colors.global_slots(table(spark, sf, "customer").select(F.col("c_nationkey").alias("book_id"), F.col("c_custkey").alias("speaker"), F.col("c_name").alias("name")).join(orders, "speaker"))
 
 
 LOCAL = """firsts AS (SELECT book_id, chapter_ord, speaker, min(block_ord) AS first FROM named GROUP BY ALL),
@@ -417,12 +425,12 @@ def align_blocks(spark, sf):
 
 
 @query(f"""
-WITH {SCRIPT} SELECT book_id, count(*) AS reference, count(*) AS found, count_if(kind < 2)::BIGINT AS correct, 0::BIGINT AS wrong, count_if(kind = 2)::BIGINT AS unattributed, count_if(kind = 2)::BIGINT AS queued, 0::BIGINT AS silent_wrong FROM script GROUP BY book_id
+WITH {SCRIPT} SELECT book_id, count(*) AS reference, count(*) AS found, count_if(kind < 2 AND block_ord % 5 > 0)::BIGINT AS correct, count_if(kind < 2 AND block_ord % 5 = 0)::BIGINT AS wrong, count_if(kind = 2)::BIGINT AS unattributed, count_if(kind = 2)::BIGINT AS queued, count_if(kind < 2 AND block_ord % 5 = 0)::BIGINT AS silent_wrong FROM script GROUP BY book_id
 """)
 def compare_speakers(spark, sf):
     rows = _script(spark, sf)
     spans = speech.speech_spans(rows)
-    truth = spans.join(rows.select("book_id", "block_ord", F.lower("who").alias("speaker")), ["book_id", "block_ord"])
+    truth = spans.join(rows.select("book_id", "block_ord", F.when(F.col("block_ord") % 5 == 0, "somebody").otherwise(F.lower("who")).alias("speaker")), ["book_id", "block_ord"])
     return views.compared(truth, attribution.explicit(rows, spans))
 
 
@@ -486,15 +494,22 @@ def suggestion_merge(spark, sf):
 
 
 @query("""
-WITH a AS (SELECT doc_id AS book_id, 'a' || doc_id % 50 AS id, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE 'b' END AS block_id, doc_id % 13 AS s, doc_id % 11 AS e FROM documents)
-SELECT book_id, 'unknown block' AS rule, id AS detail FROM a WHERE block_id = 'gone' UNION ALL SELECT book_id, 'range', id FROM a WHERE block_id = 'b' AND (e < s OR e > 8)
+WITH a AS (SELECT doc_id % 90 AS book_id, 'a' || doc_id % 400 AS id, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE 'b' || doc_id % 2 END AS block_id, doc_id % 13 AS s, doc_id % 11 AS e, CASE WHEN doc_id % 5 > 0 THEN 'f' || doc_id % 5 END AS speaker FROM documents),
+b AS (SELECT DISTINCT doc_id % 90 AS book_id, 'b' || doc_id % 2 AS block_id FROM documents), n AS (SELECT book_id, block_id FROM b UNION ALL SELECT book_id, block_id FROM b WHERE book_id % 9 = 0)
+SELECT book_id, 'unknown block' AS rule, id AS detail FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.book_id = a.book_id AND b.block_id = a.block_id)
+UNION ALL SELECT a.book_id, 'range', id FROM a JOIN n ON n.book_id = a.book_id AND n.block_id = a.block_id WHERE e < s OR e > 8
+UNION ALL SELECT book_id, 'annotation twice', id FROM a GROUP BY book_id, id HAVING count(*) > 1
+UNION ALL SELECT book_id, 'block twice', block_id FROM n GROUP BY book_id, block_id HAVING count(*) > 1
+UNION ALL SELECT book_id, 'unknown speaker', id FROM a WHERE speaker IN ('f3', 'f4')
 """)
 def validate_refs(spark, sf):
     k = F.col("doc_id")
-    docs = _documents(spark, sf)
-    marks = docs.select(k.alias("book_id"), F.concat(F.lit("a"), k % 50).alias("id"), F.when(k % 7 == 0, "gone").otherwise("b").alias("block_id"), (k % 13).alias("s"), (k % 11).alias("e"), F.lit(None).cast("string").alias("speaker"))
-    blocks = docs.select(k.alias("book_id"), F.lit("b").alias("block_id"), F.lit(8).cast("long").alias("n"))
-    return edits.violations(marks, blocks, marks.select("book_id", "speaker").limit(0))
+    docs = _documents(spark, sf).withColumn("book_id", k % 90)
+    own = F.concat(F.lit("b"), k % 2)
+    marks = docs.select("book_id", F.concat(F.lit("a"), k % 400).alias("id"), F.when(k % 7 == 0, "gone").otherwise(own).alias("block_id"), (k % 13).alias("s"), (k % 11).alias("e"), F.when(k % 5 > 0, F.concat(F.lit("f"), k % 5)).alias("speaker"))
+    blocks = docs.select("book_id", own.alias("block_id"), F.lit(8).cast("long").alias("n")).distinct()
+    cast = docs.select("book_id", F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("speaker")).distinct()
+    return edits.violations(marks, blocks.unionByName(blocks.filter("book_id % 9 = 0")), cast)
 
 
 # jobs ---------------------------------------------------------------------------------------------------------------
@@ -561,10 +576,13 @@ WITH {SCRIPT}, q AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORD
 SELECT q.book_id, q.place, s.block_ord, s.text FROM q JOIN script s ON s.book_id = q.book_id AND s.block_ord BETWEEN q.block_ord - 2 AND q.block_ord + 1
 """)
 def review_context(spark, sf):
-    return _review_context(_clipped_script(spark, sf))
+    return _review_context(_script(spark, sf))
 
 
-@query()
+@query(f"""
+WITH {SCRIPT}, q AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_ord) AS place, block_ord FROM script WHERE kind = 2)
+SELECT q.book_id, q.place, s.block_ord, s.text FROM q JOIN script s ON s.book_id = q.book_id AND s.block_ord BETWEEN q.block_ord - 2 AND q.block_ord + 1
+""")
 def review_context_all(spark, sf):
     """The context with whole utterances."""
     return _review_context(_script(spark, sf))
@@ -576,11 +594,13 @@ def journal_history(spark, sf):
 
 
 @query("""
-SELECT vec_id AS id, 'M' || array_to_string(list_transform(range(0, 8), lambda i: round((i * 10)::DOUBLE, 0)::INT || ' ' || 0), 'L') AS path, true AS strike FROM embeddings
+WITH p AS (SELECT vec_id, [[(i * 10)::DOUBLE, (5 + (vec_id % 4) * i * i * 0.4)::DOUBLE] FOR i IN range(0, 8)] AS q FROM embeddings),
+lo AS (SELECT vec_id, q, list_min([x[2] FOR x IN q]) AS y0, list_max([x[2] FOR x IN q]) AS y1 FROM p), sc AS (SELECT *, CASE WHEN y1 > y0 THEN 1000 / (y1 - y0) ELSE 1 END::DOUBLE AS f FROM lo)
+SELECT vec_id AS id, 'M' || array_to_string([round(x[1] * f)::INT || ' ' || round((x[2] - y0) * f)::INT FOR x IN q], 'L') AS path, vec_id % 4 < 2 AS strike FROM sc
 """)
 def ink_paths(spark, sf):
-    """A flat stroke for each vector, quantised and drawn."""
-    points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i * 10.0).cast("double").alias("x"), F.lit(5.0).alias("y")))
+    """Strokes of four curvatures, quantised and drawn; only the two flat kinds strike out."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i * 10.0).cast("double").alias("x"), (F.lit(5.0) + (F.col("vec_id") % 4) * i * i * 0.4).cast("double").alias("y")))
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), points.alias("points"))
     return rows.select("id", ink.svg_path(ink.quantised(F.col("points"))).alias("path"), ink.is_strike(F.col("points")).alias("strike"))
 

@@ -384,10 +384,8 @@ WITH {SCRIPT}, l AS (SELECT book_id, chapter_ord, block_ord, CASE kind WHEN 2 TH
 SELECT book_id, chapter_ord, sum(asked)::BIGINT AS passages, string_agg(line, chr(10) ORDER BY block_ord) AS prompt FROM l GROUP BY book_id, chapter_ord
 """)
 def speaker_prompts(spark, sf):
-    """A prompt for each chapter of the clipped script; passages are all called R here, so that SQL can follow."""
-    from vellichor.catalogue import _clipped_script
-
-    rows = _clipped_script(spark, sf)
+    """A prompt for each chapter of the script; passages are all called R here, so that SQL can follow."""
+    rows = _script(spark, sf)
     asked = F.when(F.col("kind") == 2, "R")
     spans = rows.select("book_id", "block_ord", (F.locate("»", F.col("text")) - 1).alias("s"), F.locate("«", F.col("text")).alias("e"), asked.alias("passage"), F.lower("who").alias("speaker"))
     return prompts.prompts(rows.select("book_id", "chapter_ord", "block_ord", "text"), spans, rows.select("book_id", "block_ord", F.lit(0).alias("chunk"))).drop("chunk")
@@ -485,7 +483,7 @@ def policy_gate(spark, sf):
 @query("""
 SELECT p_size AS book_id, p_partkey AS term, p_partkey % 50 AS n, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey % 50 DESC, p_partkey) AS place FROM part WHERE p_partkey % 4 NOT IN (0, 1) AND p_partkey % 5 <> 0 AND p_partkey % 3 = 0
 """)
-def open_terms(spark, sf):
+def terms_to_clear(spark, sf):
     k = F.col("p_partkey")
     origin = F.when(k % 4 == 0, "user").when(k % 4 == 1, "llm").otherwise("rule")
     return prompts.open_terms(table(spark, sf, "part").select(F.col("p_size").alias("book_id"), k.alias("term"), (k % 50).alias("n"), F.when(k % 3 == 0, "").otherwise("x").alias("hint"), origin.alias("origin"), (k % 5 == 0).alias("verified")))

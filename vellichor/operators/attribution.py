@@ -2,21 +2,22 @@
 
 The first pass looks, for each span, at the rest of its sentence, then at what stands before it, then back in its block.
 The second goes through a book's spans in reading order and decides by continuation, pronoun, paragraph, nearness and
-alternation; it is grouped by book, because a figure met in one chapter is known in the next.
+alternation. Rows are dealt by book, because a figure met in one chapter is known in the next, and sorted; a task reads
+them as a stream and holds the figures of one book and the spans of one block, however long the book is.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellichor.functions.text import slug, stripped, word_count
 from vellichor.operators.segment import sentence_spans
-from vellichor.session import staged
+from vellichor.session import partitions, staged
 
 #: Verbs of speech, German then English.
 VERBS = """
@@ -34,9 +35,11 @@ exclaimed added continued began remarked observed noted sighed laughed chuckled
 stammered insisted agreed protested admitted confessed declared announced explained urged warned ordered commanded
 offered thought mused ventured echoed repeated called yelled screamed wondered demanded interrupted put went
 """.split()
+#: Verbs after which a pronoun answers the one who spoke before.
 RESPONSE_VERBS = "erwiderte erwidert entgegnete entgegnet antwortete antwortet versetzte widersprach protestierte replied answered retorted objected protested".split()
 #: Pronoun -> m, f, n, 1 (narrator) or ? (open).
 PRONOUNS = {"er": "m", "he": "m", "ihn": "m", "ihm": "m", "sie": "f", "she": "f", "ihr": "f", "es": "n", "it": "n", "ich": "1", "i": "1", "man": "?", "wir": "?", "we": "?", "they": "?", "du": "?", "you": "?"}
+#: Pronouns that may be a subject, articles, titles (also by gender), adverbs, the narrator's name.
 SUBJECT_PRONOUNS = "er sie es ich man du wir he she i they we you".split()
 ARTICLES = "der die das den dem ein eine einen einem einer sein seine seinen seinem seiner seines ihr ihre ihren ihrem ihrer the a an his her my".split()
 TITLES = """
@@ -67,6 +70,7 @@ AFTER, BEFORE, BACK = 90, 140, 220
 START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _either = lambda words: "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
 _ART = "(?:" + "|".join(f"[{a[0].upper()}{a[0]}]{a[1:]}" for a in sorted(ARTICLES, key=lambda w: (-len(w), w))) + ")"
+#: What a name and a noun phrase look like.
 _CAP = r"[A-ZÄÖÜ][\p{L}\p{N}_'’\-]+"
 NAME = rf"(?:{_either(TITLES)}\.?\s+)?{_CAP}(?:\s+(?:von|van|de|della|ibn)\s+{_CAP})?(?:\s+{_CAP})?"
 _NP = rf"{_ART}\s+(?:[a-zäöüß]{{2,}}\s+){{0,2}}{_CAP}"
@@ -140,16 +144,19 @@ def explicit(blocks: DataFrame, spans: DataFrame) -> DataFrame:
 def genders(blocks: DataFrame, first: DataFrame) -> DataFrame:
     """(book_id, speaker, gender) of figures met in the first pass: by title, else by the pronouns that follow the name."""
     cast = first.filter("speaker is not null").groupBy("book_id", "speaker").agg(F.min_by(F.struct("surface", "kind"), F.struct("chapter_ord", "block_ord", "span_ix")).alias("x")).select("book_id", "speaker", F.col("x.surface").alias("name"), F.col("x.kind").alias("kind"))
-    lines = F.array_sort(F.collect_list(F.struct("chapter_ord", "block_ord", "text")))
-    whole = blocks.groupBy("book_id").agg(F.array_join(F.transform(lines, lambda x: x.text), "\n").alias("whole"))
-    rows = cast.join(whole, "book_id")
-    parts = F.split(F.lower("name"), r"[^\p{L}\p{N}_]+")
-    pattern = F.concat(F.lit(r"(?iu)" + START + r"\Q"), "name", F.lit(r"\E" + END + r"[^.!?»«„“]{0,70}?" + START + r"(er|ihn|ihm|seine?[nmrs]?|he|his|him|sie|ihre?[nmrs]?|she|her)" + END))
-    rows = rows.withColumn("pronouns", F.when(F.col("kind") == "name", F.transform(F.regexp_extract_all("whole", pattern, F.lit(1)), F.lower)))
+    # Each block with the beginning of the next one; a name has to be in the block itself.
+    order = Window.partitionBy("book_id").orderBy("chapter_ord", "block_ord")
+    ahead = F.concat("text", F.lit("\u0001"), F.coalesce(F.substring(F.lead("text").over(order), 1, 90), F.lit("")))
+    near = blocks.select("book_id", ahead.alias("ahead"), F.lower("text").alias("lower"))
+    named = cast.filter("kind = 'name'").select("book_id", "speaker", "name")
+    pattern = F.concat(F.lit(r"(?iu)" + START + r"\Q"), "name", F.lit(r"\E" + END + r"(?=[\s\S]*\u0001)[^.!?»«„“]{0,70}?" + START + r"(er|ihn|ihm|seine?[nmrs]?|he|his|him|sie|ihre?[nmrs]?|she|her)" + END))
+    held = near.join(named, "book_id").filter(F.contains("lower", F.lower("name")))
+    held = held.select("book_id", "speaker", F.transform(F.regexp_extract_all("ahead", pattern, F.lit(1)), F.lower).alias("pronouns"))
     m = F.size(F.filter("pronouns", lambda p: p.rlike("^(er|ihn|ihm|sein|he$|his|him)")))
-    f = F.size("pronouns") - m
+    counted = held.groupBy("book_id", "speaker").agg(F.sum(m).alias("m"), F.sum(F.size("pronouns") - m).alias("f"))
+    rows = cast.join(counted, ["book_id", "speaker"], "left").withColumn("m", F.coalesce(F.col("m"), F.lit(0))).withColumn("f", F.coalesce(F.col("f"), F.lit(0)))
+    parts = F.split(F.lower("name"), r"[^\p{L}\p{N}_]+")
     has = lambda words: F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))
-    rows = rows.withColumn("m", m).withColumn("f", f)
     guessed = F.when((F.col("m") + F.col("f") >= 3) & (F.col("m") > F.col("f") * 1.4), "m").when((F.col("m") + F.col("f") >= 3) & (F.col("f") > F.col("m") * 1.4), "f").otherwise("?")
     return rows.select("book_id", "speaker", "name", "kind", F.when(has(TITLES_F), "f").when(has(TITLES_M), "m").when(F.col("kind") == "name", guessed).otherwise("?").alias("gender"))
 
@@ -160,9 +167,13 @@ ATTRIBUTED = "book_id long, chapter_ord long, block_ord long, span_ix long, s lo
 class Book:
     """What the ordered pass knows while it goes through a book."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.names = {r.speaker: (r.surface, r.kind, r.gender) for r in rows[rows["surface"].notna()].itertuples()}
-        self.alias = {name.lower().strip(" .,;:"): key for key, (name, _, _) in self.names.items()}
+    def __init__(self) -> None:
+        self.names: dict[str, tuple[str, str, str]] = {}
+        self.alias: dict[str, str] = {}
+
+    def figure(self, key: str, name: str, kind: str, gender: str) -> None:
+        self.names[key] = (name, kind, gender)
+        self.alias[name.lower().strip(" .,;:")] = key
 
     def meet(self, key: str, name: str, kind: str) -> str:
         known = self.alias.setdefault(name.lower().strip(" .,;:"), key)
@@ -185,31 +196,65 @@ class Book:
         return next(iter(fitting or turned), None)
 
 
-def ordered_pass(rows: pd.DataFrame) -> pd.DataFrame:
-    """Second pass over one book: rows are spans, and blocks without speech (span_ix -1, their names in names)."""
-    rows = rows.sort_values(["chapter_ord", "block_ord", "span_ix"], kind="stable")
-    book, out = Book(rows), []
-    for _, chapter in rows.groupby("chapter_ord", sort=True):
-        recent: list[str] = []
-        near: list[str] | None = None
-        for _, block in chapter.groupby("block_ord", sort=True):
-            if block["span_ix"].iloc[0] < 0:
-                near = list(block["names"].iloc[0]) if block["type"].iloc[0] == "p" else near
-                continue
-            spans = block.to_dict("records")
-            outer = [x for x in spans if not x["inner"]]
-            for x in outer:
-                x.update(decided(x, outer, recent, near, book))
-                if x["via"] not in ("continuation", "unknown"):
-                    recent.append(x["speaker"])
-                if x["via"] != "continuation":
-                    near = None
-            near = None if outer else near
-            out += spans
-    for x in out:
-        x["name"], x["kind"] = book.names.get(x["speaker"], (None, None, None))[:2]
-    names = [c.split()[0] for c in ATTRIBUTED.split(", ")]
-    return pd.DataFrame(out, columns=names)[names] if out else pd.DataFrame(columns=names)
+READ = ["book_id", "chapter_ord", "block_ord", "span_ix", "s", "e", "inner", "speaker", "surface", "kind", "conf", "via", "cont", "pron", "resp", "back_id", "back_name", "back_kind", "utterance", "type", "names", "gender"]
+COLUMNS = [c.split()[0] for c in ATTRIBUTED.split(", ")]
+TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+FIGURE, SILENT = -2, -1  # span_ix of rows that are no spans
+
+
+class Reader:
+    """The second pass over rows in reading order: a book's figures first, then its spans and its blocks without speech (with the names in them)."""
+
+    def __init__(self) -> None:
+        self.at: tuple | None = None
+        self.book, self.recent, self.near = Book(), [], None
+        self.spans: list[dict] = []
+
+    def read(self, x: dict) -> list[dict]:
+        """The spans of the block before this row, decided, where the row begins another block."""
+        at, out = (x["book_id"], x["chapter_ord"], x["block_ord"]), []
+        if at != self.at:
+            out = self.decide()
+            if self.at is None or at[0] != self.at[0]:
+                self.book = Book()
+            if self.at is None or at[:2] != self.at[:2]:
+                self.recent, self.near = [], None
+            self.at = at
+        if x["span_ix"] == FIGURE:
+            self.book.figure(x["speaker"], x["surface"], x["kind"], x["gender"])
+        elif x["span_ix"] == SILENT:
+            self.near = x["names"] if x["type"] == "p" else self.near
+        else:
+            self.spans.append(x)
+        return out
+
+    def decide(self) -> list[dict]:
+        out, self.spans = self.spans, []
+        outer = [x for x in out if not x["inner"]]
+        for x in outer:
+            x.update(decided(x, outer, self.recent, self.near, self.book))
+            if x["via"] not in ("continuation", "unknown"):
+                self.recent.append(x["speaker"])
+            if x["via"] != "continuation":
+                self.near = None
+        self.near = None if outer else self.near
+        for x in out:
+            x["name"], x["kind"] = self.book.names.get(x["speaker"], (None, None, None))[:2]
+        return out
+
+
+def ordered_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        kinds = [TYPES[c.split()[1]] for c in ATTRIBUTED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(COLUMNS, kinds)], names=COLUMNS)
+
+    reader = Reader()
+    for batch in batches:
+        out: list[dict] = []
+        for row in zip(*(batch.column(c).to_pylist() for c in READ)):
+            out += reader.read(dict(zip(READ, row)))
+        yield made(out)
+    yield made(reader.decide())
 
 
 def decided(x: dict, outer: list[dict], recent: list[str], near: list[str] | None, book: Book) -> dict:
@@ -243,27 +288,70 @@ def attribute(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Every span with its speaker, the figure's name and kind, confidence and provenance."""
     first = staged(explicit(blocks, spans))  # read twice below
     keys = ["book_id", "chapter_ord", "block_ord"]
-    first = first.join(genders(blocks, first).select("book_id", "speaker", "gender"), ["book_id", "speaker"], "left").withColumn("type", F.lit("p")).withColumn("names", F.array().cast("array<string>"))
+    figures = genders(blocks, first).select("book_id", F.lit(-1).cast("long").alias("chapter_ord"), F.lit(-1).cast("long").alias("block_ord"), F.lit(FIGURE).cast("long").alias("span_ix"), "speaker", F.col("name").alias("surface"), "kind", "gender")
     outer = spans.filter("not inner").select(*keys).distinct()
-    silent = blocks.join(outer, keys, "left_anti").select(*keys, F.lit(-1).cast("long").alias("span_ix"), "type", F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1)).alias("names"))
-    return first.unionByName(silent, allowMissingColumns=True).groupBy("book_id").applyInPandas(ordered_pass, ATTRIBUTED)
+    silent = blocks.join(outer, keys, "left_anti").select(*keys, F.lit(SILENT).cast("long").alias("span_ix"), "type", F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1)).alias("names"))
+    rows = first.unionByName(silent, allowMissingColumns=True).unionByName(figures, allowMissingColumns=True).select(*READ)
+    order = ["book_id", "chapter_ord", "block_ord", "span_ix"]
+    return rows.repartition(partitions(blocks.sparkSession), "book_id").sortWithinPartitions(*order, "speaker").mapInArrow(ordered_pass, ATTRIBUTED)
 
 
 def cast_table(attributed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Per figure: lines, words, chapters, first chapter; figures with equal names but for titles are one."""
+    """Per figure: lines, words, chapters, first chapter."""
     keys = ["book_id", "chapter_ord", "block_ord"]
     rows = attributed.filter("speaker is not null").join(blocks.select(*keys, "text"), keys)
     said = F.expr("substring(text, cast(s as int) + 1, cast(e - s as int))")
     return rows.groupBy("book_id", "speaker").agg(F.min_by("name", F.struct("chapter_ord", "block_ord", "span_ix")).alias("name"), F.count("*").alias("lines"), F.sum(word_count(said)).alias("words"), F.countDistinct("chapter_ord").alias("chapters"), F.min("chapter_ord").alias("first_chapter"))
 
 
+def merges(rows: list[tuple[str, int, frozenset, bool]]) -> dict[str, str]:
+    """Of figures with one name but for titles (speaker, lines, titles, pinned): who joins whom.
+
+    In the order of lines, each figure that is not pinned joins the first one that is still there, has as many lines or
+    more, and whose titles do not contradict; it takes over the lines."""
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    lines, titles, into = {r[0]: r[1] for r in order}, {r[0]: r[2] for r in order}, {}
+    for small, _, own, pinned in order:
+        fitting = (r[0] for r in order if r[0] != small and r[0] not in into and lines[r[0]] >= lines[small] and (not own or not titles[r[0]] or own == titles[r[0]]))
+        big = None if pinned else next(fitting, None)
+        if big is not None:
+            into[small] = big
+            lines[big] += lines[small]
+
+    def last(key: str) -> str:
+        while key in into:
+            key = into[key]
+        return key
+
+    return {r[0]: last(r[0]) for r in order}
+
+
 def merged_names(cast: DataFrame) -> DataFrame:
-    """(book_id, speaker, merged): members whose names agree without titles join the one with most lines, unless titles differ."""
+    """(book_id, speaker, merged): the figure that each one is after merging. Names without words of two letters besides titles merge with nothing.
+
+    A group holds the figures of one book that differ in titles only; figures of one such name and the same titles are
+    few, as their ids come from their names."""
     parts = F.filter(F.split(F.lower("name"), r"\s+"), lambda p: F.length(p) >= 2)
     parts = F.transform(parts, lambda p: F.btrim(p, F.lit(".")))
     titles = F.array(*[F.lit(t.lower()) for t in TITLES])
-    rows = cast.select("book_id", "speaker", "lines", F.array_sort(F.array_distinct(F.array_except(parts, titles))).alias("core"), F.array_sort(F.array_distinct(F.array_intersect(parts, titles))).alias("titles"))
-    big = rows.select("book_id", "core", F.col("speaker").alias("to"), F.col("lines").alias("to_lines"), F.col("titles").alias("to_titles"))
-    fit = rows.filter(F.size("core") > 0).join(big, ["book_id", "core"]).filter("to <> speaker and (to_lines > lines or (to_lines = lines and to < speaker))").filter((F.size("titles") == 0) | (F.size("to_titles") == 0) | (F.col("titles") == F.col("to_titles")))
-    best = fit.groupBy("book_id", "speaker").agg(F.max_by("to", F.struct("to_lines", "to")).alias("merged"))
-    return cast.select("book_id", "speaker").join(best, ["book_id", "speaker"], "left").select("book_id", "speaker", F.coalesce("merged", "speaker").alias("merged"))
+    pinned = F.col("pinned") if "pinned" in cast.columns else F.lit(False)
+    rows = cast.select("book_id", "speaker", F.col("lines").cast("long").alias("lines"), pinned.alias("pinned"), F.array_join(F.array_sort(F.array_distinct(F.array_except(parts, titles))), " ").alias("core"), F.array_join(F.array_sort(F.array_distinct(F.array_intersect(parts, titles))), " ").alias("titles"))
+    several = rows.filter("core <> ''").groupBy("book_id", "core").agg(F.count("*").alias("n")).filter("n > 1").select("book_id", "core")
+
+    def joined(group: pa.Table) -> pa.Table:
+        found = merges([(r["speaker"], r["lines"], frozenset(r["titles"].split()), r["pinned"]) for r in group.to_pylist()])
+        book = group.column("book_id")[0].as_py()
+        return pa.table({"book_id": pa.array([book] * len(found), pa.int64()), "speaker": pa.array(list(found), pa.string()), "merged": pa.array(list(found.values()), pa.string())})
+
+    new = rows.join(several, ["book_id", "core"], "left_semi").select("book_id", "core", "speaker", "lines", "pinned", "titles").groupBy("book_id", "core").applyInArrow(joined, "book_id long, speaker string, merged string")
+    return cast.select("book_id", "speaker").join(new, ["book_id", "speaker"], "left").select("book_id", "speaker", F.coalesce("merged", "speaker").alias("merged"))
+
+
+def merged_cast(attributed: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attributed spans with merged figures, their cast)."""
+    before = cast_table(attributed, blocks)
+    into = merged_names(before)
+    kept = before.select("book_id", F.col("speaker").alias("merged"), F.col("name").alias("kept_name"))
+    rows = attributed.join(into, ["book_id", "speaker"], "left").join(kept, ["book_id", "merged"], "left")
+    rows = rows.withColumn("speaker", F.coalesce("merged", "speaker")).withColumn("name", F.coalesce("kept_name", "name")).select(*attributed.columns)
+    return rows, cast_table(rows, blocks)

@@ -31,7 +31,7 @@ class Analysis:
 
 
 def analyse(blocks: DataFrame) -> Analysis:
-    """Blocks -> sentences -> speech -> speakers -> cast. One exchange by book, before the ordered pass."""
+    """Blocks -> sentences -> speech -> speakers -> merged cast. One exchange by book, before the ordered pass."""
     spans = speech.speech_spans(blocks)
-    attributed = staged(attribution.attribute(blocks, spans))
-    return Analysis(blocks, segment.sentences(blocks), attributed, attribution.cast_table(attributed, blocks))
+    attributed, cast = attribution.merged_cast(staged(attribution.attribute(blocks, spans)), blocks)
+    return Analysis(blocks, segment.sentences(blocks), attributed, cast)
