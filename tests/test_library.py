@@ -298,7 +298,7 @@ def test_ranges(spark):
     row = lambda c: spark.createDataFrame([(text,)], "text string").select(c(F.col("text")).alias("x")).first().x
     lit = lambda n: F.lit(n).cast("long")
     at = text.index("ara, der")
-    assert tuple(row(lambda t: S.snapped(t, lit(at), lit(at + 7)))) == (6, 16) == tuple(row(lambda t: S.snapped(t, lit(at + 7), lit(at))))
+    assert tuple(row(lambda t: S.snapped(t, lit(at), lit(at + 7)))) == (6, 17) == tuple(row(lambda t: S.snapped(t, lit(at + 7), lit(at))))
     assert text[5:26] == "»Makara, der   Fluss«" and tuple(row(lambda t: S.snapped(t, lit(at), lit(text.index("luss") + 1), quotes=True))) == (5, 26)
     assert tuple(row(lambda t: S.trimmed(t, lit(-3), lit(3)))) == (0, 2) and row(lambda t: S.range_error(t, lit(17), lit(19))) == "blank" and row(lambda t: S.range_error(t, lit(3), lit(3))) == "range" and row(lambda t: S.range_error(t, lit(3), lit(5))) is None
     found = row(lambda t: S.breath_chunks(t, lit(100)))
