@@ -14,7 +14,7 @@ partitions. A segment of a conversation acts on cost to go as a 4x4 min-plus mat
 conversation of each partition are carried over its edge (at most two small rows a partition reach the driver).
 
 Defined results: null or unknown role: it has to be relabelled; null text: empty; rows with equal (conversation,
-turn): ordered by role and text; null turn: first; null conversation id: one conversation of its own; empty table: no
+turn): ordered by a hash of role and text; null turn: first; null conversation id: one conversation of its own; empty table: no
 rows. Extra columns of the input are not read.
 """
 
@@ -131,7 +131,9 @@ def repair(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("role_in"))
     n = max(partitions(spark), math.ceil(conversations.count() / ROWS_PER_PARTITION))
-    order = ["conv_id", "turn", "role", "text"]
+    # Ties are told apart by a hash, so that the bounds of the ranges that Spark samples hold no texts.
+    turns = turns.withColumn("tie", F.xxhash64("role_in", "text"))
+    order = ["conv_id", "turn", "tie"]
     dealt = staged(turns.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("ord", 33)))
 
     edges: dict[int, list] = {}
