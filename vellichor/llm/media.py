@@ -5,7 +5,7 @@ rectangle sums read from an integral image over (frame, pitch class), are each q
 packed into one 32-bit integer a frame. Two recordings are aligned at an offset if at least OVERLAP frames overlap there
 with a bit error rate of at most ERROR.
 
-Search: runs of KEY equal integers are the keys of an inverted index over every recording; the queries' keys meet it in
+Search: KEY integers in a row are a key of an inverted index over every recording (of a run of one key its two ends); the queries' keys meet it in
 an equi-join, hits are counted by (query, recording, offset), an offset histogram, and every offset with a hit is
 verified by its bit errors; of those that pass, the one with most hits (of equal ones the largest) is the result. Recordings with equal fingerprints are one class from the start, so copies multiply nothing; results
 are pairs of class representatives plus every row's class.
@@ -140,7 +140,10 @@ def align(media: DataFrame) -> DataFrame:
     classes = keyed.groupBy("whole").agg(F.min("id").alias("class_id"), F.first("marks").alias("marks"), F.max((F.col("id") % QUERY_STEP == 0).cast("int")).alias("asked"))
     classes = staged(classes)
     key = F.transform(F.sequence(F.lit(0), F.size("marks") - KEY), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get("marks", i + k) for k in range(KEY)]).alias("key")))
-    posted = classes.filter(F.size("marks") >= KEY).select("class_id", "asked", F.explode(key).alias("x")).select("class_id", "asked", "x.at", "x.key")
+    # A run of one key (silence, a held tone) is kept at its two ends only: two runs meet at four places, not at all pairs
+    # of places, and at an offset where two recordings agree some end of a run agrees too.
+    keys = F.filter("keys", lambda x, i: (i == 0) | (i == F.size("keys") - 1) | (F.get("keys", i - 1).key != x.key) | (F.get("keys", i + 1).key != x.key))
+    posted = classes.filter(F.size("marks") >= KEY).select("class_id", "asked", key.alias("keys")).select("class_id", "asked", F.explode(keys).alias("x")).select("class_id", "asked", "x.at", "x.key")
     asked = posted.filter("asked = 1").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), "key")
     hits = asked.join(posted, "key").filter("query_id <> class_id").groupBy("query_id", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).count()
     # A pair has at most as many offsets as both recordings have frames.
