@@ -49,25 +49,28 @@ def seeded(rows: DataFrame, id_col: str, words: str, at: str) -> DataFrame:
     return rows.select(id_col, "n", F.posexplode_outer("seeds").alias("k", "seed")).select(id_col, (F.col("k") % F.col("n")).alias(at), "seed")
 
 
-def leak_of(x: Column) -> Column:
-    """Of a hit x (item_id, diagonal, b): the best window on its diagonal and the words that match in all."""
-    low, high = F.greatest(F.lit(0), -x.diagonal), F.least(F.size(x.b), F.size("h") - x.diagonal)
-    equal = F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda q: F.coalesce((F.get(x.b, q) == F.get("h", q + x.diagonal)).cast("int"), F.lit(0)))
+def leak_of(x: Column, diagonal: Column) -> Column:
+    """Of an item x (item_id, b) on a diagonal: the best window and the words that match in all."""
+    low, high = F.greatest(F.lit(0), -diagonal), F.least(F.size(x.b), F.size("h") - diagonal)
+    equal = F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda q: F.coalesce((F.get(x.b, q) == F.get("h", q + diagonal)).cast("int"), F.lit(0)))
     window = F.least(F.lit(WINDOW), F.size(x.b))
     total = lambda part: F.aggregate(part, F.lit(0), lambda sum_, e: sum_ + e)
 
     def judged(e: Column) -> Column:
         best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - window + 1)), lambda s: total(F.slice(e, s, window))))
-        return F.struct(x.item_id.alias("item_id"), best.alias("best"), total(e).alias("matched"), F.size(x.b).alias("item_words"), x.diagonal.alias("diagonal"))
+        return F.struct(x.item_id.alias("item_id"), best.alias("best"), total(e).alias("matched"), F.size(x.b).alias("item_words"), diagonal.alias("diagonal"))
 
     return F.get(F.transform(F.array(equal), judged), 0)
 
 
 def verified(hits: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
     """Of distinct hits (doc_id, item_id, diagonal): the leaks, by document and item. A text is hashed once for all its hits."""
-    listed = hits.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "b")).alias("hits"))
-    rows = documents.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "hits", word_hashes(F.col("text")).alias("h"))
-    rows = rows.select("doc_id", F.explode_outer(F.transform("hits", leak_of)).alias("x")).select("doc_id", "x.*")
+    # An item's words go once with each document that it hits, with all its diagonals there.
+    grouped = hits.groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals"))
+    listed = grouped.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "b")).alias("found"))
+    rows = documents.select("doc_id", "text").join(listed, "doc_id").select("doc_id", "found", word_hashes(F.col("text")).alias("h"))
+    leaked = F.flatten(F.transform("found", lambda x: F.transform(x.diagonals, lambda d: leak_of(x, d))))
+    rows = rows.select("doc_id", F.explode_outer(leaked).alias("x")).select("doc_id", "x.*")
     long = F.col("item_words") >= WINDOW
     leaking = rows.filter(F.col("best") >= F.when(long, WINDOW - TOLERANCE).otherwise(F.col("item_words")))
     return leaking.groupBy("doc_id", "item_id").agg(F.max("best").cast("long").alias("best_window"), F.max("matched").cast("long").alias("matched_words"), F.max("item_words").cast("long").alias("item_words"), F.min("diagonal").cast("long").alias("first_at"))
