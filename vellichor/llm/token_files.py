@@ -37,11 +37,9 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 CACHE, LONGEST, JOINED = 800_000, 64, 4000  # pieces remembered by a worker, the bytes of the longest of them, and pieces encoded in one call
 SLICE = 1 << 20  # bytes of text handled at once; a longer text is a slice of its own
 
-_code = np.arange(256)
-SPACE = (_code == 0x20) | ((_code >= 0x09) & (_code <= 0x0D))
-SIGN = (_code > 0x20) & (_code < 0x7F)  # any visible ASCII character
-ALNUM = SIGN & np.array([chr(c).isalnum() for c in range(256)])
-STOP = SIGN & ~ALNUM
+SPACE, LETTER, STOP = 1, 2, 4  # classes of ASCII bytes: white space, letters and digits, other visible signs
+SIGN = LETTER | STOP
+CLASSES = bytes(SPACE if c == 0x20 or 0x09 <= c <= 0x0D else 0 if not 0x20 < c < 0x7F else LETTER if chr(c).isalnum() else STOP for c in range(256))
 
 
 def default_tokenizer() -> str:
@@ -58,13 +56,17 @@ def cuts(data: np.ndarray) -> np.ndarray:
     after a line end that stands alone between signs. Of characters beyond ASCII only U+00C0-U+00FF are judged."""
     if len(data) < 2:
         return np.zeros(0, np.int64)
-    before, now = data[:-1], data[1:]
-    latin = np.zeros(len(data) - 1, bool)
-    latin[1:] = data[:-2] == 0xC3
-    latin &= before >= 0x80
-    letter = ALNUM[before] | (latin & (before != 0x97) & (before != 0xB7))  # without the signs for times and divided
-    cut = (SPACE[now] & (SIGN[before] | latin)) | (STOP[now] & letter)
-    cut[1:] |= (before[1:] == 0x0A) & SIGN[data[:-2]] & SIGN[now[1:]]
+    kind = np.frombuffer(data.tobytes().translate(CLASSES), np.uint8)
+    before, now = kind[:-1], kind[1:]
+    sign = (before & SIGN) != 0
+    letter = (before & LETTER) != 0
+    at = np.flatnonzero(data[:-2] == 0xC3) + 1  # second bytes, as places in before
+    at = at[data[at] >= 0x80]
+    sign[at] = True
+    letter[at[(data[at] != 0x97) & (data[at] != 0xB7)]] = True  # without the signs for times and divided
+    cut = ((now & SPACE) != 0) & sign
+    cut |= ((now & STOP) != 0) & letter
+    cut[1:] |= (data[1:-1] == 0x0A) & ((kind[:-2] & SIGN) != 0) & ((now[1:] & SIGN) != 0)
     return np.flatnonzero(cut) + 1
 
 
@@ -96,7 +98,7 @@ class Encoder:
 
     def _learned(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece. Pieces whose joint is a sure cut (a sign, then one blank and a sign) are encoded as one text, whose ids fall apart by their bytes."""
-        joint = [len(p) > 1 and p[0] == 32 and bool(SIGN[p[1]] and SIGN[p[-1]]) for p in pieces]
+        joint = [len(p) > 1 and p[0] == 32 and bool(CLASSES[p[1]] & SIGN and CLASSES[p[-1]] & SIGN) for p in pieces]
         rest = [p for p, j in zip(pieces, joint) if not j]
         found = dict(zip(rest, self._encoded(rest)))
         joined = [p for p, j in zip(pieces, joint) if j]
@@ -112,9 +114,11 @@ class Encoder:
 
     def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
-        new = [p for p in pieces if p not in known]
-        fresh = self._learned(new)
-        found = [known[p] if p in known else fresh[p] for p in pieces]
+        found = list(map(known.get, pieces))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        fresh = self._learned([pieces[k] for k in new])
+        for k in new:
+            found[k] = fresh[pieces[k]]
         if len(known) > CACHE:
             known.clear()
         known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
@@ -133,13 +137,13 @@ class Encoder:
         starts = np.flatnonzero(begins[:-1])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         found = self._of_pieces(pieces.dictionary.to_pylist())
-        length = np.array([len(x) // 4 for x in found], np.int64)
-        begin = np.cumsum(length) - length
+        length = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin = np.cumsum(length, dtype=np.int32) - length
         which = pieces.indices.to_numpy()
         n = length[which]
-        upto = np.cumsum(n)
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[which] - (upto - n), n) + np.arange(int(n.sum()))]
-        counts = np.diff(np.append(0, upto)[np.searchsorted(starts, offsets)])
+        upto = np.cumsum(n, dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[which] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
+        counts = np.diff(np.append(0, upto)[np.searchsorted(starts, offsets)]).astype(np.int64)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for k, x in zip(whole, self._encoded([texts[k] for k in whole])):
@@ -168,8 +172,10 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             for at, to, ids, counts in encoder.encode(batch.column(1)):
                 values = np.full(len(ids) + len(counts), end_id, np.int32)  # the end id stays where no other is put
-                values[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
                 ends = np.cumsum(np.append(0, counts + 1))
+                inside = np.ones(len(values), bool)
+                inside[ends[1:] - 1] = False
+                values[inside] = ids
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts + 1), lists], names=["doc_id", "n_tokens", "ids"])
 
