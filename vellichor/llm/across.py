@@ -130,9 +130,11 @@ def links_across(members: DataFrame, sets: DataFrame, known: DataFrame, verify:
     if not rows.limit(1).count():
         return None
     first = staged(neighbours(rows.join(sets.select("node", "sigs"), "node"), parts))
+    settle(rows.sparkSession)
     found = staged(verify(first))
     settle(rows.sparkSession)
     last, rows = rows, wide(rows, known.unionByName(found))
     discard(last)
-    rest = candidates(rows.join(sets.select("node", "n", "bitmap"), "node"), parts).join(first, ["a", "b"], "left_anti")
+    rest = staged(candidates(rows.join(sets.select("node", "n", "bitmap"), "node"), parts).join(first, ["a", "b"], "left_anti"))
+    settle(rows.sparkSession)
     return found.unionByName(staged(verify(rest)))
