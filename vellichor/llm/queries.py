@@ -6,27 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellichor.llm import chat_format, decontamination, jaccard_join, line_dedup, media, packing, substring_dedup, token_files, toxicity, url_filter
-from vellichor.session import table
+from vellichor.session import spread, table
 
 #: Rows whose labels may be learned from; the others are held out.
 NOT_HELD_OUT = "crc32(cast(doc_id as string)) % 5 <> 0"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), usable=NOT_HELD_OUT)
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
@@ -37,19 +37,19 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.align(media.recordings(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+    return media.align(media.recordings(spread(table(spark, sf_dir, "embeddings")))).withColumnRenamed("id", "vec_id")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return substring_dedup.remove_repeats(spread(table(spark, sf_dir, "documents")), texts=False)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(table(spark, sf_dir, "documents"))
+    return token_files.token_files(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+    return jaccard_join.link_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
