@@ -245,7 +245,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     lines = lines_of(documents)
     # Hash and text are both grouping keys, so that the aggregation need not sort.
     nodes = lines.withColumn("place", place()).groupBy("node", "norm").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
-    nodes = staged(nodes, bucket=(parts, "node"))
+    # Dealt by the bucket's column first, so that a task writes one bucket: one file each, not parts * parts files.
+    nodes = staged(nodes.repartition(parts, "node"), bucket=(parts, "node"))
     settle(spark)
     joined = components(links(nodes, parts))
     settle(spark)
