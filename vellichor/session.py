@@ -26,11 +26,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where nothing is set (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where nothing is set and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vellichor-"))
             jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get()
