@@ -158,7 +158,7 @@ def _named(lines: Iterator[bytes]) -> list[tuple[str, str]]:
     for line in lines:
         text = line.decode("utf-8", "replace")
         if text[:1] in " \t" and out:
-            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}")
+            out[-1] = (out[-1][0], f"{out[-1][1]} {text.strip()}".strip())
         else:
             name, _, value = text.partition(":")
             out.append((name.strip().lower(), value.strip()))
