@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellichor import catalogue
 from vellichor.functions import text as T
-from vellichor.operators import attribution, colors, edits, jobs, segment, speech, stats, views
+from vellichor.operators import attribution, colors, edits, jobs, segment, speech, stats, views, rebase
 from vellichor.plans.analysis import analyse
 from vellichor.sources import books, containers, pages, pdf_items
 from vellichor.streaming import journal
@@ -139,8 +139,11 @@ def test_edits(spark):
     earlier = edits.apply_speakers(spans, log.filter("seq < 1"))
     assert ("a1", "replace", "speaker", "anna", "paul") in [tuple(r)[1:] for r in edits.changes(earlier, after, ["book_id", "id"], ["speaker", "conf"]).collect()]
     current = spark.createDataFrame([(1, "a1", "speaker", "anna")], "book_id long, target string, property string, value string")
-    outcome = {r.seq: r.outcome for r in edits.rebased(log, spans.select("book_id", F.col("id").alias("target")), current).collect()}
-    assert outcome == {0: "unchanged", 1: "applied", 2: "skipped", 3: "unchanged", 4: "unchanged"}
+    none = {c: F.lit(None).cast("string") for c in ("figure", "created", "type")} | {c: F.lit(None).cast("long") for c in ("block_ord", "s", "e")}
+    annotations = spans.select("book_id", "id").withColumns({c: x for c, x in none.items() if c not in ("figure", "created")} | {"value": F.lit(None).cast("string")})
+    cast = spark.createDataFrame([], "book_id long, speaker string, name string")
+    outcome = {r.seq: r.outcome for r in rebase.rebased(log.withColumns(none), annotations, cast, current).collect()}
+    assert outcome == {0: "unchanged", 1: "applied", 2: "skipped", 3: "unchanged", 4: "applied"}  # a3 is there, so it is removed
 
 
 def test_suggestions(spark):

@@ -11,7 +11,7 @@ from vellichor.functions import text as T
 from vellichor.operators import attribution, colors, edits, ink, jobs, segment, speech, stats, views
 from vellichor.plans.analysis import analyse
 from vellichor.session import spread, table
-from vellichor.sources import books, pages, pdf_items
+from vellichor.sources import books, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,13 +179,6 @@ def page_titles(spark, sf):
     return pages.page_titles(pages.page_blocks(spread(table(spark, sf, "pages"))))
 
 
-@query()
-def pdf_paragraphs(spark, sf):
-    """Lines of documents set on pages of forty lines, and read back."""
-    rows = _lines(spark, sf).select(F.col("book_id").alias("doc_id"), F.floor(F.col("block_ord") / 40).alias("page"), F.col("text").alias("str"), F.lit(50.0).alias("x"), (560 - 13.5 * (F.col("block_ord") % 40)).cast("double").alias("y"), (5.0 * F.length("text")).alias("width"), F.lit(10.0).alias("size"))
-    return pdf_items.paragraphs(pdf_items.without_running_heads(pdf_items.lines(rows)))
-
-
 # speech and speakers --------------------------------------------------------------------------------------------------
 
 
@@ -462,13 +455,6 @@ def journal_version(spark, sf):
     return edits.version(_journal(spark, sf))
 
 
-@query()
-def journal_rebase(spark, sf):
-    journal = _journal(spark, sf)
-    there = journal.filter("seq % 2 = 0").select("book_id", "target").distinct()
-    return edits.rebased(journal, there, edits.version(journal, 2000).select("book_id", "target", "property", "value"))
-
-
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_decision(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
@@ -520,25 +506,6 @@ def cost_estimate(spark, sf):
     return jobs.costs(_documents(spark, sf), "lang", 2.5).withColumn("cost", F.col("cost").cast("double"))
 
 
-@query(f"""
-WITH RECURSIVE {LINES}, o AS (SELECT book_id, block_ord, length(text) AS n, row_number() OVER (PARTITION BY book_id ORDER BY block_ord) AS k FROM lines),
-w AS (
-  SELECT book_id, block_ord, k, 0 AS chunk, n AS used FROM o WHERE k = 1
-  UNION ALL
-  SELECT o.book_id, o.block_ord, o.k, CASE WHEN w.used > 0 AND w.used + o.n > 2000 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.used > 0 AND w.used + o.n > 2000 THEN o.n ELSE w.used + o.n END FROM w JOIN o ON o.book_id = w.book_id AND o.k = w.k + 1
-)
-SELECT book_id, block_ord, chunk::BIGINT AS chunk FROM w
-""")
-def chunk_pack(spark, sf):
-    return jobs.chunks(_lines(spark, sf), 2000).drop("chapter_ord")
-
-
-@query()
-def speed_profile(spark, sf):
-    rows = table(spark, sf, "events").select("event_type", F.col("event_id").alias("seq"), (F.abs("value") + 1).alias("ms"), (F.col("event_id") % 100).alias("tokens"))
-    return jobs.speed(rows, "event_type")
-
-
 @query("""
 WITH RECURSIVE m AS (SELECT DISTINCT p_partkey AS from_id, p_partkey // 2 AS to_id FROM part WHERE p_partkey % 16 <> 0), w AS (
   SELECT from_id, to_id AS last FROM m UNION ALL SELECT w.from_id, m.to_id FROM w JOIN m ON m.from_id = w.last

@@ -46,19 +46,6 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], columns: list[
     return both.select(*keys, op.alias("op"), cells.alias("x")).select(*keys, "op", "x.column", "x.old", "x.new").filter("not (old <=> new)")
 
 
-def rebased(journal: DataFrame, existing: DataFrame, current: DataFrame) -> DataFrame:
-    """Outcome of each command on another version: applied, unchanged, or skipped because its target is gone.
-
-    existing: (book_id, target); current: (book_id, target, property, value) on that version.
-    """
-    rows = journal.withColumn("property", property_of(F.col("edit")))
-    rows = rows.join(existing.select("book_id", "target", F.lit(True).alias("there")), ["book_id", "target"], "left").join(current.select("book_id", "target", "property", F.col("value").alias("held")), ["book_id", "target", "property"], "left")
-    order = Window.partitionBy("book_id", "target", "property").orderBy("seq")
-    held = F.coalesce(F.lag("value").over(order), F.col("held"))
-    outcome = F.when(F.col("there").isNull(), "skipped").when(F.col("value").eqNullSafe(held), "unchanged").otherwise("applied")
-    return rows.select("book_id", "seq", "edit", "target", outcome.alias("outcome"))
-
-
 def suggested(rows: DataFrame) -> DataFrame:
     """A model's suggestions (suggested, confidence) against rules (speaker, conf, via): agreement raises, clear cases take over, others are kept for review."""
     rc, lc = F.col("conf"), F.col("confidence")

@@ -1,4 +1,4 @@
-"""Prompts for a language model as tables: sizes, costs, chunks, speed. The model itself is a transport of the caller."""
+"""Prompts for a language model as tables: sizes, costs, ceilings. The model itself is a transport of the caller."""
 
 from __future__ import annotations
 
@@ -24,34 +24,6 @@ def chunk_chars(context_tokens: int, overhead_tokens: int = 0) -> int:
     return int(min(60_000, max(6_000, (0.6 * context_tokens - overhead_tokens) * CONTEXT_CHARS_PER_TOKEN)))
 
 
-def chunks(blocks: DataFrame, most: int) -> DataFrame:
-    """Blocks of a chapter in chunks of at most so many characters, filled greedily in order: (…, chunk). A longer block is a chunk of its own."""
-    order = F.array_sort(F.collect_list(F.struct("block_ord", F.length("text").cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<block_ord:long,chunk:long>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        new = (acc.used > 0) & (acc.used + x.n > most)
-        chunk = (acc.chunk + new.cast("long")).alias("chunk")
-        used = F.when(new, x.n).otherwise(acc.used + x.n).alias("used")
-        return F.struct(chunk, used, F.concat(acc.out, F.array(F.struct(x.block_ord.alias("block_ord"), chunk))).alias("out"))
-
-    rows = blocks.groupBy("book_id", "chapter_ord").agg(F.aggregate(order, start, add, lambda acc: acc.out).alias("out"))
-    return rows.select("book_id", "chapter_ord", F.inline("out"))
-
-
-def speed(samples: DataFrame, by: str, most: int = 200_000) -> DataFrame:
-    """Running weighted mean of tokens a second; old samples fade once the weight reaches its bound. samples: (by, seq, ms, tokens)."""
-    order = F.array_sort(F.collect_list(F.struct("seq", "ms", "tokens")))
-    start = F.struct(F.lit(0.0).alias("tps"), F.lit(0.0).alias("weight"))
-
-    def add(acc: Column, x: Column) -> Column:
-        weight = (acc.weight + x.tokens).cast("double")
-        tps = F.when(weight > 0, (acc.tps * acc.weight + x.tokens / x.ms * 1000 * x.tokens) / weight).otherwise(acc.tps)
-        return F.struct(tps.cast("double").alias("tps"), F.least(weight, F.lit(float(most))).alias("weight"))
-
-    return samples.filter("ms > 0").groupBy(by).agg(F.aggregate(order, start, add).alias("x")).select(by, "x.tps", "x.weight")
-
-
 def within_ceiling(jobs: DataFrame, ceiling: float) -> DataFrame:
     """Jobs (run, job, cost) that start before the run's ceiling is reached."""
     order = Window.partitionBy("run").orderBy("job").rowsBetween(Window.unboundedPreceding, Window.currentRow)

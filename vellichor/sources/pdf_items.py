@@ -1,10 +1,24 @@
-"""Positioned text of PDF pages to lines: (doc_id, page, str, x, y, width, size)."""
+"""Positioned text of PDF pages to lines, and lines to paragraphs: items are (doc_id, page, str, x, y, width, size).
+
+A page is small; a document may have any number of them. So lines meet within their page, and what goes on from page to
+page (the line before a page's first, the number of the paragraph) is one row a page.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellichor.session import staged
+
+# Page numbers, ends of sentences, a hyphen at a line's end before a small letter.
+PAGE_NUMBER = r"(?iu)^\s*[-–—\[(]?\s*(?:seite\s+|page\s+)?(?:\d{1,4}|[ivxlcdm]{1,7})\s*[-–—\])]?\s*$"
+SENTENCE_END = r"[.!?…:»«\"'”“]\s*$"
+HYPHENATED = r"(?<=\p{L})[-­‐‑]\n(?=\p{Ll})"
+# Sizes and gaps, as multiples of the body's size or of the usual gap and width.
+HEADING, INDENT, CENTRED, GAP, SHORT = 1.2, 0.8, 2.0, 1.6, 0.72
+LONG = 20  # characters beyond which a line counts for sizes and widths
+
 
 def lines(items: DataFrame) -> DataFrame:
     """Items on one baseline are a line; a gap of more than 0.15 of the size is a blank. Lines run down the page."""
@@ -15,29 +29,90 @@ def lines(items: DataFrame) -> DataFrame:
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(row)
     rows = rows.withColumn("piece", F.concat(F.when(gap > 0.15 * F.col("size"), " ").otherwise(""), "str"))
     parts = F.array_sort(F.collect_list(F.struct("x", "piece")))
-    return rows.groupBy("doc_id", "page", "line").agg(F.trim(F.array_join(F.transform(parts, lambda p: p.piece), "")).alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max("y").alias("y"), F.max("size").alias("size"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p.piece), ""), r"\s+", " "))
+    return rows.groupBy("doc_id", "page", "line").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max("y").alias("y"), F.max("size").alias("size"))
 
 
-def without_running_heads(found: DataFrame) -> DataFrame:
-    """First and last lines that are page numbers, or that many pages share but for digits, go."""
+def without_running_heads(found: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Lines without running heads and feet: from the top of a page every line that is a page number or is, but for digits, the first of many pages, until one is neither; then the same from the bottom.
+
+    Many is a quarter of the pages, three at least. pages: (doc_id, pages) where some have no lines. A line goes if all
+    lines from its edge of the page on are such lines: a running minimum.
+    """
+    key = F.lower(F.regexp_replace("text", r"\d+", "#"))
+    edges = staged(found.groupBy("doc_id", "page").agg(F.min_by(key, "line").alias("top"), F.max_by(key, "line").alias("bottom")))
+    total = edges.groupBy("doc_id").agg(F.count("*").alias("pages")) if pages is None else pages.select("doc_id", "pages")
+    many = F.greatest(F.lit(3), F.floor(F.col("pages") / 4))
+    # A quarter of the pages each, or three of fewer than sixteen: five keys a document at most.
+    often = [edges.groupBy("doc_id", F.col(c).alias("key")).agg(F.count("*").alias("n")).join(total, "doc_id").filter(F.col("n") >= many).groupBy("doc_id").agg(F.collect_list("key").alias(f"{c}s")) for c in ("top", "bottom")]
+    rows = found.join(often[0], "doc_id", "left").join(often[1], "doc_id", "left")
+    number = F.col("text").rlike(PAGE_NUMBER)
+    known = lambda keys: number | F.coalesce(F.array_contains(keys, key), F.lit(False))
     page = Window.partitionBy("doc_id", "page")
-    rows = found.withColumn("first", F.min("line").over(page)).withColumn("last", F.max("line").over(page)).withColumn("key", F.lower(F.regexp_replace("text", r"\d+", "#")))
-    edge = (F.col("line") == F.col("first")) | (F.col("line") == F.col("last"))
-    pages = found.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    often = rows.filter(edge).groupBy("doc_id", "key").agg(F.countDistinct("page").alias("n"))
-    rows = rows.join(pages, "doc_id").join(often, ["doc_id", "key"], "left")
-    runs = edge & ((F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 4))) | F.col("text").rlike(r"^\W*\d{1,4}\W*$"))
-    return rows.filter(~runs).select(*found.columns)
+    rows = rows.withColumn("from_top", F.min(known("tops")).over(page.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("from_bottom", F.min(known("bottoms")).over(page.orderBy("line").rowsBetween(0, Window.unboundedFollowing)))
+    return rows.filter("not from_top and not from_bottom").select(*found.columns)
+
+
+def _median(values: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name): the upper median of values (doc_id, v), read off a histogram."""
+    counts = values.groupBy("doc_id", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("upto", upto).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy("doc_id")) / 2))
+    return rows.filter("upto > half").groupBy("doc_id").agg(F.min("v").alias(name))
+
+
+def measures(found: DataFrame) -> DataFrame:
+    """(doc_id, body, margin, width, gap): size of the body, its left margin, its width, the usual distance of lines."""
+    long = F.length("text") > LONG
+    body = _median(found.filter(long).select("doc_id", (F.round(F.col("size") * 2) / 2).alias("v")), "body")
+    rows = staged(found.join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0))))
+    inner = rows.filter("abs(size - body) < body * 0.15")
+    starts = inner.groupBy("doc_id", F.round("x0").alias("start")).agg(F.count("*").alias("n"))
+    margin = starts.groupBy("doc_id").agg(F.max_by("start", F.struct("n", -F.col("start"))).alias("margin"))
+    out = rows.select("doc_id", "body").distinct().join(margin, "doc_id", "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)))
+    width = _median(inner.filter(long).join(out, "doc_id").select("doc_id", (F.col("x1") - F.col("margin")).alias("v")), "width")
+    step = F.lag("y").over(Window.partitionBy("doc_id", "page").orderBy("line")) - F.col("y")
+    gap = _median(rows.withColumn("v", step).filter("v > 0 and v < body * 3").select("doc_id", "v"), "gap")
+    out = out.join(width, "doc_id", "left").join(gap, "doc_id", "left")
+    return out.select("doc_id", "body", "margin", F.coalesce("width", F.lit(400.0)).alias("width"), F.coalesce("gap", F.col("body") * 1.2).alias("gap"))
 
 
 def paragraphs(found: DataFrame) -> DataFrame:
-    """Lines to paragraphs: a gap, an indent or a larger size opens one; a hyphen before a small letter is joined."""
-    body = found.groupBy("doc_id").agg(F.element_at(F.array_sort(F.collect_list(F.round(F.col("size") * 2) / 2)), F.floor(F.count("*") / 2).cast("int") + 1).alias("body"), F.mode(F.round("x0")).alias("margin"))
-    order = Window.partitionBy("doc_id").orderBy("page", "line")
-    rows = found.join(body, "doc_id")
-    gap = (F.lag("y").over(order) - F.col("y")) > 1.6 * 1.35 * F.col("body")
-    opens = F.coalesce((F.lag("page").over(order) == F.col("page")) & gap, F.lit(False)) | (F.col("x0") - F.col("margin") > 0.8 * F.col("body")) | (F.col("size") >= 1.2 * F.col("body")) | F.coalesce(F.lag("size").over(order) >= 1.2 * F.col("body"), F.lit(True))
-    rows = rows.withColumn("para", F.sum(opens.cast("int")).over(order))
-    parts = F.array_sort(F.collect_list(F.struct("page", "line", "text")))
-    joined = F.regexp_replace(F.array_join(F.transform(parts, lambda p: p.text), "\n"), r"(?<=\p{L})-\n(?=\p{Ll})", "")
-    return rows.groupBy("doc_id", "para").agg(F.regexp_replace(joined, "\n", " ").alias("text"), F.when(F.max("size") >= 1.2 * F.max("body"), "h2").otherwise("p").alias("type"), F.min("page").alias("page"))
+    """(doc_id, para, text, type, page): lines to paragraphs.
+
+    A heading (larger) or a centred line stands alone, but goes on with one of its kind; a larger gap, an indent, or a
+    short line with the end of a sentence before it opens a paragraph. A hyphen before a small letter is joined.
+    """
+    rows = staged(found)
+    rows = staged(rows.join(measures(rows), "doc_id"))
+    heading = F.col("size") >= F.col("body") * HEADING
+    left = F.col("x0") - F.col("margin")
+    centred = (left > F.col("body") * CENTRED) & (F.abs(left - (F.col("margin") + F.col("width") - F.col("x1"))) < F.col("body") * 3)
+    short = (F.col("x1") - F.col("margin") < F.col("width") * SHORT) & F.col("text").rlike(SENTENCE_END)
+    rows = rows.withColumns({"heading": heading, "alone": heading | centred, "short": short})
+    state = F.struct("heading", "alone", "short", "page", "y")
+    before_page = Window.partitionBy("doc_id").orderBy("page")
+    pages = rows.groupBy("doc_id", "page").agg(F.max_by(state, "line").alias("last"), F.min("line").alias("line"))
+    pages = pages.select("doc_id", "page", "line", F.lag("last").over(before_page).alias("across"))
+    rows = rows.join(pages, ["doc_id", "page", "line"], "left")
+    on_page = Window.partitionBy("doc_id", "page").orderBy("line")
+    rows = staged(rows.withColumn("before", F.coalesce(F.lag(state).over(on_page), "across")).withColumn("opens", _opens(left)).select("doc_id", "page", "line", "text", "heading", "opens"))
+    sums = rows.groupBy("doc_id", "page").agg(F.sum("opens").alias("n"))
+    sums = sums.select("doc_id", "page", F.coalesce(F.sum("n").over(before_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    rows = rows.join(sums, ["doc_id", "page"]).withColumn("para", F.col("earlier") + F.sum("opens").over(on_page))
+    parts = F.array_sort(F.collect_list(F.struct("page", "line", "text", "heading")))
+    whole = rows.groupBy("doc_id", "para").agg(parts.alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: p.text), "\n")
+    text = F.regexp_replace(F.regexp_replace(joined, HYPHENATED, ""), "\n", " ")
+    return whole.select("doc_id", "para", text.alias("text"), F.when(F.get("parts", 0).heading, "h2").otherwise("p").alias("type"), F.get("parts", 0).page.alias("page"))
+
+
+def _opens(left: Column) -> Column:
+    """1 where a line opens a paragraph, 0 where it goes on with the line before."""
+    same_page = F.col("before.page") == F.col("page")
+    far = same_page & (F.col("before.y") - F.col("y") > F.col("gap") * GAP)
+    indent = (left > F.col("body") * INDENT) & ~F.col("alone")
+    run = F.col("alone") & F.col("before.alone") & (F.col("heading") == F.col("before.heading")) & ~far
+    ends = F.col("alone") | F.col("before.alone") | far | indent | F.col("before.short")
+    return F.when(F.col("before").isNull() | (~run & ends), 1).otherwise(0).cast("long")
