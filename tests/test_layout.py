@@ -1,13 +1,16 @@
 """Pages, pieces of text, ordered folds and versions against plain replays of their rules."""
 
+import io
 import random
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from vellichor.operators import ordered, rebase, render, undo
-from vellichor.sources import pdf_items
+from vellichor.sources import epub, pdf_items
+from vellichor.streaming import timer
 
 # pages --------------------------------------------------------------------------------------------------------------
 
@@ -411,3 +414,122 @@ def test_skipped_commands_spread_along_creations(spark):
     journal = spark.createDataFrame(rows, "book_id long, seq long, edit string, target string, created string").withColumn("figure", F.lit(None).cast("string"))
     there = spark.createDataFrame([(1, "annotation", "q")], "book_id long, kind string, id string")
     assert sorted(r.seq for r in rebase.skipped(journal, there).collect()) == [*range(1, 9), 20]
+
+
+# EPUB files ---------------------------------------------------------------------------------------------------------
+
+
+def archive(entries):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as box:
+        for name, text in entries.items():
+            box.writestr(name, text)
+    return out.getvalue()
+
+
+CONTAINER = '<?xml version="1.0"?><c:container xmlns:c="urn:x"><c:rootfiles><c:rootfile full-path="OEBPS/book.opf"/></c:rootfiles></c:container>'
+PACKAGE = """<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> Der  Band </dc:title><dc:title>zweiter</dc:title><dc:creator>A. &amp; B.</dc:creator><dc:language/><dc:date>1900</dc:date></metadata>
+<manifest><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="x nav"/><item id="a" href="old.xhtml" media-type="application/xhtml+xml"/><item id="a" href="text/../text/a%201.xhtml" media-type="application/xhtml+xml"/>
+<item id="b" href="b.xhtml"/><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/><item id="d" href="gone.xhtml" media-type="application/xhtml+xml"/><item id="p" href="p.png" media-type="image/png"/><item id="e" href="empty.xhtml" media-type="text/html"/></manifest>
+<spine><itemref idref="n"/><itemref idref="a"/><itemref idref="p"/><itemref idref="b"/><itemref idref="d"/><itemref idref="c"/><itemref idref="e"/><itemref idref="b"/><itemref idref="unknown"/></spine></package>"""
+WHOLE = {
+    "META-INF/container.xml": CONTAINER, "OEBPS/book.opf": PACKAGE, "OEBPS/nav.xhtml": '<nav><a href="text/a%201.xhtml#top"> </a><a href="./text/a 1.xhtml">Erster&nbsp;Teil</a><a href="text/a 1.xhtml">später</a></nav>',
+    "OEBPS/x/toc.ncx": '<ncx><navMap><navPoint><navLabel><text>Aus ncx</text></navLabel><content src="../b.xhtml"/><navPoint><navLabel><text>innen</text></navLabel><content src="../c.xhtml#s"/></navPoint></navPoint></navMap></ncx>',
+    "OEBPS/text/a 1.xhtml": "<p>Ohne Kopf</p>", "OEBPS/b.xhtml": "<p>nur Text<p>und mehr", "OEBPS/c.xhtml": "<h1>I</h1><h2>Der Fluss</h2><h1>I</h1><h2>viertens</h2><p>x</p>", "OEBPS/empty.xhtml": "<p> </p>", "OEBPS/old.xhtml": "<p>alt</p>",
+}
+
+
+def test_epub_tables(spark, tmp_path):
+    plain = {"META-INF/container.xml": CONTAINER, "OEBPS/book.opf": '<package><manifest><item id="k" href="k.html" media-type="text/html"></manifest><spine><itemref idref="k"></spine></package>', "OEBPS/k.html": "<p>k"}
+    files = {"whole.epub": archive(WHOLE), "sub/plain.v2.epub": archive(plain), "broken.epub": b"PK\x03\x04no", "bare.epub": archive({"mimetype": "application/epub+zip"}), "other.txt": b"text"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    spark.dataSource.register(epub.EpubSource)
+    found = spark.read.format("book_epub").load(str(tmp_path))
+    rows = spark.createDataFrame([(str(tmp_path / k), v) for k, v in files.items() if k.endswith("epub")], "path string, content binary")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, epub.opened(rows).collect()), key=str)
+    short = lambda path: path[len(str(tmp_path)) + 1 :]
+    assert {short(r.path): r.value.split(":")[0] for r in found.filter("kind = 'error'").collect()} == {"broken.epub": "BadZipFile", "bare.epub": "ValueError"}
+    books = {short(r.path): tuple(r)[1:] for r in epub.metadata(found).collect()}
+    assert books == {"whole.epub": ("Der  Band", "A. & B.", None, None, "1900"), "sub/plain.v2.epub": ("plain.v2", None, None, None, None)}
+    chapters = {(short(r.path), r.place): (r.id, r.href, r.title, r.n_blocks) for r in epub.chapters(epub.blocks(found)).collect()}
+    assert chapters == {
+        ("whole.epub", 2): ("ch002", "OEBPS/text/a 1.xhtml", "Erster Teil", 1), ("whole.epub", 4): ("ch004", "OEBPS/b.xhtml", "Aus ncx", 2), ("whole.epub", 6): ("ch006", "OEBPS/c.xhtml", "I – Der Fluss", 5),
+        ("whole.epub", 8): ("ch008", "OEBPS/b.xhtml", "Aus ncx", 2), ("sub/plain.v2.epub", 1): ("ch001", "OEBPS/k.html", "Kapitel 1", 1),
+    }
+    one = spark.read.format("book_epub").option("kinds", "metadata").load(str(tmp_path / "whole.epub"))
+    assert one.rdd.getNumPartitions() == 1 and sorted(r.name for r in one.collect()) == ["author", "date", "title"]
+    assert found.rdd.getNumPartitions() == 4
+
+
+# the timer ----------------------------------------------------------------------------------------------------------
+
+
+class Plain:
+    """The timer as it is pressed."""
+
+    def __init__(self):
+        self.running, self.before, self.since, self.start, self.words = False, 0, 0, None, 0
+
+    def elapsed(self, now):
+        return self.before + (now - self.since if self.running else 0)
+
+    def press(self, now, action, position):
+        if action == "toggle":
+            action = "pause" if self.running else "start"
+        if action == "start" and not self.running:
+            self.start = position if self.start is None else self.start
+            self.since, self.running = now, True
+        elif action == "pause" and self.running:
+            self.before, self.running = self.elapsed(now), False
+        elif action == "track" and self.running:
+            self.words = max(0, position - self.start)
+        elif action == "reset":
+            self.running, self.before, self.start, self.words = False, 0, None, 0
+
+    def row(self, now):
+        ms = self.elapsed(now) // 1000
+        return self.running, ms, self.words, int(self.words / (ms / 60_000) + 0.5) if ms >= 20_000 and self.words else None
+
+
+def plain_paces(events, end):
+    out, timers = [], {}
+    for reader in sorted({e[0] for e in events}):
+        own, clock, last = sorted(e[1:] for e in events if e[0] == reader), Plain(), None
+        for k, (at, seq, action, position) in enumerate(own):
+            clock.press(at, action, position)
+            out.append((reader, at, seq, action, *clock.row(at)))
+            left = 20_000_000 - clock.elapsed(at)
+            if clock.running and left > 0 and at + left <= (own[k + 1][0] if k + 1 < len(own) else end) and at + left <= end:
+                out.append((reader, at + left, None, "known", *clock.row(at + left)))
+    return sorted(out, key=str)
+
+
+def test_timer_as_table_and_as_stream(spark, tmp_path):
+    rng = random.Random(3)
+    events, seq = [], 0
+    for reader in range(5):
+        at = 1_700_000_000_000_000 + rng.randrange(10**6)
+        for _ in range(40):
+            seq += 1
+            at += rng.choice([0, 700_000, 3_000_000, 9_000_123, 25_000_000])
+            events.append((reader, at, seq, rng.choice(["start", "start", "pause", "toggle", "track", "track", "track", "reset"]), rng.randrange(400)))
+    end = max(e[1] for e in events) + 3_600_000_000
+    events.append((9, end, seq + 1, "pause", 0))  # moves the watermark on
+    wanted = plain_paces(events, end)
+    assert any(r[3] == "known" for r in wanted)
+    frame = spark.createDataFrame(events, "reader long, at long, seq long, action string, position long").select("reader", F.timestamp_micros("at").alias("ts"), "seq", "action", "position")
+    plain = lambda rows: sorted(((r.reader, r.at, r.seq, r.action, r.running, r.elapsed_ms, r.words, r.wpm) for r in rows.withColumn("at", F.unix_micros("ts")).collect()), key=str)
+    assert plain(timer.paces(frame.repartition(3))) == wanted
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = sorted(events[:-1], key=lambda e: e[1] + rng.randrange(60_000_000))  # out of order by a minute at most
+    for k, part in enumerate([rows[:70], rows[70:140], rows[140:], [events[-1]]]):
+        batch = spark.createDataFrame(part, "reader long, at long, seq long, action string, position long").select("reader", F.timestamp_micros("at").alias("ts"), "seq", "action", "position")
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = timer.pace_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), "2 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+    found = plain(spark.read.parquet(str(tmp_path / "out")))
+    assert [r for r in found if r[0] != 9] == [r for r in wanted if r[0] != 9]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellichor import catalogue
 from vellichor.functions import text as T
-from vellichor.operators import attribution, colors, edits, jobs, segment, speech, stats, views, rebase
+from vellichor.operators import attribution, colors, edits, jobs, rebase, segment, speech, stats, views
 from vellichor.plans.analysis import analyse
 from vellichor.sources import books, containers, pages, pdf_items
 from vellichor.streaming import journal
@@ -246,6 +246,18 @@ def test_entry_without_the_llm_folder(tmp_path):
     assert out.strip().endswith("[]")
 
 
+def test_entry_without_a_package(tmp_path):
+    """Where a package of the operators for training corpora is missing, the library's queries are all there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    hidden = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; from vellichor import catalogue; print(set(e.queries()) >= set(catalogue.QUERIES), set(e.oracle_sql()) >= set(catalogue.ORACLES), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-B", "-c", hidden], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split()[-3:] == ["True", "True", "False"], done.stderr
+
+
 def test_sentence_edits(spark):
     rows = spark.createDataFrame([("»Kommst du mit?«, fragte Anna. »Es wird bald dunkel.«", [(0, 30), (31, 53)])], "text string, spans array<struct<s:long,e:long>>")
     merged = edits.merged_sentences(F.col("spans"), F.lit(0))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from vellichor.catalogue import LINES, _documents, _lines, query
 from vellichor.operators import ordered, rebase, render, undo
 from vellichor.session import staged, table
-from vellichor.sources import pdf_items
+from vellichor.sources import epub, pdf_items
+from vellichor.streaming import timer
 
 # pages --------------------------------------------------------------------------------------------------------------
 
@@ -20,8 +21,8 @@ set_lines AS (
     SELECT doc_id, i - 1 AS p, list_filter(string_split(x, ' '), lambda w: trim(w) <> '') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)))
 ), placed AS (
   SELECT doc_id, n // 30 AS page, n, str || CASE WHEN n % 11 = 5 AND k < n_of - 1 THEN '-' ELSE '' END AS str, 50 + CASE WHEN p % 5 = 1 THEN 60 WHEN p % 5 = 2 AND k = 0 THEN 12 ELSE 0 END::DOUBLE AS x,
-    700 - 14.0 * (n % 30) - 12.0 * sum(CASE WHEN p % 5 = 3 AND k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, n // 30 ORDER BY n) AS y, CASE WHEN p % 5 = 0 AND n_of = 1 THEN 14 ELSE 10 END::DOUBLE AS size FROM set_lines
-), heads AS (SELECT doc_id, page, unnest(['Band ' || doc_id || ', Blatt ' || page, '- ' || (page + 1) || ' -', 'Ende ' || doc_id]) AS str, unnest([760.0, 740.0, -300.0]) AS y, unnest([-2, -1, 1000000000]) AS n FROM (SELECT DISTINCT doc_id, page FROM placed)),
+    700 - 15.0 * (n % 30) - CASE WHEN p % 5 = 3 THEN 10 ELSE 0 END AS y, CASE WHEN p % 5 = 0 AND n_of = 1 THEN 14 ELSE 10 END::DOUBLE AS size FROM set_lines
+), heads AS (SELECT doc_id, page, unnest(['Band ' || doc_id || ', Blatt ' || page, '- ' || (page + 1) || ' -', 'Ende ' || doc_id]) AS str, unnest([760.0, 740.0, 200.0]) AS y, unnest([-2, -1, 1000000000]) AS n FROM (SELECT DISTINCT doc_id, page FROM placed)),
 items AS (
   SELECT doc_id, page, n, trim(regexp_replace(str, '\\s+', ' ', 'g')) AS text, x AS x0, x + 5.0 * length(str) AS x1, y::DOUBLE AS y, size FROM placed
   UNION ALL SELECT doc_id, page, n, str, 50.0, 50 + 5.0 * length(str), y::DOUBLE, 8.0 FROM heads
@@ -29,19 +30,20 @@ items AS (
 
 
 def _typeset(spark: SparkSession, sf: str) -> DataFrame:
-    split = _documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "x"))
-    words = split.select("doc_id", "p", F.filter(F.split("x", " "), lambda w: F.trim(w) != "").alias("ws")).filter(F.size("ws") > 0)
-    set_lines = words.withColumn("n_of", F.ceil(F.size("ws") / 8).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_of") - 1)))
-    set_lines = set_lines.withColumn("str", F.array_join(F.slice("ws", 8 * F.col("k") + 1, 8), " ")).withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("p", "k")) - 1).drop("ws").withColumn("page", F.floor(F.col("n") / 30))
-    hyphen = F.when((F.col("n") % 11 == 5) & (F.col("k") < F.col("n_of") - 1), "-").otherwise("")
+    """Items of every document's pages; the first line of a page brings its heads and foot."""
+    # Paragraphs as (p, words), then lines as (p, k, n_of, str); the place in the array is the line's number.
+    paras = F.transform(F.split("text", "\n"), lambda x, p: F.struct(p.alias("p"), F.filter(F.split(x, " "), lambda w: F.trim(w) != "").alias("ws")))
+    of_para = lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x.ws) / 8).cast("int") - 1), lambda k: F.struct(x.p.alias("p"), k.alias("k"), F.ceil(F.size(x.ws) / 8).cast("int").alias("n_of"), F.array_join(F.slice(x.ws, k * 8 + 1, 8), " ").alias("str")))
+    set_lines = F.flatten(F.transform(F.filter(paras, lambda x: F.size(x.ws) > 0), of_para))
+    rows = _documents(spark, sf).select("doc_id", F.posexplode(set_lines).alias("n", "x")).select("doc_id", "n", "x.*", F.floor(F.col("n") / 30).alias("page"))
     x = 50.0 + F.when(F.col("p") % 5 == 1, 60).when((F.col("p") % 5 == 2) & (F.col("k") == 0), 12).otherwise(0)
-    gaps = F.sum(F.when((F.col("p") % 5 == 3) & (F.col("k") == 0), 1).otherwise(0)).over(Window.partitionBy("doc_id", "page").orderBy("n"))
-    str_ = F.concat("str", hyphen)
-    placed = set_lines.select("doc_id", "page", str_.alias("str"), x.alias("x"), (700 - 14.0 * (F.col("n") % 30) - 12.0 * gaps).alias("y"), (5.0 * F.length(str_)).alias("width"), F.when((F.col("p") % 5 == 0) & (F.col("n_of") == 1), 14.0).otherwise(10.0).alias("size"))
+    y = 700 - 15.0 * (F.col("n") % 30) - F.when(F.col("p") % 5 == 3, 10).otherwise(0)
+    item = lambda text, x, y, size: F.struct(text.alias("str"), x.cast("double").alias("x"), y.cast("double").alias("y"), (5.0 * F.length(text)).alias("width"), size.cast("double").alias("size"))
+    line = item(F.concat("str", F.when((F.col("n") % 11 == 5) & (F.col("k") < F.col("n_of") - 1), "-").otherwise("")), x, y, F.when((F.col("p") % 5 == 0) & (F.col("n_of") == 1), 14.0).otherwise(10.0))
     doc, page = F.col("doc_id").cast("string"), F.col("page").cast("string")
-    heads = F.array(F.struct(F.concat(F.lit("Band "), doc, F.lit(", Blatt "), page).alias("str"), F.lit(760.0).alias("y")), F.struct(F.concat(F.lit("- "), (F.col("page") + 1).cast("string"), F.lit(" -")).alias("str"), F.lit(740.0).alias("y")), F.struct(F.concat(F.lit("Ende "), doc).alias("str"), F.lit(-300.0).alias("y")))
-    heads = placed.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(heads)).select("doc_id", "page", "str", F.lit(50.0).alias("x"), "y", (5.0 * F.length("str")).alias("width"), F.lit(8.0).alias("size"))
-    return placed.unionByName(heads)
+    heads = [(F.concat(F.lit("Band "), doc, F.lit(", Blatt "), page), 760), (F.concat(F.lit("- "), (F.col("page") + 1).cast("string"), F.lit(" -")), 740), (F.concat(F.lit("Ende "), doc), 200)]
+    items = F.when(F.col("n") % 30 == 0, F.array(line, *(item(text, F.lit(50.0), F.lit(at), F.lit(8.0)) for text, at in heads))).otherwise(F.array(line))
+    return rows.select("doc_id", "page", F.inline(items))
 
 
 @query(f"""
@@ -80,6 +82,41 @@ def pdf_paragraphs(spark, sf):
     return pdf_items.paragraphs(pdf_items.without_running_heads(pdf_items.lines(_typeset(spark, sf))))
 
 
+# EPUB files ---------------------------------------------------------------------------------------------------------
+
+
+def _bound(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): every document as an EPUB, five lines a chapter; of three chapters the first has a heading, the second a title in the contents, and of four books one has no title."""
+    from html import escape
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, lang, lines in zip(*(batch.column(c).to_pylist() for c in ("book_id", "lang", "lines"))):
+                parts = [lines[i : i + 5] for i in range(0, len(lines), 5)]
+                bodies = [(f"Inhalt {k + 1}" if k % 3 == 1 else None, f"<h1>Teil {k + 1}</h1>" * (k % 3 == 0) + "".join(f"<p>{escape(x)}</p>" for x in part)) for k, part in enumerate(parts)]
+                content = epub.packed(f"Band {doc}" if doc % 4 else None, lang, bodies)
+                yield pa.RecordBatch.from_arrays([pa.array([f"books/doc-{doc}.epub"]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    lines = _lines(spark, sf).groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "text"))), lambda x: x.text).alias("lines"))
+    return lines.join(_documents(spark, sf).select(F.col("doc_id").alias("book_id"), "lang"), "book_id").mapInArrow(run, "path string, content binary")
+
+
+@query(f"""
+WITH {LINES}, kept AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_ord) - 1 AS r, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM lines),
+parts AS (SELECT book_id, r // 5 AS k, count(*) AS n_blocks, sum(n) AS n_chars FROM kept GROUP BY book_id, r // 5)
+SELECT 'books/doc-' || p.book_id || '.epub' AS path, CASE WHEN p.book_id % 4 > 0 THEN 'Band ' || p.book_id ELSE 'doc-' || p.book_id END AS book, d.lang AS language, (k + 2)::BIGINT AS place, 'ch' || lpad((k + 2)::VARCHAR, 3, '0') AS id,
+  CASE k % 3 WHEN 0 THEN 'Teil ' || (k + 1) WHEN 1 THEN 'Inhalt ' || (k + 1) ELSE 'Kapitel ' || (k + 2) END AS title, (n_blocks + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_blocks, (p.n_chars + CASE WHEN k % 3 = 0 THEN length('Teil ' || (k + 1)) ELSE 0 END)::BIGINT AS n_chars
+FROM parts p JOIN documents d ON d.doc_id = p.book_id
+""")
+def epub_chapters(spark, sf):
+    """Every document bound as an EPUB and read again: metadata, spine, contents and blocks."""
+    found = staged(epub.opened(_bound(spark, sf)))
+    books = epub.metadata(found).select("path", F.col("title").alias("book"), "language")
+    return epub.chapters(epub.blocks(found)).join(books, "path").select("path", "book", "language", "place", "id", "title", "n_blocks", "n_chars")
+
+
 # pieces of text -----------------------------------------------------------------------------------------------------
 
 KIND_NAMES = "['speech', 'quote', 'emphasis', 'retake', 'note', 'bookmark', 'pause', 'breath']"
@@ -349,3 +386,34 @@ FROM valued v LEFT JOIN known k ON k.book_id = v.book_id AND k.kind = 'annotatio
 def journal_rebase(spark, sf):
     """Every command of the journals on another version of its book."""
     return rebase.rebased(*_offline(spark, sf))
+
+
+# the timer ----------------------------------------------------------------------------------------------------------
+
+PRESSES = ["start", "track", "toggle", "track", "toggle", "track", "pause", "start", "track", "start", "track", "track", "reset"]
+
+
+@query(f"""
+WITH RECURSIVE j AS (
+  SELECT user_id AS reader, ts, event_id AS seq, epoch_us(ts) AS moment, {PRESSES}[event_id % 13 + 1] AS action, event_id * 7 % 500 AS position, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), s AS (
+  SELECT DISTINCT user_id AS reader, 0::BIGINT AS k, FALSE AS running, 0::BIGINT AS micros, 0::BIGINT AS moment, NULL::BIGINT AS began, 0::BIGINT AS words FROM events
+  UNION ALL
+  SELECT s.reader, j.k, CASE WHEN action = 'start' THEN TRUE WHEN action = 'toggle' THEN NOT running WHEN action IN ('pause', 'reset') THEN FALSE ELSE running END,
+    CASE WHEN action = 'reset' THEN 0 WHEN running THEN micros + j.moment - s.moment ELSE micros END, j.moment, CASE WHEN action = 'reset' THEN NULL WHEN NOT running AND action IN ('start', 'toggle') THEN coalesce(began, position) ELSE began END,
+    CASE WHEN action = 'reset' THEN 0 WHEN action = 'track' AND running THEN greatest(position - began, 0) ELSE words END
+  FROM s JOIN j ON j.reader = s.reader AND j.k = s.k + 1
+), led AS (SELECT *, lead(moment) OVER (PARTITION BY reader ORDER BY k) AS following FROM s WHERE k > 0),
+rows AS (
+  SELECT l.reader, j.ts, j.seq, j.action, l.running, l.micros, l.words FROM led l JOIN j ON j.reader = l.reader AND j.k = l.k
+  UNION ALL SELECT reader, make_timestamp(moment + 20000000 - micros), NULL, 'known', TRUE, 20000000, words FROM led
+  WHERE running AND micros < 20000000 AND moment + 20000000 - micros <= coalesce(following, moment + 20000000 - micros) AND moment + 20000000 - micros <= (SELECT max(epoch_us(ts)) FROM events)
+)
+SELECT reader, ts, seq, action, running, micros // 1000 AS elapsed_ms, words, CASE WHEN micros >= 20000000 AND words > 0 THEN floor(words / ((micros // 1000) / 60000.0) + 0.5)::BIGINT END AS wpm FROM rows
+""")
+def reading_pace(spark, sf):
+    """Every press of the timer with the time and words counted so far, and the moments when a pace became known."""
+    k = F.col("event_id")
+    action = F.get(F.array(*[F.lit(x) for x in PRESSES]), (k % 13).cast("int"))
+    presses = table(spark, sf, "events").select(F.col("user_id").alias("reader"), F.col("ts").cast("timestamp").alias("ts"), k.alias("seq"), action.alias("action"), (k * 7 % 500).alias("position"))
+    return timer.paces(presses).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -123,8 +123,10 @@ def explicit(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     holds = F.get(F.filter("sentences", lambda x: (x.s <= F.col("s")) & (F.col("s") < x.e)), 0)
     rows = rows.withColumn("sent", F.coalesce(holds, F.struct(F.lit(0).cast("long").alias("s"), F.length("text").cast("long").alias("e"))))
     cut = lambda a, b: F.expr(f"substring(text, cast({a} as int) + 1, greatest(cast({b} as int) - cast({a} as int), 0))")
-    rows = rows.withColumn("after", inquit(cut("e", "sent.e"))).withColumn("before", inquit(cut(f"greatest(sent.s, s - {BEFORE})", "s")))
-    rows = rows.withColumn("back", inquit(cut(f"greatest(0, s - {BACK})", "s"), last=True))
+    # What stands before is only looked at where nothing after it says who speaks, what is farther back only where neither does.
+    rows = rows.withColumn("after", inquit(cut("e", "sent.e")))
+    rows = rows.withColumn("before", F.when(F.col("after").isNull(), inquit(cut(f"greatest(sent.s, s - {BEFORE})", "s"))))
+    rows = rows.withColumn("back", F.when(F.coalesce("after", "before").isNull(), inquit(cut(f"greatest(0, s - {BACK})", "s"), last=True)))
     rows = rows.withColumn("hit", F.coalesce("after", "before")).withColumn("found", F.when(F.col("after").isNotNull(), "inquit_after").when(F.col("before").isNotNull(), "inquit_before"))
     named = F.col("hit").isNotNull() & (F.col("hit.kind") != "pron") & ~F.col("inner")
     pronoun = (F.col("hit.kind") == "pron") & ~F.col("inner")

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import io
 import json
-import posixpath
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellichor.sources import epub as epub_tables
+
 BOOK_TYPE = "application/x-vellichor-book"
 
 
@@ -36,55 +35,9 @@ def format_of(content: Column, path: Column) -> Column:
     )
 
 
-def _local(node: ElementTree.Element) -> str:
-    return node.tag.rpartition("}")[2]
-
-
-def _all(root: ElementTree.Element, name: str) -> list[ElementTree.Element]:
-    return [n for n in root.iter() if _local(n) == name]
-
-
-def epub_chapters(content: bytes) -> list[tuple[int, str, str, str]]:
-    """(place in the spine from 1, href, html, title of the table of contents); navigation and pictures are passed over."""
-    with zipfile.ZipFile(io.BytesIO(content)) as box:
-        names = set(box.namelist())
-        opf = next((n.get("full-path") for n in _all(ElementTree.fromstring(box.read("META-INF/container.xml")), "rootfile")), None)
-        package = ElementTree.fromstring(box.read(opf))
-        resolve = lambda base, href: posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(href.split("#")[0])))
-        items = {n.get("id"): n for n in _all(package, "item")}
-        titles: dict[str, str] = {}
-        for item in items.values():
-            at = resolve(opf, item.get("href", ""))
-            if at not in names:
-                continue
-            if item.get("media-type") == "application/x-dtbncx+xml":
-                for point in _all(ElementTree.fromstring(box.read(at)), "navPoint"):
-                    label = " ".join("".join(t.itertext()).strip() for t in _all(point, "text")[:1])
-                    for target in _all(point, "content")[:1]:
-                        titles.setdefault(resolve(at, target.get("src", "")), label)
-            elif "nav" in (item.get("properties") or "").split():
-                for link in _all(ElementTree.fromstring(box.read(at)), "a"):
-                    titles.setdefault(resolve(at, link.get("href", "")), " ".join("".join(link.itertext()).split()))
-        out = []
-        for place, ref in enumerate(_all(package, "itemref"), 1):
-            item = items.get(ref.get("idref"))
-            if item is None or "nav" in (item.get("properties") or "").split() or "html" not in (item.get("media-type") or ""):
-                continue
-            at = resolve(opf, item.get("href", ""))
-            if at in names:
-                out.append((place, at, box.read(at).decode("utf-8", "replace"), titles.get(at, "")))
-        return out
-
-
 def epub(books: DataFrame) -> DataFrame:
-    """(path, place, href, html, toc_title) of books (path, content)."""
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(path, *c) for c in epub_chapters(content)], columns=["path", "place", "href", "html", "toc_title"])
-
-    return books.select("path", "content").mapInPandas(opened, "path string, place long, href string, html string, toc_title string")
+    """(path, place, href, html, toc_title) of books (path, content): the spine without navigation and pictures."""
+    return epub_tables.documents(epub_tables.opened(books)).withColumnRenamed("contents", "toc_title").select("path", "place", "href", "html", "toc_title")
 
 
 def packed_book(book: str, source: bytes | None = None, source_name: str = "source", handed_over: str | None = None) -> bytes:

@@ -1,7 +1,9 @@
 """Positioned text of PDF pages to lines, and lines to paragraphs: items are (doc_id, page, str, x, y, width, size).
 
 A page is small; a document may have any number of them. So lines meet within their page, and what goes on from page to
-page (the line before a page's first, the number of the paragraph) is one row a page.
+page (the line before a page's first, the number of the paragraph) is one row a page. Between the steps lines are written
+in buckets of whole pages (by `leaf`, a hash of document and page): texts move once to their page and once to their
+paragraph, and all else happens in the buckets or moves numbers only.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellichor.session import staged
+from vellichor.session import partitions, staged
 
 # Page numbers, ends of sentences, a hyphen at a line's end before a small letter.
 PAGE_NUMBER = r"(?iu)^\s*[-–—\[(]?\s*(?:seite\s+|page\s+)?(?:\d{1,4}|[ivxlcdm]{1,7})\s*[-–—\])]?\s*$"
@@ -20,17 +22,31 @@ HEADING, INDENT, CENTRED, GAP, SHORT = 1.2, 0.8, 2.0, 1.6, 0.72
 LONG = 20  # characters beyond which a line counts for sizes and widths
 
 
+LEAF = ["leaf", "doc_id", "page"]
+
+
+def _by_leaf(rows: DataFrame) -> DataFrame:
+    if "leaf" in rows.columns:
+        return rows
+    return rows.withColumn("leaf", F.xxhash64("doc_id", "page")).repartition(partitions(rows.sparkSession), "leaf")
+
+
 def lines(items: DataFrame) -> DataFrame:
     """Items on one baseline are a line; a gap of more than 0.15 of the size is a blank. Lines run down the page."""
-    page = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"), "x")
+    page = Window.partitionBy(*LEAF).orderBy(F.desc("y"), "x")
     near = F.abs(F.col("y") - F.lag("y").over(page)) <= F.greatest(F.lit(1.5), 0.45 * F.least("size", F.lag("size").over(page)))
-    rows = items.filter("trim(str) <> ''").withColumn("opens", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("line", F.sum("opens").over(page))
-    row = Window.partitionBy("doc_id", "page", "line").orderBy("x")
+    rows = _by_leaf(items).filter("trim(str) <> ''").withColumn("opens", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("line", F.sum("opens").over(page))
+    row = Window.partitionBy(*LEAF, "line").orderBy("x")
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(row)
     rows = rows.withColumn("piece", F.concat(F.when(gap > 0.15 * F.col("size"), " ").otherwise(""), "str"))
     parts = F.array_sort(F.collect_list(F.struct("x", "piece")))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p.piece), ""), r"\s+", " "))
-    return rows.groupBy("doc_id", "page", "line").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max("y").alias("y"), F.max("size").alias("size"))
+    return rows.groupBy(*LEAF, "line").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max("y").alias("y"), F.max("size").alias("size"))
+
+
+def _pages(rows: DataFrame) -> DataFrame:
+    """Lines written in buckets of whole pages."""
+    return staged(_by_leaf(rows), bucket=(partitions(rows.sparkSession), "leaf"))
 
 
 def without_running_heads(found: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -39,41 +55,48 @@ def without_running_heads(found: DataFrame, pages: DataFrame | None = None) -> D
     Many is a quarter of the pages, three at least. pages: (doc_id, pages) where some have no lines. A line goes if all
     lines from its edge of the page on are such lines: a running minimum.
     """
+    found = _pages(found)
     key = F.lower(F.regexp_replace("text", r"\d+", "#"))
-    edges = staged(found.groupBy("doc_id", "page").agg(F.min_by(key, "line").alias("top"), F.max_by(key, "line").alias("bottom")))
+    edges = found.groupBy(*LEAF).agg(F.min_by("text", "line").alias("top"), F.max_by("text", "line").alias("bottom"))
+    edges = staged(edges.select("doc_id", *(F.lower(F.regexp_replace(c, r"\d+", "#")).alias(c) for c in ("top", "bottom"))))
     total = edges.groupBy("doc_id").agg(F.count("*").alias("pages")) if pages is None else pages.select("doc_id", "pages")
     many = F.greatest(F.lit(3), F.floor(F.col("pages") / 4))
     # A quarter of the pages each, or three of fewer than sixteen: five keys a document at most.
     often = [edges.groupBy("doc_id", F.col(c).alias("key")).agg(F.count("*").alias("n")).join(total, "doc_id").filter(F.col("n") >= many).groupBy("doc_id").agg(F.collect_list("key").alias(f"{c}s")) for c in ("top", "bottom")]
-    rows = found.join(often[0], "doc_id", "left").join(often[1], "doc_id", "left")
+    # Keys go to the pages (a row each), pages to their lines in the buckets.
+    leaves = found.select(*LEAF).distinct().join(often[0], "doc_id", "left").join(often[1], "doc_id", "left")
+    rows = found.join(leaves, LEAF)
     number = F.col("text").rlike(PAGE_NUMBER)
     known = lambda keys: number | F.coalesce(F.array_contains(keys, key), F.lit(False))
-    page = Window.partitionBy("doc_id", "page")
+    page = Window.partitionBy(*LEAF)
     rows = rows.withColumn("from_top", F.min(known("tops")).over(page.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("from_bottom", F.min(known("bottoms")).over(page.orderBy("line").rowsBetween(0, Window.unboundedFollowing)))
     return rows.filter("not from_top and not from_bottom").select(*found.columns)
 
 
-def _median(values: DataFrame, name: str) -> DataFrame:
-    """(doc_id, name): the upper median of values (doc_id, v), read off a histogram."""
-    counts = values.groupBy("doc_id", "v").agg(F.count("*").alias("n"))
+def _median(counts: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name): the upper median of a histogram (doc_id, v, n)."""
+    counts = counts.groupBy("doc_id", "v").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     rows = counts.withColumn("upto", upto).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy("doc_id")) / 2))
     return rows.filter("upto > half").groupBy("doc_id").agg(F.min("v").alias(name))
 
 
 def measures(found: DataFrame) -> DataFrame:
-    """(doc_id, body, margin, width, gap): size of the body, its left margin, its width, the usual distance of lines."""
-    long = F.length("text") > LONG
-    body = _median(found.filter(long).select("doc_id", (F.round(F.col("size") * 2) / 2).alias("v")), "body")
-    rows = staged(found.join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0))))
-    inner = rows.filter("abs(size - body) < body * 0.15")
-    starts = inner.groupBy("doc_id", F.round("x0").alias("start")).agg(F.count("*").alias("n"))
+    """(doc_id, body, margin, width, gap) of lines (…, long): size of the body, its left margin, its width, the usual distance of lines. Lines become histograms before they meet the size of the body."""
+    count = F.count("*").alias("n")
+    sizes = found.groupBy("doc_id", "size", "long", F.round("x0").alias("start")).agg(count)
+    body = _median(sizes.filter("long").select("doc_id", (F.round(F.col("size") * 2) / 2).alias("v"), "n"), "body")
+    out = staged(sizes.select("doc_id").distinct().join(body, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0))))
+    usual = "abs(size - body) < body * 0.15"
+    starts = sizes.join(out, "doc_id").filter(usual).groupBy("doc_id", "start").agg(F.sum("n").alias("n"))
     margin = starts.groupBy("doc_id").agg(F.max_by("start", F.struct("n", -F.col("start"))).alias("margin"))
-    out = rows.select("doc_id", "body").distinct().join(margin, "doc_id", "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)))
-    width = _median(inner.filter(long).join(out, "doc_id").select("doc_id", (F.col("x1") - F.col("margin")).alias("v")), "width")
-    step = F.lag("y").over(Window.partitionBy("doc_id", "page").orderBy("line")) - F.col("y")
-    gap = _median(rows.withColumn("v", step).filter("v > 0 and v < body * 3").select("doc_id", "v"), "gap")
+    out = staged(out.join(margin, "doc_id", "left").withColumn("margin", F.coalesce("margin", F.lit(0.0))))
+    ends = found.filter("long").groupBy("doc_id", "size", "x1").agg(count)
+    width = _median(ends.join(out, "doc_id").filter(usual).select("doc_id", (F.col("x1") - F.col("margin")).alias("v"), "n"), "width")
+    step = F.lag("y").over(Window.partitionBy(*LEAF).orderBy("line")) - F.col("y")
+    steps = found.select("doc_id", step.alias("v")).filter("v > 0").groupBy("doc_id", "v").agg(count)
+    gap = _median(steps.join(out, "doc_id").filter("v < body * 3").select("doc_id", "v", "n"), "gap")
     out = out.join(width, "doc_id", "left").join(gap, "doc_id", "left")
     return out.select("doc_id", "body", "margin", F.coalesce("width", F.lit(400.0)).alias("width"), F.coalesce("gap", F.col("body") * 1.2).alias("gap"))
 
@@ -84,25 +107,27 @@ def paragraphs(found: DataFrame) -> DataFrame:
     A heading (larger) or a centred line stands alone, but goes on with one of its kind; a larger gap, an indent, or a
     short line with the end of a sentence before it opens a paragraph. A hyphen before a small letter is joined.
     """
-    rows = staged(found)
-    rows = staged(rows.join(measures(rows), "doc_id"))
+    found = _pages(found.withColumns({"long": F.length("text") > LONG, "closed": F.col("text").rlike(SENTENCE_END)}))
+    leaves = found.select(*LEAF).distinct().join(measures(found), "doc_id")
+    rows = found.join(leaves, LEAF)
     heading = F.col("size") >= F.col("body") * HEADING
     left = F.col("x0") - F.col("margin")
     centred = (left > F.col("body") * CENTRED) & (F.abs(left - (F.col("margin") + F.col("width") - F.col("x1"))) < F.col("body") * 3)
-    short = (F.col("x1") - F.col("margin") < F.col("width") * SHORT) & F.col("text").rlike(SENTENCE_END)
+    short = (F.col("x1") - F.col("margin") < F.col("width") * SHORT) & F.col("closed")
     rows = rows.withColumns({"heading": heading, "alone": heading | centred, "short": short})
+    rows = staged(rows.drop("text", "size", "x1", "long", "closed", "width"), bucket=(partitions(found.sparkSession), "leaf"))
     state = F.struct("heading", "alone", "short", "page", "y")
     before_page = Window.partitionBy("doc_id").orderBy("page")
-    pages = rows.groupBy("doc_id", "page").agg(F.max_by(state, "line").alias("last"), F.min("line").alias("line"))
-    pages = pages.select("doc_id", "page", "line", F.lag("last").over(before_page).alias("across"))
-    rows = rows.join(pages, ["doc_id", "page", "line"], "left")
-    on_page = Window.partitionBy("doc_id", "page").orderBy("line")
-    rows = staged(rows.withColumn("before", F.coalesce(F.lag(state).over(on_page), "across")).withColumn("opens", _opens(left)).select("doc_id", "page", "line", "text", "heading", "opens"))
-    sums = rows.groupBy("doc_id", "page").agg(F.sum("opens").alias("n"))
-    sums = sums.select("doc_id", "page", F.coalesce(F.sum("n").over(before_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    rows = rows.join(sums, ["doc_id", "page"]).withColumn("para", F.col("earlier") + F.sum("opens").over(on_page))
+    firsts = rows.groupBy(*LEAF).agg(F.max_by(state, "line").alias("last"), F.min("line").alias("line"))
+    firsts = firsts.select(*LEAF, "line", F.lag("last").over(before_page).alias("across"))
+    on_page = Window.partitionBy(*LEAF).orderBy("line")
+    rows = rows.withColumn("before", F.lag(state).over(on_page)).join(firsts, [*LEAF, "line"], "left").withColumn("before", F.coalesce("before", "across"))
+    rows = staged(rows.select(*LEAF, "line", "heading", _opens(left).alias("opens")), bucket=(partitions(found.sparkSession), "leaf"))
+    sums = rows.groupBy(*LEAF).agg(F.sum("opens").alias("n"))
+    sums = sums.select(*LEAF, F.coalesce(F.sum("n").over(before_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = rows.join(sums, LEAF).select(*LEAF, "line", "heading", (F.col("earlier") + F.sum("opens").over(on_page)).alias("para"))
     parts = F.array_sort(F.collect_list(F.struct("page", "line", "text", "heading")))
-    whole = rows.groupBy("doc_id", "para").agg(parts.alias("parts"))
+    whole = found.select(*LEAF, "line", "text").join(numbered, [*LEAF, "line"]).groupBy("doc_id", "para").agg(parts.alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p.text), "\n")
     text = F.regexp_replace(F.regexp_replace(joined, HYPHENATED, ""), "\n", " ")
     return whole.select("doc_id", "para", text.alias("text"), F.when(F.get("parts", 0).heading, "h2").otherwise("p").alias("type"), F.get("parts", 0).page.alias("page"))
