@@ -83,6 +83,11 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), 0)
 
 
+def one_of(x: Column, words: list[str]) -> Column:
+    """Whether x is one of the words, which are one literal: a list of many takes the driver longer to build than the tasks to search."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), x)
+
+
 def subject(text: Column, head: bool) -> Column:
     """struct<surface, kind> of the subject that opens (head) or closes a text; null without one. kind: pron, np, name."""
     as_ = lambda x, kind: F.struct(x.alias("surface"), F.lit(kind).alias("kind"))
@@ -92,8 +97,8 @@ def subject(text: Column, head: bool) -> Column:
     name = F.trim(F.regexp_extract(text, rf"{_LEAD}({NAME})" if head else rf"({NAME})\s*$", 1))
     first = lambda x: stripped(F.lower(F.substring_index(F.regexp_replace(x, r"\s+", " "), " ", 1)), ".,;:")
     by_pronoun = let(pronoun, lambda x: F.when(x != "", as_(x, "pron")))
-    by_phrase = let(phrase, lambda x: F.when((x != "") & (F.contains(x, F.lit(" ")) | ~F.lower(x).isin(STOP_NAMES)), as_(x, "np")))
-    by_name = let(name, lambda x: F.when(F.lower(x).isin(list(PRONOUNS)), as_(F.lower(x), "pron")).when((F.length(x) >= 3) & ~first(x).isin(STOP_NAMES), as_(stripped(x, " ,.;:"), "name")))
+    by_phrase = let(phrase, lambda x: F.when((x != "") & (F.contains(x, F.lit(" ")) | ~one_of(F.lower(x), STOP_NAMES)), as_(x, "np")))
+    by_name = let(name, lambda x: F.when(one_of(F.lower(x), list(PRONOUNS)), as_(F.lower(x), "pron")).when((F.length(x) >= 3) & ~one_of(first(x), STOP_NAMES), as_(stripped(x, " ,.;:"), "name")))
     return F.coalesce(by_pronoun, by_phrase, by_name) if head else F.coalesce(by_phrase, by_name, by_pronoun)
 
 
@@ -137,7 +142,7 @@ def explicit(blocks: DataFrame, spans: DataFrame) -> DataFrame:
         F.when(named, slug(F.col("hit.surface"))).alias("speaker"), F.when(named, F.col("hit.surface")).alias("surface"), F.when(named, F.col("hit.kind")).alias("kind"),
         F.when(named, F.round(sure, 2)).otherwise(0.0).alias("conf"),
         F.when(F.col("inner"), "inner").when(named, F.col("found")).when(pronoun, F.concat("found", F.lit("_pron"))).alias("via"),
-        F.when(pronoun, F.col("hit.surface")).alias("pron"), F.coalesce(pronoun & F.col("hit.verb").isin(RESPONSE_VERBS), F.lit(False)).alias("resp"),
+        F.when(pronoun, F.col("hit.surface")).alias("pron"), F.coalesce(pronoun & one_of(F.col("hit.verb"), RESPONSE_VERBS), F.lit(False)).alias("resp"),
         F.when(back, slug(F.col("back.surface"))).alias("back_id"), F.when(back, F.col("back.surface")).alias("back_name"), F.when(back, F.col("back.kind")).alias("back_kind"),
         cut("s", "e").alias("utterance"),
     )
@@ -158,7 +163,7 @@ def genders(blocks: DataFrame, first: DataFrame) -> DataFrame:
     counted = held.groupBy("book_id", "speaker").agg(F.sum(m).alias("m"), F.sum(F.size("pronouns") - m).alias("f"))
     rows = cast.join(counted, ["book_id", "speaker"], "left").withColumn("m", F.coalesce(F.col("m"), F.lit(0))).withColumn("f", F.coalesce(F.col("f"), F.lit(0)))
     parts = F.split(F.lower("name"), r"[^\p{L}\p{N}_]+")
-    has = lambda words: F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))
+    has = lambda words: F.arrays_overlap(parts, F.split(F.lit(" ".join(words)), " "))
     guessed = F.when((F.col("m") + F.col("f") >= 3) & (F.col("m") > F.col("f") * 1.4), "m").when((F.col("m") + F.col("f") >= 3) & (F.col("f") > F.col("m") * 1.4), "f").otherwise("?")
     return rows.select("book_id", "speaker", "name", "kind", F.when(has(TITLES_F), "f").when(has(TITLES_M), "m").when(F.col("kind") == "name", guessed).otherwise("?").alias("gender"))
 
@@ -335,7 +340,7 @@ def merged_names(cast: DataFrame) -> DataFrame:
     few, as their ids come from their names."""
     parts = F.filter(F.split(F.lower("name"), r"\s+"), lambda p: F.length(p) >= 2)
     parts = F.transform(parts, lambda p: F.btrim(p, F.lit(".")))
-    titles = F.array(*[F.lit(t.lower()) for t in TITLES])
+    titles = F.split(F.lit(" ".join(TITLES).lower()), " ")
     pinned = F.col("pinned") if "pinned" in cast.columns else F.lit(False)
     rows = cast.select("book_id", "speaker", F.col("lines").cast("long").alias("lines"), pinned.alias("pinned"), F.array_join(F.array_sort(F.array_distinct(F.array_except(parts, titles))), " ").alias("core"), F.array_join(F.array_sort(F.array_distinct(F.array_intersect(parts, titles))), " ").alias("titles"))
     several = rows.filter("core <> ''").groupBy("book_id", "core").agg(F.count("*").alias("n")).filter("n > 1").select("book_id", "core")
