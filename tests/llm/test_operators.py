@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellichor.llm import across, chat_format, components, decontamination, jaccard_join, line_dedup, media, packing, substring_dedup, token_files, toxicity, url_filter
 
@@ -72,7 +73,7 @@ def brute_leaks(documents, items):
         for i, item in items:
             b = tokens(item)
             window, tolerance = min(13, len(b)), 2 if len(b) >= 13 else 0
-            if len(b) < decontamination.SHORTEST:
+            if not b:
                 continue
             for diagonal in range(-len(b), len(h)):
                 equal = [b[q] == h[q + diagonal] for q in range(max(0, -diagonal), min(len(b), len(h) - diagonal))]
@@ -90,7 +91,7 @@ def test_masks_hit_every_pattern():
 def test_leaks(spark, bound):
     rng = random.Random(3)
     say = lambda n: [rng.choice(WORDS) for _ in range(n)]
-    items = [(k, " ".join(say(n))) for k, n in enumerate((20, 13, 30, 9, 5, 14))] + [(6, None), (7, "")]
+    items = [(k, " ".join(say(n))) for k, n in enumerate((20, 13, 30, 9, 5, 14))] + [(6, None), (7, ""), (8, "alone"), (9, "two words"), (10, "two words"), (11, " ".join(WORDS[:6]))]
     documents = [(0, None), (1, ""), (2, "Hello world")]
     for k, (_, item) in enumerate(items[:6]):
         for changes in range(4):
@@ -98,6 +99,7 @@ def test_leaks(spark, bound):
             for at in rng.sample(range(len(w)), min(changes, len(w))):
                 w[at] = "other"
             documents.append((10 + 4 * k + changes, " ".join([*say(25), *w, *say(25)]).upper() + "."))
+    documents += [(50, "we two words say"), (51, "Alone"), (52, "not alone, words two"), (53, " ".join(["x", *WORDS[:6]]))]
     documents.append(documents[4])
     frame = spark.createDataFrame([(d, t, "x") for d, t in documents], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -108,6 +110,20 @@ def test_leaks(spark, bound):
     assert {r.doc_id for r in decontamination.clean(frame, bench).collect()} == {d for d, _ in documents} - {d for d, _ in brute_leaks(documents, items)}
 
 
+def test_leaks_without_ids(spark):
+    """Documents and items without an id leak as others do; equal texts without an id are one document, different ones are told apart."""
+    rng = random.Random(31)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    item, other = say(20), say(25)
+    rows = [(None, f"a {item} b", 1), (None, f"a {item} b", 2), (None, f"c {item}", 3), (None, "few words", 4), (None, None, 5), (1, item, 6), (2, "clean", 7), (3, f"x {other}", 8), (None, "clean too", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, doc int").withColumn("unnamed", F.lit(0)).withColumn("item", F.lit("x"))
+    bench = spark.createDataFrame([(None, other), (0, item), (None, item), (None, None)], "item_id long, text string")
+    found = sorted(((r.doc_id, r.item_id) for r in decontamination.leaks(frame, bench).collect()), key=str)
+    assert found == sorted([(None, 0), (None, None), (None, 0), (None, None), (1, 0), (1, None), (3, None)], key=str)
+    kept = decontamination.clean(frame, bench)
+    assert kept.columns == frame.columns and sorted(r.doc for r in kept.collect()) == [4, 5, 7, 9]
+
+
 def test_no_python_in_leaks(docs, spark):
     plan = decontamination.leaks(docs, spark.createDataFrame([(1, "a b c d e f g h i j k l m n")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
