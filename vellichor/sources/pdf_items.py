@@ -63,9 +63,9 @@ def without_running_heads(found: DataFrame, pages: DataFrame | None = None) -> D
     many = F.greatest(F.lit(3), F.floor(F.col("pages") / 4))
     # A quarter of the pages each, or three of fewer than sixteen: five keys a document at most.
     often = [edges.groupBy("doc_id", F.col(c).alias("key")).agg(F.count("*").alias("n")).join(total, "doc_id").filter(F.col("n") >= many).groupBy("doc_id").agg(F.collect_list("key").alias(f"{c}s")) for c in ("top", "bottom")]
-    # Keys go to the pages (a row each), pages to their lines in the buckets.
+    # Keys go to the pages (a row each), pages to their lines in the buckets: a join by leaf alone moves no line.
     leaves = found.select(*LEAF).distinct().join(often[0], "doc_id", "left").join(often[1], "doc_id", "left")
-    rows = found.join(leaves, LEAF)
+    rows = found.join(leaves.select("leaf", "tops", "bottoms"), "leaf")
     number = F.col("text").rlike(PAGE_NUMBER)
     known = lambda keys: number | F.coalesce(F.array_contains(keys, key), F.lit(False))
     page = Window.partitionBy(*LEAF)
@@ -108,26 +108,27 @@ def paragraphs(found: DataFrame) -> DataFrame:
     short line with the end of a sentence before it opens a paragraph. A hyphen before a small letter is joined.
     """
     found = _pages(found.withColumns({"long": F.length("text") > LONG, "closed": F.col("text").rlike(SENTENCE_END)}))
-    leaves = found.select(*LEAF).distinct().join(measures(found), "doc_id")
-    rows = found.join(leaves, LEAF)
+    leaves = staged(found.select(*LEAF).distinct().join(measures(found), "doc_id"))
     heading = F.col("size") >= F.col("body") * HEADING
     left = F.col("x0") - F.col("margin")
     centred = (left > F.col("body") * CENTRED) & (F.abs(left - (F.col("margin") + F.col("width") - F.col("x1"))) < F.col("body") * 3)
     short = (F.col("x1") - F.col("margin") < F.col("width") * SHORT) & F.col("closed")
-    rows = rows.withColumns({"heading": heading, "alone": heading | centred, "short": short})
-    rows = staged(rows.drop("text", "size", "x1", "long", "closed", "width"), bucket=(partitions(found.sparkSession), "leaf"))
     state = F.struct("heading", "alone", "short", "page", "y")
-    before_page = Window.partitionBy("doc_id").orderBy("page")
-    firsts = rows.groupBy(*LEAF).agg(F.max_by(state, "line").alias("last"), F.min("line").alias("line"))
-    firsts = firsts.select(*LEAF, "line", F.lag("last").over(before_page).alias("across"))
-    on_page = Window.partitionBy(*LEAF).orderBy("line")
-    rows = rows.withColumn("before", F.lag(state).over(on_page)).join(firsts, [*LEAF, "line"], "left").withColumn("before", F.coalesce("before", "across"))
-    rows = staged(rows.select(*LEAF, "line", "heading", _opens(left).alias("opens")), bucket=(partitions(found.sparkSession), "leaf"))
-    sums = rows.groupBy(*LEAF).agg(F.sum("opens").alias("n"))
-    sums = sums.select(*LEAF, F.coalesce(F.sum("n").over(before_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    numbered = rows.join(sums, LEAF).select(*LEAF, "line", "heading", (F.col("earlier") + F.sum("opens").over(on_page)).alias("para"))
+    before_page, on_page = Window.partitionBy("doc_id").orderBy("page"), Window.partitionBy(*LEAF).orderBy("line")
+
+    def known(leaves: DataFrame) -> DataFrame:
+        """The lines with what is known of their pages; they stay in their buckets."""
+        rows = found.join(leaves.drop("doc_id", "page"), "leaf")
+        return rows.withColumns({"heading": heading, "alone": heading | centred, "short": short})
+
+    # Page by page: the last line of the page before, then the paragraphs that begin before the page.
+    last = known(leaves).groupBy(*LEAF).agg(F.max_by(state, "line").alias("last")).select("leaf", F.lag("last").over(before_page).alias("across"))
+    leaves = staged(leaves.join(last, "leaf"))
+    opened = lambda leaves: known(leaves).withColumn("before", F.coalesce(F.lag(state).over(on_page), "across")).withColumn("opens", _opens(left))
+    sums = opened(leaves).groupBy(*LEAF).agg(F.sum("opens").alias("n")).select("leaf", F.coalesce(F.sum("n").over(before_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = opened(staged(leaves.join(sums, "leaf"))).withColumn("para", F.col("earlier") + F.sum("opens").over(on_page))
     parts = F.array_sort(F.collect_list(F.struct("page", "line", "text", "heading")))
-    whole = found.select(*LEAF, "line", "text").join(numbered, [*LEAF, "line"]).groupBy("doc_id", "para").agg(parts.alias("parts"))
+    whole = numbered.groupBy("doc_id", "para").agg(parts.alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p.text), "\n")
     text = F.regexp_replace(F.regexp_replace(joined, HYPHENATED, ""), "\n", " ")
     return whole.select("doc_id", "para", text.alias("text"), F.when(F.get("parts", 0).heading, "h2").otherwise("p").alias("type"), F.get("parts", 0).page.alias("page"))
