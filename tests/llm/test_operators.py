@@ -153,6 +153,17 @@ def brute_lines(rows):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["row", "places", "n_lines", "n_removed", "given", "line_no", "node", "norm", "stays", "copies", "a.b"]
+    rows = [(d, f"one line of words here {d // 2}\nanother line", *(f"{n}{d}" for n in names)) for d in range(4)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    found = line_dedup.dedup_lines(frame)
+    assert found.columns == frame.columns
+    wanted = brute_lines([r[:2] for r in rows])
+    assert {tuple(r) for r in found.collect()} == {(r[0], wanted[r[0]], *r[2:]) for r in rows}
+    assert line_dedup.dedup_lines(frame.drop("n_lines", "n_removed")).columns == [c for c in frame.columns if not c.startswith("n_")] + ["n_lines", "n_removed"]
+
+
 def test_line_dedup(spark, no_docs):
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(n))

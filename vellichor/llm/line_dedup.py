@@ -239,7 +239,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, with text cut to the lines that stay, and n_lines, n_removed."""
+    """The documents, all columns, with text cut to the lines that stay, and n_lines, n_removed; where the documents have columns of these names, theirs stay and the counts are left out."""
     spark = documents.sparkSession
     parts = partitions(spark)
     lines = lines_of(documents)
@@ -262,6 +262,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     targets = several.join(F.broadcast(hot), "node", "left").select("node", "stays", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
     gone = salted.join(targets, ["node", "salt"]).filter(place() != F.col("stays"))
     places = gone.select("row", "line_no").distinct().groupBy("row").agg(F.collect_list("line_no").alias("places"))
-    kept = documents.withColumn("row", row_key()).join(places, "row", "left").select(*documents.columns, "places")
-    schema = ", ".join(f"`{c}` {t}" for c, t in documents.dtypes)
-    return kept.mapInArrow(_without, f"{schema}, n_lines long, n_removed long")
+    # The caller's other columns go as one, so that no name of theirs is also one of these.
+    others = [(c, t) for c, t in documents.dtypes if c != "text"]
+    kept = documents.select(F.struct(*(F.col(f"`{c}`") for c, _ in others)).alias("given"), "text", row_key().alias("row")).join(places, "row", "left").select("given", "text", "places")
+    schema = "given struct<" + ", ".join(f"`{c}`: {t}" for c, t in others) + ">, text string, n_lines long, n_removed long"
+    out = kept.mapInArrow(_without, schema)
+    counts = [c for c in ("n_lines", "n_removed") if c not in documents.columns]
+    return out.select(*(F.col("text") if c == "text" else F.col("given").getField(c).alias(c) for c in documents.columns), *counts)
