@@ -114,10 +114,14 @@ def normal_confidence(spark, sf):
     return table(spark, sf, "events").select("event_id", F.floor(F.greatest("value", F.lit(0))).cast("long").alias("seconds"), T.confidence(F.col("value")).cast("double").alias("confidence"))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT props) AS kinds FROM events GROUP BY event_type")
+@query("""
+WITH p AS (SELECT event_type, regexp_extract(props, '"k": *(-?[0-9]+)', 1)::BIGINT AS k FROM events)
+SELECT event_type, count(*) AS n, count(DISTINCT k) AS kinds, sum(k)::BIGINT AS total, max(k) AS largest FROM p GROUP BY event_type
+""")
 def json_props(spark, sf):
-    rows = table(spark, sf, "events").withColumn("v", F.expr("try_parse_json(props)"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("props").alias("kinds"))
+    """Sums over a field of the parsed properties."""
+    rows = table(spark, sf, "events").select("event_type", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("k").alias("kinds"), F.sum("k").alias("total"), F.max("k").alias("largest"))
 
 
 # blocks and sentences -----------------------------------------------------------------------------------------------
@@ -332,9 +336,9 @@ def pronunciation_terms(spark, sf):
 # views --------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::BIGINT AS hits FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::BIGINT AS hits FROM documents")
 def search_hits(spark, sf):
-    return _documents(spark, sf).filter("lang = 'en'").select("doc_id", views.hit_count(F.col("text"), "the").alias("hits"))
+    return _documents(spark, sf).select("doc_id", views.hit_count(F.col("text"), "the").alias("hits"))
 
 
 @query(f"""
@@ -393,7 +397,15 @@ def marks_text(spark, sf):
     return views.marks_text(_listed(spark, sf))
 
 
-@query()
+@query(f"""
+WITH {LINES}, {MARKS}, held AS (SELECT m.*, length(l.text) AS n FROM marks m JOIN lines l USING (book_id, block_ord)),
+edges AS (
+  SELECT book_id, block_ord, 0 AS x FROM lines UNION SELECT book_id, block_ord, length(text) FROM lines
+  UNION SELECT book_id, block_ord, s FROM held WHERE s BETWEEN 0 AND n UNION SELECT book_id, block_ord, e FROM held WHERE e BETWEEN 0 AND n
+), cut AS (SELECT book_id, block_ord, x AS s, lead(x) OVER w AS e, row_number() OVER w - 1 AS ix FROM edges WINDOW w AS (PARTITION BY book_id, block_ord ORDER BY x))
+SELECT c.book_id, c.block_ord, c.ix, c.s::BIGINT AS s, c.e::BIGINT AS e, coalesce(string_agg(m.id, ',' ORDER BY m.s, m.e, m.id), '') AS ids
+FROM cut c LEFT JOIN held m ON m.book_id = c.book_id AND m.block_ord = c.block_ord AND m.s <= c.s AND c.e <= m.e WHERE c.e IS NOT NULL GROUP BY c.book_id, c.block_ord, c.ix, c.s, c.e
+""")
 def render_pieces(spark, sf):
     return views.render_pieces(_lines(spark, sf), _marks(spark, sf))
 

@@ -71,12 +71,17 @@ def hit_context(spark, sf):
 
 
 @query(r"""
-SELECT page_id, CASE WHEN regexp_matches(c, '^[\p{L}\p{N}]$') THEN 'n' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{L}$') THEN 'a' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{Ll}$') THEN 'l' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{Lu}$') THEN 'u' ELSE '' END || CASE WHEN regexp_matches(c, '^\s$') THEN 's' ELSE '' END AS kinds
-FROM (SELECT page_id, substr(html, 1 + page_id::INT % 97, 1) AS c FROM pages)
+WITH signs AS (SELECT page_id, unnest(list_distinct(string_split(html, ''))) AS c FROM pages),
+kinds AS (
+  SELECT page_id, CASE WHEN regexp_matches(c, '^[\p{L}\p{N}]$') THEN 'n' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{L}$') THEN 'a' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{Ll}$') THEN 'l' ELSE '' END || CASE WHEN regexp_matches(c, '^\p{Lu}$') THEN 'u' ELSE '' END || CASE WHEN regexp_matches(c, '^\s$') THEN 's' ELSE '' END AS kinds
+  FROM signs WHERE c <> ''
+)
+SELECT page_id, kinds, count(*) AS n FROM kinds GROUP BY page_id, kinds
 """)
 def char_classes(spark, sf):
-    sign = F.substr(F.col("html"), (1 + F.col("page_id") % 97).cast("int"), F.lit(1))
-    return table(spark, sf, "pages").select("page_id", selection.char_class(sign).alias("kinds"))
+    """How many different characters of each kind every page holds."""
+    signs = table(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(F.split("html", ""))).alias("c")).filter("c <> ''")
+    return signs.groupBy("page_id", selection.char_class(F.col("c")).alias("kinds")).agg(F.count("*").alias("n"))
 
 
 # books --------------------------------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ RESPONSE_VERBS = "erwiderte erwidert entgegnete entgegnet antwortete antwortet v
 PRONOUNS = {"er": "m", "he": "m", "ihn": "m", "ihm": "m", "sie": "f", "she": "f", "ihr": "f", "es": "n", "it": "n", "ich": "1", "i": "1", "man": "?", "wir": "?", "we": "?", "they": "?", "du": "?", "you": "?"}
 #: Pronouns that may be a subject, articles, titles (also by gender), adverbs, the narrator's name.
 SUBJECT_PRONOUNS = "er sie es ich man du wir he she i they we you".split()
-ARTICLES = "der die das den dem ein eine einen einem einer sein seine seinen seinem seiner seines ihr ihre ihren ihrem ihrer the a an his her my".split()
+ARTICLES = "der die das den dem ein eine einen einem einer sein seine seinen seinem seiner ihr ihre ihren ihrem ihrer the a an his her my".split()
 TITLES = """
 Herr Frau Fräulein Frl Miß Miss Mrs Mr Ms Dr Prof Professor Sir Lady Lord König Königin Prinz Prinzessin Graf Gräfin
 Häuptling Hauptmann Kapitän Captain Leutnant Lieutenant Major Colonel Oberst Sergeant Onkel Tante Vater Mutter Bruder

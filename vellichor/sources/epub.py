@@ -213,7 +213,7 @@ def packed(title: str | None, language: str | None, parts: list[tuple[str | None
     about = "".join(f"<dc:{tag}>{escape(value)}</dc:{tag}>" for tag, value in (("title", title), ("language", language)) if value is not None)
     links = "".join(f'<li><a href="{n}">{escape(t)}</a></li>' for n, (t, _) in zip(names, parts) if t is not None)
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as box:
         box.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
         box.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
         box.writestr("OEBPS/book.opf", f'<package><metadata>{about}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>')

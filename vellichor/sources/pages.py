@@ -79,11 +79,13 @@ def block(events: list[tuple[str, str]]) -> tuple[str, list[dict]]:
             raw += " "
         elif x in EMPHASIS:
             edges.append((sign, EMPHASIS[x], len(raw)))
+    whole = " ".join(x for x in _blank.split(raw) if x)
+    text = whole.strip()
+    if not edges:
+        return text, []
     blank = np.array([c in BLANKS for c in raw], bool)
     begins = ~blank & np.concatenate([[True], blank[:-1]])[: len(raw)]
     end_at = np.concatenate([[0], np.cumsum(~blank)]) + np.maximum(np.concatenate([[0], np.cumsum(begins)]) - 1, 0)
-    whole = " ".join(x for x in _blank.split(raw) if x)
-    text = whole.strip()
     lead = len(whole) - len(whole.lstrip())
     waiting: dict[str, list[int]] = {}
     marks = []
