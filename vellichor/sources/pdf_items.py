@@ -69,8 +69,9 @@ def without_running_heads(found: DataFrame, pages: DataFrame | None = None) -> D
     number = F.col("text").rlike(PAGE_NUMBER)
     known = lambda keys: number | F.coalesce(F.array_contains(keys, key), F.lit(False))
     page = Window.partitionBy(*LEAF)
-    rows = rows.withColumn("from_top", F.min(known("tops")).over(page.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("from_bottom", F.min(known("bottoms")).over(page.orderBy("line").rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumns({"top": known("tops"), "bottom": known("bottoms")})  # in one step, so that both share what they look at
+    rows = rows.withColumn("from_top", F.min("top").over(page.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("from_bottom", F.min("bottom").over(page.orderBy("line").rowsBetween(0, Window.unboundedFollowing)))
     return rows.filter("not from_top and not from_bottom").select(*found.columns)
 
 
