@@ -628,6 +628,62 @@ def test_across_deals_a_hot_key_in_blocks(spark, monkeypatch):
     assert found == {(a, b) for a, b in itertools.combinations(range(300), 2) if a // 2 != b // 2 and may(a, b)}
 
 
+@pytest.mark.parametrize("module", [line_dedup, jaccard_join])
+def test_groups_short_of_the_similarity_send_no_square_of_pairs(spark, monkeypatch, module):
+    """Couples with a common beginning, each just short of linking with all others: pairs sent to be verified grow with the rows."""
+    rng, sent = random.Random(6), []
+    of_lines = module is line_dedup
+    part = (lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))) if of_lines else (lambda n: "".join(f" w{rng.randrange(10**6)}" for _ in range(n)))
+    base, rows = part(247 if of_lines else 124), []
+    for d in range(0, 240, 2):
+        own = part(30 if of_lines else 15)
+        rows += [(d, base + own + part(12 if of_lines else 6)), (d + 1, base + own + part(12 if of_lines else 6))]
+    real = module.links_across
+
+    def counted(members, sets, known, verify, *more):
+        def told(pairs):
+            sent.append(pairs.count())
+            return verify(pairs)
+
+        return real(members, sets, known, told, *more)
+
+    monkeypatch.setattr(module, "links_across", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    if of_lines:
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == brute_lines(rows)
+    else:
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(frame).collect()} == brute_links(rows)
+    assert sent and sum(sent) <= 12 * len(rows), sent
+
+
+def test_settled_links_join_what_all_links_join(spark, monkeypatch):
+    """In one block and in many: fewer links than rows of a cell, and the components of all pairs that link."""
+    rng = np.random.default_rng(14)
+    shared = rng.integers(1, 1 << 62, 90)
+    sets = [np.unique(np.concatenate([shared[: 60 + k % 31], rng.integers(1, 1 << 62, 5 + k % 17)])) for k in range(150)]
+    rows = [(key, k, len(x), k // 3, x.tolist()) for key in (7, 8) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "key long, node long, n long, comp long, elements array<long>").repartition(4)
+    every = [(a, b) for a, b in itertools.combinations(range(150), 2) if a // 3 == b // 3 or 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))]
+    together = [(k, k - k % 3) for k in range(150)]
+    joined = lambda edges: {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    for elements in (1 << 20, 2500):
+        monkeypatch.setattr(across, "ELEMENTS", elements)
+        cells = across.dealt(frame, "elements").select("cell").distinct().count()
+        found = [(r.a, r.b) for r in across.settled(frame, 4).collect()]
+        assert (cells == 2) == (elements > 2500) and len(found) < 50 * cells
+        assert all(4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b])) for a, b in found)
+        assert joined([*found, *together]) == joined([*every, *together])
+
+
+def test_merged_components(spark):
+    rng = random.Random(3)
+    first, more = ([(rng.randrange(80), rng.randrange(80)) for _ in range(30)] for _ in range(2))
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    whole = {r.node: r.component for r in components.components(frame(first + more)).collect()}
+    found = components.merged(components.components(frame(first)), frame(more)).collect()
+    assert len(found) == len(whole) and {r.node: r.component for r in found} == whole
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 300), (5, 4), (500, 400)] + [(1000, k) for k in range(1001, 1100)]

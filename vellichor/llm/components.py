@@ -37,3 +37,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(forest.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (a, b): only the components that these touch are joined again."""
+    left, right = (joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in "ab")
+    again = components(links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = joined.join(again.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    alone = again.join(joined.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("least", "component").alias("component")).unionByName(alone)

@@ -15,8 +15,8 @@ Light lists (up to HEAVY sets) are scanned for pairs of compatible sizes. Of hea
 taken; what they may miss is found exactly: a set with fewer heavy shingles in its prefix than the l of its smallest
 partner still shares a light one with every partner. Only sets with more of them (large groups of near copies, boilerplate) go through a second
 round, with shingles ordered by their true frequency among these sets; there, lists that still span several components
-after the verified links are joined are paired by neighbouring signatures, then scanned for all pairs between components
-that the sets' parity bitmaps allow, dealt over pairs of blocks (across.py).
+after the verified links are joined are paired by neighbouring signatures; then all pairs between components that the
+sets' parity bitmaps allow are settled where a list's sets meet, dealt over pairs of blocks (across.py).
 
 Candidates are verified by the exact Jaccard similarity of the whole texts' sets. Lists are scanned run by run in
 sorted partitions; no list, group or component is collected, and nothing grows on the driver.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
 from vellichor.llm.across import links_across, parity, runs, signatures
-from vellichor.llm.components import components
+from vellichor.llm.components import components, merged
 from vellichor.session import discard, partitions, settle, staged
 
 SHINGLE = 5
@@ -171,6 +171,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in ((a[at], heavy), (b[at], heavy), (times, np.zeros(len(heavy))), (need[at], np.zeros(len(heavy))), (np.zeros(len(times)), often))], names=["a", "b", "shared", "need", "heavy"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, elements) of every text."""
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            some = batch.slice(at, 256)
+            found = [x.view(np.int64) for _, x in shingle_sets(some.column(1))]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "elements"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -213,14 +222,13 @@ def link_documents(documents: DataFrame) -> DataFrame:
     links = staged(verified(pairs.filter("shared >= need - least(coalesce(heavy_a, 0), coalesce(heavy_b, 0))"), texts))
     settle(spark)
 
-    if unsafe.limit(1).count():
-        links = staged(links.unionByName(_second_round(unsafe, texts, links, parts)))
-        settle(spark)
-    return _classes(sets, links)
+    joined = _second_round(unsafe, texts, links, parts) if unsafe.limit(1).count() else components(links)
+    settle(spark)
+    return _classes(sets, joined)
 
 
 def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """Links between sets whose prefixes are full of heavy keys: by prefixes in the order of true frequency among them."""
+    """(node, component) by the links and those between sets whose prefixes are full of heavy keys: by prefixes in the order of true frequency among these."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,17 +252,20 @@ def _second_round(unsafe: DataFrame, texts: DataFrame, links: DataFrame, parts:
     postings = staged(ranked.select("node", "n", F.explode(prefix.getField("key")).alias("key")))
     chained = postings.select("key", "node", (F.col("n") * 2).alias("n2")).repartition(parts, "key").sortWithinPartitions("key", "n2", "node").mapInArrow(_pairs, PAIR)
     known = links.select("a", "b")
-    new = staged(verified(chained.filter("shared > 0").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts))
-    joined = known.unionByName(new)
+    new = verified(chained.filter("shared > 0").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), texts)
+    joined = components(known.unionByName(new))
     long = postings.groupBy("key").count().filter(F.col("count") > HEAVY).select("key")
     members = postings.select("key", "node").join(long, "key", "left_semi")
     bitmaps = full.filter("bitmap is not null").select("node", "n", "bitmap", "sigs")
-    rest = links_across(members, bitmaps, joined, lambda pairs: verified(pairs, texts), parts)
-    return new if rest is None else new.unionByName(rest)
+
+    def elements(some: DataFrame) -> DataFrame:
+        return texts.join(some, "node", "left_semi").select("node", "text").mapInArrow(_elements, "node long, n long, elements array<long>")
+
+    rest = links_across(members, bitmaps, joined, lambda pairs: verified(pairs, texts), elements, parts)
+    return joined if rest is None else merged(joined, rest)
 
 
-def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
-    joined = components(links)
+def _classes(sets: DataFrame, joined: DataFrame) -> DataFrame:
     same = sets.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("node"))
     own = sets.select("doc_id", "n", "sig")
     out = own.filter("n > 0").join(same, "sig").join(joined, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

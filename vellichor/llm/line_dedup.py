@@ -5,8 +5,9 @@ MinHash of BINS values (empty bins are filled from the next one that is not) is
 a band are candidates. In buckets of up to LIGHT lines all pairs are taken, in larger ones each line with the first and
 with the previous line. Candidates are verified by the exact Jaccard similarity of their sets, at SIMILARITY or more,
 and joined by distributed union-find. Larger buckets that then still span several components are paired again by
-neighbouring signatures, and then for all pairs between components that sizes and parity bitmaps allow (across.py). Of each component, over all documents,
-only the first line (by document id, then place) stays.
+neighbouring signatures, and then all pairs between components that sizes and parity bitmaps allow are settled where the
+bucket's sets meet (across.py). Of each component, over all documents, only the first line (by document id, then place)
+stays.
 
 So every pair that shares a band is joined or refused by its similarity. At a similarity of exactly 0.75 a pair shares a
 band with a chance of 99 %, at 0.8 of 99.8 %.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vellichor.llm import words as W
 from vellichor.llm.across import links_across, parity, runs, signatures
-from vellichor.llm.components import components
+from vellichor.llm.components import components, merged
 from vellichor.session import partitions, settle, staged
 
 SHINGLE = 8
@@ -39,7 +40,7 @@ BANDS, ROWS = 12, 4
 BINS = BANDS * ROWS
 SIMILARITY = 0.75
 LIGHT = 8  # lines of a bucket of which all pairs are taken at once
-BITMAP = 512  # bits of a line's parity bitmap
+BITMAP = 2048  # bits of a line's parity bitmap
 CHARS = 1 << 18  # characters handled at once
 HOT = 1000  # lines with more than this share (one in HOT) of all lines are salted
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -150,6 +151,13 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([parity(x, BITMAP) for x in found], pa.binary()), pa.array([signatures(x) for x in found], pa.list_(pa.int64()))], names=["node", "n", "bitmap", "sigs"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, elements) of lines of SHINGLE characters or more."""
+    for batch in batches:
+        found = [np.unique(_hashed(_codes([x]))).view(np.int64) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "elements"])
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -203,8 +211,8 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return split.select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("node", F.xxhash64("norm"))
 
 
-def links(nodes: DataFrame, parts: int) -> DataFrame:
-    """Verified pairs (a, b) of nodes (node, norm)."""
+def joined_nodes(nodes: DataFrame, parts: int) -> DataFrame:
+    """(node, component) of the nodes (node, norm) that link with others."""
     buckets = nodes.select("node", "norm").mapInArrow(_bands, "bucket long, node long")
     found = staged(buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_chained, "a long, b long, bucket long").distinct())
     settle(nodes.sparkSession)
@@ -215,13 +223,18 @@ def links(nodes: DataFrame, parts: int) -> DataFrame:
 
     known = staged(verify(found.filter("a <> b")))
     settle(nodes.sparkSession)
+    joined = components(known)
     # Shorter lines are like nothing but equal lines, which are one node.
     members = found.filter("a = b").select(F.col("bucket").alias("key"), F.col("a").alias("node"))
     if not members.limit(1).count():
-        return known
+        return joined
     sets = staged(nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary, sigs array<long>"))
-    more = links_across(members, sets, known, verify, parts)
-    return known if more is None else known.unionByName(more)
+
+    def elements(some: DataFrame) -> DataFrame:
+        return nodes.select("node", "norm").join(some, "node").select("node", "norm").mapInArrow(_elements, "node long, n long, elements array<long>")
+
+    more = links_across(members, sets, joined, verify, elements, parts)
+    return joined if more is None else merged(joined, more)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +261,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     # Dealt by the bucket's column first, so that a task writes one bucket: one file each, not parts * parts files.
     nodes = staged(nodes.repartition(parts, "node"), bucket=(parts, "node"))
     settle(spark)
-    joined = components(links(nodes, parts))
+    joined = joined_nodes(nodes, parts)
     settle(spark)
     known = nodes.select("node", "first", "copies")
     stays = known.join(joined, "node").groupBy("component").agg(F.min("first").alias("stays"))
