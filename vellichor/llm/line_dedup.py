@@ -256,10 +256,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     parts = partitions(spark)
     lines = lines_of(documents)
-    # Hash and text are both grouping keys, so that the aggregation need not sort.
-    nodes = lines.withColumn("place", place()).groupBy("node", "norm").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
-    # Dealt by the bucket's column first, so that a task writes one bucket: one file each, not parts * parts files.
-    nodes = staged(nodes.repartition(parts, "node"), bucket=(parts, "node"))
+    # By the hash alone, so that texts are dealt once: a task has whole buckets, and one file each.
+    nodes = lines.withColumn("place", place()).groupBy("node").agg(F.first("norm").alias("norm"), F.min("place").alias("first"), F.count("*").alias("copies"))
+    nodes = staged(nodes, bucket=(parts, "node"))
     settle(spark)
     joined = joined_nodes(nodes, parts)
     settle(spark)
