@@ -86,6 +86,31 @@ def test_running_totals_in_blocks(spark):
             total -= v
 
 
+def test_short_conversations_need_few_stages(spark):
+    """Each stage has as many tasks as there are partitions, so a small table with many partitions takes as long as there are stages."""
+    rng = random.Random(11)
+    rows = [(conv, turn, rng.choice(["user", "assistant", None]), rng.choice(["", "a", None])) for conv in range(30) for turn in range(rng.randrange(9))]
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("trie", "trie")
+    try:
+        prefix_trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("trie") for s in tracker.getJobInfo(job).stageIds}
+        assert sum(bool(i and i.numCompletedTasks) for i in map(tracker.getStageInfo, stages)) <= 50
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_turns_are_numbered_over_parts(spark):
+    """A conversation over several parts, with repeated rows, keeps its order."""
+    rows = [(conv, turn, "user", f"{conv} {turn}") for conv in (1, 2, 3) for turn in range(40 if conv == 2 else 2)] + [(2, 39, "user", "2 39")]
+    ordered = prefix_trie.ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert sorted(r["at"] for r in ordered) == list(range(len(rows)))
+    assert [r.conv_id for r in sorted(ordered, key=lambda r: r["at"])] == sorted(r[0] for r in rows)
+
+
 def test_light_edges_are_few(spark):
     """A comb: without choosing the largest child its paths would be as many levels as it has teeth."""
     rows = [(1000 + conv, turn, "user", "x" if turn < conv else f"tooth {conv}") for conv in range(40) for turn in range(conv + 1)]

@@ -46,8 +46,8 @@ ENDS = 16  # bits of conversation ids in one block of a node's ends
 ID, PARENT = ["depth", "p1", "p2"], ["parent_depth", "q1", "q2"]
 
 
-def running(rows: DataFrame, key: str, place: str, totals: dict[str, str], xor: bool = False, backward: bool = False) -> DataFrame:
-    """rows with running totals ({new column: summed column}) along key by integer place; backward: from the last place on."""
+def running(rows: DataFrame, key: str, place: str, totals: dict[str, str], xor: bool = False, backward: bool = False, long: bool = True) -> DataFrame:
+    """rows with running totals ({new column: summed column}) along key by integer place; backward: from the last place on; long: there may be places of BLOCK or more."""
     over, of = (F.bit_xor, lambda a, b: a.bitwiseXOR(b)) if xor else (F.sum, lambda a, b: a + b)
 
     def along(*by: str) -> Window:
@@ -59,8 +59,10 @@ def running(rows: DataFrame, key: str, place: str, totals: dict[str, str], xor:
     for name, column in totals.items():
         inside = inside.withColumn(name, over(column).over(along(key, "_block", place)))
     # Keys of one block need nothing else.
-    long = rows.filter(F.col(place) >= BLOCK).select(key).distinct()
-    sums = rows.join(long, key, "left_semi").groupBy(key, block.alias("_block")).agg(*(over(column).alias(f"_{name}") for name, column in totals.items()))
+    if not long:
+        return inside.drop("_block")
+    several = rows.filter(F.col(place) >= BLOCK).select(key).distinct()
+    sums = rows.join(several, key, "left_semi").groupBy(key, block.alias("_block")).agg(*(over(column).alias(f"_{name}") for name, column in totals.items()))
     before = along(key, "_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(key, "_block", *(over(f"_{name}").over(before).alias(f"_{name}") for name in totals))
     joined = inside.join(sums, [key, "_block"], "left")
@@ -69,46 +71,35 @@ def running(rows: DataFrame, key: str, place: str, totals: dict[str, str], xor:
     return joined.drop("_block", *(f"_{name}" for name in totals))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by conv_id: each one's place, from 1, among its conversation's rows of this partition."""
-    last, upto = None, 0
-    for batch in batches:
-        conv = batch.column("conv_id").to_numpy()
-        if len(conv):
-            new = np.concatenate([[conv[0] != last], conv[1:] != conv[:-1]])
-            begin = np.concatenate([[-upto], np.flatnonzero(new)])
-            place = np.arange(1, len(conv) + 1) - begin[np.cumsum(new)]
-            last, upto = conv[-1], int(place[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
-
-
 def ordered(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, t1, t2, n): turns numbered from 1 in each conversation, hashes of role and text, length of the text; staged."""
+    """(conv_id, at, t1, t2, n): turns numbered without gaps in the order of conversation and turn, hashes of role and text, length of the text."""
     turns = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hashes = [F.xxhash64("role", "text").alias("t1"), F.xxhash64(F.lit(1).cast("long"), "role", "text").alias("t2")]
     order = ["conv_id", "turn", "begin", "t1", "t2"]
     # The last key only deals equal rows over several ranges.
     turns = turns.select("conv_id", "turn", F.substring("role", 1, 64).alias("begin"), *hashes, F.length("text").cast("long").alias("n"), F.monotonically_increasing_id().alias("at"))
     dealt = turns.repartitionByRange(partitions(conversations.sparkSession), *order, "at").sortWithinPartitions(*order)
-    rows = staged(dealt.select("conv_id", F.spark_partition_id().alias("part"), "t1", "t2", "n").mapInArrow(_numbered, "conv_id long, part int, t1 long, t2 long, n long, place long"))
-    runs = rows.groupBy("conv_id", "part").agg(F.max("place").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # A part has at most one conversation that began in an earlier one: as many rows as parts.
-    later = runs.select("conv_id", "part", before.alias("before")).filter("before > 0")
-    return rows.join(F.broadcast(later), ["conv_id", "part"], "left").select("conv_id", (F.col("place") + F.coalesce("before", F.lit(0))).alias("place"), "t1", "t2", "n")
+    rows = staged(dealt.select("conv_id", "t1", "t2", "n", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33)))
+    # One row for each part reaches the driver.
+    sizes = sorted(map(tuple, rows.groupBy("part").count().collect()))
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    shifts = rows.sparkSession.createDataFrame([(part, begin - (part << 33)) for (part, _), begin in zip(sizes, before)], "part long, shift long")
+    return rows.join(F.broadcast(shifts), "part").select("conv_id", (F.col("at") + F.col("shift")).alias("at"), "t1", "t2", "n")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((conv_id, size) of every rebuilt conversation, its turns (conv_id, depth, last, z1, z2, n)), both staged; z1 and z2 hash place, role and text."""
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("own"))
+    """((conv_id, size) of every rebuilt conversation, staged; its turns (conv_id, depth, last, z1, z2, n)); z1 and z2 hash place, role and text."""
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("own"), F.min("at").alias("begin"))
     convs = sizes.withColumn("h", F.crc32(F.col("conv_id").cast("string")) % (SHARED + 1)).withColumn("base", F.expr(f"conv_id - conv_id % {GROUP}"))
-    convs = convs.join(sizes.select(F.col("conv_id").alias("base"), F.col("own").alias("there")), "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
-    convs = staged(convs.select("conv_id", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size")))
-    own = turns.join(convs.select("conv_id", "h", "taken", "size"), "conv_id").filter("place > h").withColumn("depth", F.expr("place - h + taken"))
-    first = turns.filter(F.col("place") <= SHARED).select(F.col("conv_id").alias("base"), F.col("place").alias("depth"), "t1", "t2", "n")
-    lent = convs.filter("taken > 0").join(first, "base").filter("depth <= taken")
+    lender = F.expr(f"conv_id % {GROUP} = 0")
+    lenders = sizes.filter(lender).select(F.col("conv_id").alias("base"), F.col("own").alias("there"), F.col("begin").alias("base_begin"))
+    convs = convs.join(lenders.hint("merge"), "base", "left").withColumn("taken", F.least("h", F.coalesce("there", F.lit(0))))
+    convs = staged(convs.select("conv_id", "base", "h", "taken", "begin", "base_begin", (F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size")))
+    own = turns.join(convs.select("conv_id", "h", "taken", "size", "begin"), "conv_id").withColumn("place", F.expr("at - begin + 1")).filter("place > h").withColumn("depth", F.expr("place - h + taken"))
+    first = turns.filter(lender).select(F.col("conv_id").alias("base"), "at", "t1", "t2", "n").join(convs.filter(lender).select(F.col("conv_id").alias("base"), "begin"), "base").filter(f"at < begin + {SHARED}").drop("begin")
+    lent = convs.filter("taken > 0").join(first, "base").withColumn("depth", F.expr("at - base_begin + 1")).filter("depth <= taken")
     columns = ["conv_id", "depth", F.expr("depth = size").alias("last"), F.xxhash64("depth", "t1").alias("z1"), F.xxhash64("depth", "t2").alias("z2"), "n"]
-    return convs.select("conv_id", "size"), staged(own.select(*columns).unionByName(lent.select(*columns)))
+    return convs.select("conv_id", "size"), own.select(*columns).unionByName(lent.select(*columns))
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +149,7 @@ def _heavy_paths(nodes: DataFrame, walked: DataFrame) -> DataFrame:
     steps = staged(own.unionByName(leaves.selectExpr("path", "0L as depth", "0L as p1", "0L as p2")))
     light = steps.join(nodes.filter("light").select(*ID), ID).groupBy("path").agg(F.max("depth").alias("head"), F.count("*").alias("level"))
     # A path without light edges begins at the root.
-    steps = steps.join(light, "path", "left").withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).withColumn("level", F.coalesce("level", F.lit(0).cast("long"))).filter("depth >= head")
+    steps = steps.join(light.hint("merge"), "path", "left").withColumn("head", F.coalesce("head", F.lit(0).cast("long"))).withColumn("level", F.coalesce("level", F.lit(0).cast("long"))).filter("depth >= head")
     rows = steps.join(nodes, ID).select("path", "level", "head", *ID, *PARENT, "conv_id", "n_convs", "n_children", F.expr("cast(n_children = 0 as long)").alias("leaf"), F.expr("(n_convs - 1) * n").alias("saved"))
     target = f"{shared_dir(nodes.sparkSession)}/paths_{uuid.uuid4().hex}"
     rows.write.partitionBy("level").parquet(target)
@@ -169,7 +160,9 @@ def trie(conversations: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node."""
     spark = conversations.sparkSession
     convs, turns = rebuilt(ordered(conversations))
-    walked = staged(running(turns, "conv_id", "depth", {"p1": "z1", "p2": "z2"}, xor=True))
+    # No path is longer than the conversation that names it.
+    long = not convs.filter(F.col("size") >= BLOCK).isEmpty()
+    walked = staged(running(staged(turns) if long else turns, "conv_id", "depth", {"p1": "z1", "p2": "z2"}, xor=True, long=long))
     nodes = _node_table(convs, walked)
     paths = _heavy_paths(nodes, walked)
     above = paths.agg(F.max("level")).first()[0] or 0
@@ -178,8 +171,9 @@ def trie(conversations: DataFrame) -> DataFrame:
         rows = paths.filter(F.col("level") == level)
         if levels:
             heads = levels[-1].filter("depth = head").groupBy(*(F.col(q).alias(p) for q, p in zip(PARENT, ID))).agg(F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
-            rows = rows.join(heads, ID, "left").withColumn("leaf", F.col("leaf") + F.coalesce("more_leaves", F.lit(0))).withColumn("saved", F.col("saved") + F.coalesce("more_saved", F.lit(0))).drop("more_leaves", "more_saved")
-        levels.append(staged(running(rows, "path", "depth", {"n_leaves": "leaf", "saved_tokens": "saved"}, backward=True)))
+            rows = rows.join(heads.hint("merge"), ID, "left").withColumn("leaf", F.col("leaf") + F.coalesce("more_leaves", F.lit(0))).withColumn("saved", F.col("saved") + F.coalesce("more_saved", F.lit(0))).drop("more_leaves", "more_saved")
+        rows = running(rows, "path", "depth", {"n_leaves": "leaf", "saved_tokens": "saved"}, backward=True, long=long)
+        levels.append(staged(rows) if level else rows)  # nothing is above the last level
     summed = levels[0]
     for rows in levels[1:]:
         summed = summed.unionByName(rows)
