@@ -23,6 +23,7 @@ import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from vellichor.session import partitions, shared_dir
 
 END_ID = 2
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-CACHE, LONGEST, JOINED = 800_000, 64, 4000  # pieces remembered by a worker, the bytes of the longest of them, and pieces encoded in one call
+CACHE, LONGEST, JOINED = 400_000, 64, 4000  # pieces remembered by a worker, the bytes of the longest of them, and pieces encoded in one call
 SLICE = 1 << 20  # bytes of text handled at once; a longer text is a slice of its own
 
 SPACE, LETTER, STOP = 1, 2, 4  # classes of ASCII bytes: white space, letters and digits, other visible signs
@@ -70,10 +71,10 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def remembered(path: str) -> dict[bytes, bytes]:
-    """Ids of pieces, kept for a worker's life: this module travels by value, so its own globals last for one task."""
+def remembered(path: str) -> list[dict[bytes, bytes]]:
+    """Ids of pieces, those of late and those before, kept for a worker's life: this module travels by value, so its own globals last for one task."""
     kept = sys.modules.setdefault("vellichor_worker_state", types.ModuleType("vellichor_worker_state"))
-    return kept.__dict__.setdefault("piece_ids", {}).setdefault(path, {})
+    return kept.__dict__.setdefault("piece_ids", {}).setdefault(path, [{}, {}])
 
 
 class Encoder:
@@ -94,7 +95,7 @@ class Encoder:
                 self.n_bytes[i] = len(token)  # byte-level vocabularies write a byte as one character
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def _learned(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece. Pieces whose joint is a sure cut (a sign, then one blank and a sign) are encoded as one text, whose ids fall apart by their bytes."""
@@ -113,15 +114,18 @@ class Encoder:
         return found
 
     def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        known = self.known
-        found = list(map(known.get, pieces))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        fresh = self._learned([pieces[k] for k in new])
-        for k in new:
+        late, before = self.known
+        found = list(map(late.get, pieces))
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        again = {pieces[k]: before[pieces[k]] for k in missed if pieces[k] in before}
+        fresh = self._learned([pieces[k] for k in missed if pieces[k] not in again])
+        fresh.update(again)
+        for k in missed:
             found[k] = fresh[pieces[k]]
-        if len(known) > CACHE:
-            known.clear()
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        if len(late) > CACHE // 2:  # pieces that are in use come back from those before
+            self.known[:] = {}, late
+            late = self.known[0]
+        late.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
         return found
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +140,7 @@ class Encoder:
         begins[offsets] = True
         starts = np.flatnonzero(begins[:-1])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        found = self._of_pieces(pieces.dictionary.to_pylist())
+        found = self._of_pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, found), np.int32, len(found)) // 4
         begin = np.cumsum(length, dtype=np.int32) - length
         which = pieces.indices.to_numpy()
