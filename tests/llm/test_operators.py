@@ -186,6 +186,29 @@ def test_line_dedup(spark, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_of_white_space_and_case(spark):
+    """Variants in case and white space of one line, short and long ones, are alike; lines of white space stay."""
+    gap = " " * 40
+    short = ["a b", "A\tB", f"a{gap}b", f"\tA{gap}\t{gap}B\r", f"a{gap} B", "a c", f"A{gap}C"]
+    long = ["İstanbul and a line of some words", "İSTANBUL and a LINE of some words", f"\tİstanbul  and a line{gap}of some\twords\r", "another line that is like no other"]
+    blank = ["\t" * 50, f"{gap}\r", "\t", " \f \v "]
+    rows = [(d, x) for d, x in enumerate([*short, *long, *blank, *(f"a{' ' * k}b" for k in range(30, 60)), "\n".join([*short, *blank, *long])])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == brute_lines(rows)
+
+
+def test_line_dedup_moves_the_texts_of_candidates_only(spark, monkeypatch):
+    """What verification reads again are the lines that share a bucket, not all."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(d, word(60)) for d in range(300)] + [(400 + d, f"the same line but for its end, which is this number: {d}") for d in range(3)]
+    kept = []
+    monkeypatch.setattr(line_dedup, "staged", lambda df, *a, f=line_dedup.staged, **b: kept.append(f(df, *a, **b)) or kept[-1])
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_lines(rows)
+    assert [df.count() for df in kept if df.columns == ["node", "norm"]] == [3]
+
+
 def test_line_dedup_of_boilerplate(spark):
     """Pairs of lines that share most of their text with all other pairs: in a bucket a line's partner is rarely the first or the previous one."""
     rng = random.Random(8)

@@ -12,8 +12,10 @@ stays.
 So every pair that shares a band is joined or refused by its similarity. At a similarity of exactly 0.75 a pair shares a
 band with a chance of 99 %, at 0.8 of 99.8 %.
 
-Scale: equal lines are one node from the start (combined before the shuffle). Nodes are written once, bucketed, so
-that verification moves only pairs and one of two texts. Buckets are scanned run by run in sorted partitions, in pieces
+Scale: equal lines are one node from the start (combined before the shuffle); long lines that differ in case or white
+space only are nodes of their own that link, as their sets are equal. Nodes are written once, bucketed, and
+those that share a bucket with others once more, so that verification reads these only and moves pairs and one of two
+texts. Buckets are scanned run by run in sorted partitions, in pieces
 of bounded length; the second scan deals a bucket over pairs of blocks. Node ids are 64-bit hashes: two different lines are one with a chance of 2^-64 a pair.
 
 Defined results: blank lines stay; null text: no lines, stays null; lines shorter than SHINGLE characters are one
@@ -41,7 +43,7 @@ BINS = BANDS * ROWS
 SIMILARITY = 0.75
 LIGHT = 8  # lines of a bucket of which all pairs are taken at once
 BITMAP = 2048  # bits of a line's parity bitmap
-CHARS = 1 << 18  # characters handled at once
+CHARS = 1 << 16  # characters handled at once
 HOT = 1000  # lines with more than this share (one in HOT) of all lines are salted
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -69,19 +71,30 @@ def _hashed(codes: np.ndarray) -> np.ndarray:
 def minhashes(lines: list[str]) -> np.ndarray:
     """One row of BINS values for each line."""
     length = np.array([len(x) for x in lines], np.int64)
-    codes = _codes(lines)
-    begin = np.cumsum(length) - length
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    end = np.cumsum(length)
+    begin = end - length
     out = np.full((len(lines), BINS), EMPTY, np.uint32)
     if len(codes) >= SHINGLE:
-        h = _hashed(codes)
-        n = np.maximum(length - SHINGLE + 1, 0)
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        h = h[at]
-        bins = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-        np.minimum.at(out.reshape(-1), np.repeat(np.arange(len(lines)), n) * BINS + bins.astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        h = codes * np.uint32(0x9E3779B1)
+        h += np.uint32(0x85EBCA6B)
+        for step in (1, 2, 4):  # 32 bits: numpy multiplies many at once
+            h = h[:-step] * np.uint32(0x915F77F5) + (h[step:] ^ (h[step:] >> np.uint32(15)))
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+            h ^= h >> np.uint32(shift)
+            h *= np.uint32(factor)
+        h ^= h >> np.uint32(16)
+        bins = ((h >> np.uint32(16)) * np.uint32(BINS)) >> np.uint32(16)
+        h *= np.uint32(0x2C1B3C6D)
+        h &= np.uint32(0xFFFFFFFE)
+        over = (end[:, None] - np.arange(1, SHINGLE)).reshape(-1)  # where shingles would reach into the next line
+        h[over[(over >= 0) & (over < len(h))]] = EMPTY
+        at = np.repeat(np.arange(0, len(lines) * BINS, BINS), length)[: len(h)]
+        at += bins
+        np.minimum.at(out.reshape(-1), at, h)
     for i in np.flatnonzero(length < SHINGLE):  # one shingle: the line
         value = 1
-        for c in codes[begin[i] : begin[i] + length[i]]:
+        for c in codes[begin[i] : end[i]]:
             value = (value * int(W.MULTIPLIER) + int(c)) & W.MASK
         out[i] = np.uint32(value >> 33)
     bare = out == EMPTY
@@ -199,39 +212,46 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def place(line_no: str = "line_no") -> Column:
-    """One number by which lines are ordered: document id (null first), row, line. Fixed in width, so that its minimum is a hash aggregate."""
-    doc = "cast(cast(coalesce(cast(doc_id as bigint), -9223372036854775807 - 1) as decimal(20,0)) + 9223372036854775808 as decimal(20,0))"
-    return F.expr(f"cast({doc} * cast(4611686018427387904 as decimal(19,0)) + cast(pmod(row, 2147483648) * 2147483648 + {line_no} as decimal(19,0)) as decimal(38,0))")
+def place() -> Column:
+    """By this lines are ordered: document id (null first), row, line."""
+    return F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), "row", "line_no")
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, line_no, norm, node) of every line that is not blank."""
+    """(row, doc_id, line_no, line, node) of every line that is not empty. Short lines are equal where their normal form is, others where all characters are: that form is made for each node, not for each line."""
     split = documents.select(row_key().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("node", F.xxhash64("norm"))
+    bare = split.select("row", "doc_id", "line_no", F.trim("line").alias("line")).filter("line <> ''")
+    return bare.withColumn("node", F.xxhash64(F.when(F.octet_length("line") < 4 * SHINGLE, normal(F.col("line"))).otherwise(F.col("line"))))
 
 
 def joined_nodes(nodes: DataFrame, parts: int) -> DataFrame:
     """(node, component) of the nodes (node, norm) that link with others."""
-    buckets = nodes.select("node", "norm").mapInArrow(_bands, "bucket long, node long")
-    found = staged(buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_chained, "a long, b long, bucket long").distinct())
+    # Shorter lines are like nothing but equal lines, which are one node.
+    buckets = nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).mapInArrow(_bands, "bucket long, node long")
+    # By one number, which sorts by radix; the order within a bucket does not matter.
+    found = staged(buckets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_chained, "a long, b long, bucket long").distinct())
+    settle(nodes.sparkSession)
+    # Most lines share no bucket: what follows reads the texts of the others only.
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(nodes.select("node", "norm").join(ends.hint("shuffle_hash"), "node", "left_semi"), bucket=(parts, "node"))
     settle(nodes.sparkSession)
-    left, right = nodes.select(F.col("node").alias("a"), F.col("norm").alias("norm_a")), nodes.select(F.col("node").alias("b"), F.col("norm").alias("norm_b"))
+    left, right = texts.select(F.col("node").alias("a"), F.col("norm").alias("norm_a")), texts.select(F.col("node").alias("b"), F.col("norm").alias("norm_b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_alike, "a long, b long")
 
-    known = staged(verify(found.filter("a <> b")))
+    # Lines that only white space makes long are like those of the same normal form, whose hash is their node.
+    short = nodes.filter(F.length("norm") < SHINGLE).select(F.col("node").alias("a"), F.xxhash64("norm").alias("b")).filter("a <> b")
+    known = staged(verify(found.filter("a <> b")).unionByName(short))
     settle(nodes.sparkSession)
     joined = components(known)
-    # Shorter lines are like nothing but equal lines, which are one node.
     members = found.filter("a = b").select(F.col("bucket").alias("key"), F.col("a").alias("node"))
     if not members.limit(1).count():
         return joined
-    sets = staged(nodes.select("node", "norm").filter(F.length("norm") >= SHINGLE).join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary, sigs array<long>"))
+    sets = staged(texts.join(members.select("node").distinct(), "node").select("node", "norm").mapInArrow(_bitmaps, "node long, n long, bitmap binary, sigs array<long>"))
 
     def elements(some: DataFrame) -> DataFrame:
-        return nodes.select("node", "norm").join(some, "node").select("node", "norm").mapInArrow(_elements, "node long, n long, elements array<long>")
+        return texts.join(some, "node").select("node", "norm").mapInArrow(_elements, "node long, n long, elements array<long>")
 
     more = links_across(members, sets, joined, verify, elements, parts)
     return joined if more is None else merged(joined, more)
@@ -240,14 +260,14 @@ def joined_nodes(nodes: DataFrame, parts: int) -> DataFrame:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, out = [], [], []
-        for text, places in zip(batch.column("text"), batch.column("places").to_pylist()):
-            text, drop = text.as_py(), set(places or ())
-            lines = [] if text is None else text.split("\n")
-            n.append(len(lines))
+        # As bytes, which need no decoding: in UTF-8 a byte 0x0A is a line's end and nothing else.
+        for text, places in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
+            drop = set(places or ())
+            n.append(0 if text is None else text.count(b"\n") + 1)
             gone.append(len(drop))
-            out.append(None if text is None else text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
+            out.append(b"\n".join([x for i, x in enumerate(text.split(b"\n")) if i not in drop]) if drop else text)
         rest = [c for c in batch.schema.names if c != "places"]
-        columns = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in rest]
+        columns = [pa.array(out, pa.binary()).view(pa.string()) if c == "text" else batch.column(c) for c in rest]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*rest, "n_lines", "n_removed"])
 
 
@@ -257,7 +277,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     parts = partitions(spark)
     lines = lines_of(documents)
     # By the hash alone, so that texts are dealt once: a task has whole buckets, and one file each.
-    nodes = lines.withColumn("place", place()).groupBy("node").agg(F.first("norm").alias("norm"), F.min("place").alias("first"), F.count("*").alias("copies"))
+    # A text has no fixed width, so this sorts; a place may be a structure then.
+    nodes = lines.withColumn("place", place()).groupBy("node").agg(F.first("line").alias("line"), F.min("place").alias("first"), F.count("*").alias("copies"))
+    nodes = nodes.select("node", normal(F.col("line")).alias("norm"), "first", "copies").filter("norm <> ''")
     nodes = staged(nodes, bucket=(parts, "node"))
     settle(spark)
     joined = joined_nodes(nodes, parts)
@@ -273,10 +295,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     salted = lines.select("row", "doc_id", "line_no", "node").join(F.broadcast(hot), "node", "left").withColumn("salt", F.pmod(F.xxhash64("row", "line_no"), F.coalesce("salts", F.lit(1))))
     targets = several.join(F.broadcast(hot), "node", "left").select("node", "stays", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
     gone = salted.join(targets, ["node", "salt"]).filter(place() != F.col("stays"))
-    places = gone.select("row", "line_no").distinct().groupBy("row").agg(F.collect_list("line_no").alias("places"))
+    places = gone.groupBy("row").agg(F.collect_set("line_no").alias("places"))
     # The caller's other columns go as one, so that no name of theirs is also one of these.
     others = [(c, t) for c, t in documents.dtypes if c != "text"]
-    kept = documents.select(F.struct(*(F.col(f"`{c}`") for c, _ in others)).alias("given"), "text", row_key().alias("row")).join(places, "row", "left").select("given", "text", "places")
+    kept = documents.select(F.struct(*(F.col(f"`{c}`") for c, _ in others)).alias("given"), "text", row_key().alias("row")).join(places.hint("shuffle_hash"), "row", "left").select("given", "text", "places")
     schema = "given struct<" + ", ".join(f"`{c}`: {t}" for c, t in others) + ">, text string, n_lines long, n_removed long"
     out = kept.mapInArrow(_without, schema)
     counts = [c for c in ("n_lines", "n_removed") if c not in documents.columns]
