@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +260,24 @@ def test_scores_are_exact_beyond_64_bits(spark):
     frame = spark.createDataFrame([(1, 2, 0, 0, 2, a)], "w1 long, w2 long, w3 long, w4 long, size int, a long")
     every = spark.createDataFrame([(1, 0, 0, 0, most), (2, 0, 0, 0, a)], "w1 long, w2 long, w3 long, w4 long, f long")
     assert phrases.scored(frame, every).first().score == 2_000_000 * a // (a + most) == 999_999
+
+
+def test_memory_of_a_shard():
+    """Counting takes little beside a shard: an executor's workers share what its heap leaves."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 12))) for _ in range(20000)]
+    text = " ".join(rng.choices(words, range(len(words), 0, -1), k=(4 << 20) // 8))
+    batch = pa.RecordBatch.from_pydict({"text": [text[i : i + 2000] for i in range(0, len(text), 2000)], "lang": ["en"] * -(-len(text) // 2000)})
+
+    class Sent:
+        every = phrases.Filter(phrases.LEAST_BITS)
+        every.set[:] = ~every.set
+        value = every.bits, every.set
+
+    for work in (phrases.vocabulary, phrases.counted(Sent, None)):
+        tracemalloc.start()
+        counts = sum(int(found.column("f").to_numpy().sum()) for found in work(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert counts > 400_000
+        assert peak < 35 * phrases.SLICE, work

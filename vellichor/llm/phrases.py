@@ -45,7 +45,8 @@ from vellichor.session import staged
 MIN, LONGEST, SHORTEST_KEPT, SHOWN = 30, 4, 80, 2000  # occurrences, words, percent of a shorter phrase's, phrases of a language
 SLICE = 4 << 20  # bytes of a shard, unless a piece is longer
 BITS = 8  # positions in a box
-EXPAND = 1 << 21  # rows of a join by box at most, unless one word has more
+EXPAND = 1 << 18  # rows of a join by box at most, unless one word has more: a few MB for each of its arrays
+HASHED = 1 << 16  # words hashed at once
 MOST_BITS, LEAST_BITS, PER_ENTRY = 28, 16, 32
 ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -122,7 +123,11 @@ def _shard(data: np.ndarray, offsets: np.ndarray, at: int, langs: np.ndarray) ->
     gap = np.ones(len(start), np.int64)
     if len(start):
         gap[1:] += (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
-    return Shard(data, start, end, W.mixed(W._hashed(data, start, end) ^ langs[doc]), doc, np.cumsum(gap))
+    key = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), HASHED):  # hashing takes some 40 bytes for each byte of a word
+        j = slice(i, i + HASHED)
+        key[j] = W.mixed(W._hashed(data, start[j], end[j]) ^ langs[doc[j]])
+    return Shard(data, start, end, key, doc, np.cumsum(gap))
 
 
 def _spelt(shard: Shard, which: np.ndarray) -> pa.Array:
@@ -271,6 +276,7 @@ def counted(words: Broadcast, pairs: Broadcast | None) -> Callable[[Iterator[pa.
         for batch in batches:
             for shard in shards(batch):
                 there = Positions(shard, usable)
+                shard = found = keys = None  # nothing of a shard stays while the next one is cut
                 for found in there.grown(there.all, neighbours, LONGEST if pairs else 2):
                     keys, f = there.keys[found.words], pa.array(found.counts())
                     if pairs is None:
