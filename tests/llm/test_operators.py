@@ -209,6 +209,20 @@ def test_line_dedup_moves_the_texts_of_candidates_only(spark, monkeypatch):
     assert [df.count() for df in kept if df.columns == ["node", "norm"]] == [3]
 
 
+def test_line_dedup_leaves_texts_in_the_jvm(spark):
+    """Lines go by Spark's expressions: no whole text is sent to a Python process, and bytes stay as they are."""
+    line = "the same line in many of the documents, long enough for shingles"
+    rows = [(0, line), (1, line), (2, f"{line}\n"), (3, f"\n{line}\n\nother\n{line}"), (4, f"a\n\u00e9\U0001f600 z\n{line}\nb\n"), (5, ""), (6, None), (7, f"{line}\n{line}"), (8, f"\n{line}\r\n \n"), (9, "\n\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    broken = spark.range(1).selectExpr("10 as doc_id", f"cast(concat(unhex('C3'), cast('\\n{line}\\n' as binary), unhex('FF41')) as string) as text")
+    found = line_dedup.dedup_lines(frame.unionByName(broken))
+    got = {r.doc_id: (r.text and bytes(r.text), r.n_lines, r.n_removed) for r in found.withColumn("text", F.col("text").cast("binary")).collect()}
+    texts = {0: line, 1: "", 2: "", 3: "\n\nother", 4: "a\n\u00e9\U0001f600 z\nb\n", 5: "", 6: None, 7: "", 8: "\n \n", 9: "\n\n"}
+    gone = {1: 1, 2: 1, 3: 2, 4: 1, 7: 2, 8: 1}
+    assert got == {k: (None if t is None else t.encode(), 0 if t is None else dict(rows)[k].count("\n") + 1, gone.get(k, 0)) for k, t in texts.items()} | {10: (b"\xc3\n\xffA", 3, 1)}
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_of_boilerplate(spark):
     """Pairs of lines that share most of their text with all other pairs: in a bucket a line's partner is rarely the first or the previous one."""
     rng = random.Random(8)

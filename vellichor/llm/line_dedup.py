@@ -257,18 +257,11 @@ def joined_nodes(nodes: DataFrame, parts: int) -> DataFrame:
     return joined if more is None else merged(joined, more)
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, gone, out = [], [], []
-        # As bytes, which need no decoding: in UTF-8 a byte 0x0A is a line's end and nothing else.
-        for text, places in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()):
-            drop = set(places or ())
-            n.append(0 if text is None else text.count(b"\n") + 1)
-            gone.append(len(drop))
-            out.append(b"\n".join([x for i, x in enumerate(text.split(b"\n")) if i not in drop]) if drop else text)
-        rest = [c for c in batch.schema.names if c != "places"]
-        columns = [pa.array(out, pa.binary()).view(pa.string()) if c == "text" else batch.column(c) for c in rest]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*rest, "n_lines", "n_removed"])
+def left_over() -> Column:
+    """text without the lines at the places of gone (ascending), from lines, all its lines: the runs of lines between those places, so that the work grows with the lines."""
+    before, after = lambda k: F.coalesce(F.get("gone", k - 1), F.lit(-1)), lambda k: F.coalesce(F.get("gone", k), F.size("lines"))
+    kept = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", before(k) + 2, after(k) - before(k) - 1))
+    return F.encode(F.array_join(F.flatten(kept), "\n"), "ISO-8859-1").cast("string")
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -299,7 +292,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     # The caller's other columns go as one, so that no name of theirs is also one of these.
     others = [(c, t) for c, t in documents.dtypes if c != "text"]
     kept = documents.select(F.struct(*(F.col(f"`{c}`") for c, _ in others)).alias("given"), "text", row_key().alias("row")).join(places.hint("shuffle_hash"), "row", "left").select("given", "text", "places")
-    schema = "given struct<" + ", ".join(f"`{c}`: {t}" for c, t in others) + ">, text string, n_lines long, n_removed long"
-    out = kept.mapInArrow(_without, schema)
+    # A character a byte, so that bytes that are no UTF-8 stay as they are: in UTF-8 a byte 0x0A is a line's end and nothing else.
+    lines_there = F.split(F.decode(F.col("text").cast("binary"), "ISO-8859-1"), "\n")
+    cut = kept.select("given", "text", F.sort_array("places").alias("gone"), F.when(F.col("places").isNotNull(), lines_there).alias("lines"))
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    out = cut.select("given", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left_over()).alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
     counts = [c for c in ("n_lines", "n_removed") if c not in documents.columns]
     return out.select(*(F.col("text") if c == "text" else F.col("given").getField(c).alias(c) for c in documents.columns), *counts)
